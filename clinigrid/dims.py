@@ -7,6 +7,8 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clinigrid.session import literal_table
+
 
 @dataclass(frozen=True)
 class Wave:
@@ -45,8 +47,8 @@ def wave_table(spark: SparkSession, waves: list[Wave], anchor: date = WAVE_ANCHO
          anchor + timedelta(weeks=w.stop - 1, days=-1), w.dias_ola)
         for w in waves
     ]
-    return spark.createDataFrame(
-        rows,
+    return literal_table(
+        spark, rows,
         "ola string, first_ord int, last_ord int, first_day date, last_day date, dias_ola int",
     )
 
@@ -134,18 +136,18 @@ STAFF_PATTERN = "personal|médico"
 
 
 def variable_dictionary(spark: SparkSession, names: dict[str, str] = VARIABLE_NAMES) -> DataFrame:
-    return spark.createDataFrame(list(names.items()), "variable string, nombre string")
+    return literal_table(spark, list(names.items()), "variable string, nombre string")
 
 
 def institution_dictionary(
     spark: SparkSession, entries: dict[str, tuple[str, str]] = INSTITUTIONS
 ) -> DataFrame:
     rows = [(code, name, variable) for code, (name, variable) in entries.items()]
-    return spark.createDataFrame(
-        rows, "institution string, nombre_institucion string, variable string"
+    return literal_table(
+        spark, rows, "institution string, nombre_institucion string, variable string"
     )
 
 
 def scenario_table(spark: SparkSession, scenarios: dict[str, tuple[str, ...]] = SCENARIOS) -> DataFrame:
     rows = [(name, ola) for name, olas in scenarios.items() for ola in olas]
-    return spark.createDataFrame(rows, "scenario string, ola string")
+    return literal_table(spark, rows, "scenario string, ola string")

@@ -3,7 +3,7 @@ from clinigrid.functions.aggregates import (
 )
 from clinigrid.functions.columns import (
     apply_across, clean_name, clean_names, columns_matching, drop_all_missing,
-    front, numeric_columns,
+    front, literal, numeric_columns,
 )
 from clinigrid.functions.scalars import (
     bucket_label, capitalise, epi_week, epi_year_week, first_match_label, geo_key,

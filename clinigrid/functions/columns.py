@@ -49,6 +49,18 @@ def drop_all_missing(df: DataFrame) -> DataFrame:
     return df.drop(*[c for i, c in enumerate(df.columns) if found[i] == 0])
 
 
+def literal(value: object) -> str:
+    """A Python value as SQL text, for expressions generated in bulk."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).upper()
+    if isinstance(value, (int, float)):
+        return repr(value)
+    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{text}'"
+
+
 def clean_name(name: str) -> str:
     """snake_case ASCII form of one column name."""
     text = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode()

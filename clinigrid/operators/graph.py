@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinigrid.functions import numeric_columns, sum_strict
+from clinigrid.functions import numeric_columns
 from clinigrid.operators.grouping import numbered
-from clinigrid.operators.joins import hot_keys, salt_left, salt_right, skew_safe_join
+from clinigrid.operators.joins import find_hot_keys, salt_left, salt_right, skew_safe_join
 from clinigrid.session import materialise
 
 # Edge weights are added as whole numbers of this unit, so that the order in which tasks
@@ -119,20 +119,18 @@ def neighbour_sums(
     values = numeric_columns(attributes, exclude=[key, *extra_keys])
     other = attributes.withColumnRenamed(key, "V2")
     joined = skew_safe_join(edges.select("V1", "V2"), other, ["V2"], "left", salt_on=["V1"])
+    sums = [f"CASE WHEN count(`{v}`) = count(1) THEN sum(`{v}`) END AS `{v}`" for v in values]
     return (
-        joined.groupBy("V1", *extra_keys)
-        .agg(*[sum_strict(v).alias(v) for v in values])
-        .withColumnRenamed("V1", key)
+        joined.groupBy("V1", *extra_keys).agg(*map(F.expr, sums)).withColumnRenamed("V1", key)
     )
 
 
 # --- similarity ---------------------------------------------------------------------
 
-def dot(a: Column, b: Column, width: int | None = None) -> Column:
-    """Inner product of two arrays; with a known width it unrolls into compiled code."""
+def dot(a: str, b: str, width: int | None = None) -> Column:
+    """Inner product of two array columns; a known width unrolls into compiled code."""
     if width:
-        terms = [F.get(a, F.lit(i)) * F.get(b, F.lit(i)) for i in range(width)]
-        return sum(terms[1:], terms[0])
+        return F.expr(" + ".join(f"get(`{a}`, {i}) * get(`{b}`, {i})" for i in range(width)))
     return F.aggregate(
         F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x
     )
@@ -144,17 +142,16 @@ def cosine_edges(
     """Cosine distance of the two ends of each edge: ``V1, V2, cosine_distance``.
 
     Only pairs that are edges are computed. A missing coordinate or a zero vector gives a
-    missing distance.
+    missing distance. ``edges`` is read several times; pass it stored.
     """
-    v = F.col(features)
-    sized = vectors.select(F.col(key), v, F.sqrt(dot(v, v, width)).alias("_norm"))
+    sized = vectors.select(key, features, F.sqrt(dot(features, features, width)).alias("_norm"))
     ends = edges.select("V1", "V2")
     for end, other in (("V1", "V2"), ("V2", "V1")):
         side = sized.select(
             F.col(key).alias(end), F.col(features).alias(f"_f{end}"), F.col("_norm").alias(f"_n{end}")
         )
-        ends = skew_safe_join(ends, side, [end], "left", salt_on=[other])
-    cosine = F.try_divide(dot(F.col("_fV1"), F.col("_fV2"), width), F.col("_nV1") * F.col("_nV2"))
+        ends = skew_safe_join(ends, side, [end], "left", salt_on=[other], counted_on=edges)
+    cosine = F.try_divide(dot("_fV1", "_fV2", width), F.col("_nV1") * F.col("_nV2"))
     return ends.select("V1", "V2", (1 - cosine).alias("cosine_distance"))
 
 
@@ -170,35 +167,40 @@ def _weighted_ends(graph: DataFrame) -> DataFrame:
     return graph.where(F.col("weight").isNotNull()).select(F.inline(ends))
 
 
-def label_round(ends: DataFrame, labels: DataFrame, hot: DataFrame, keep_current: bool) -> DataFrame:
+def label_round(
+    ends: DataFrame, labels: DataFrame, hot: DataFrame | None, keep_current: bool
+) -> DataFrame:
     """Label each vertex wants: the one its neighbours carry with the most weight.
 
     Ties go to the current label if ``keep_current`` and it is among the best, else to the
-    smallest label. ``labels``: trial, id, label; ``ends`` is salted by ``hot``. Scores
-    combine before each shuffle, so a vertex with very many edges is no single-task group.
+    smallest label. ``labels``: trial, id, label; ``ends`` is salted if ``hot`` is given.
+    Scores combine before each shuffle, so a vertex with very many edges is no single-task
+    group.
     """
-    carried = salt_right(labels.withColumnRenamed("id", "u"), hot, ["u"])
-    votes = ends.join(carried, ["u", "_salt"]).select(
-        "trial", F.col("v").alias("id"), "label", "w", F.lit(0).alias("current")
-    )
-    own = labels.select("trial", "id", "label", F.lit(0).cast("long").alias("w"), F.lit(1).alias("current"))
-    scores = votes.unionByName(own).groupBy("trial", "id", "label").agg(
-        F.sum("w").alias("score"), F.max("current").alias("current"), F.count_if(F.col("current") == 0).alias("votes")
+    carried = labels.withColumnRenamed("id", "u")
+    if hot is None:
+        joined = ends.join(carried, "u")
+    else:
+        joined = ends.join(salt_right(carried, hot, ["u"]), ["u", "_salt"])
+    votes = joined.selectExpr("trial", "v AS id", "label", "w", "0 AS own")
+    # Each vertex adds its own label without weight, which brings it to the comparison.
+    current = labels.selectExpr("trial", "id", "label", "0L AS w", "1 AS own")
+    scores = votes.unionByName(current).groupBy("trial", "id", "label").agg(
+        F.expr("sum(w) AS score"), F.expr("max(own) AS own"), F.expr("count_if(own = 0) AS votes")
     )
-    preferred = -F.col("current") if keep_current else F.lit(0)
-    rank = F.struct(-F.col("score"), preferred, F.col("label").alias("label"))
-    voted = F.col("votes") > 0
+    preferred = "-own" if keep_current else "0"
     return scores.groupBy("trial", "id").agg(
-        F.coalesce(F.min(F.when(voted, rank)).getField("label"),
-                   F.max(F.when(F.col("current") == 1, F.col("label")))).alias("wanted"),
-        F.max(F.when(F.col("current") == 1, F.col("label"))).alias("label"),
-    )
+        F.expr("max(CASE WHEN own = 1 THEN label END) AS label"),
+        F.expr(
+            f"min(CASE WHEN votes > 0 THEN struct(-score, {preferred}, label) END).label AS wanted"
+        ),
+    ).withColumn("wanted", F.coalesce("wanted", "label"))
 
 
-def _salted_ends(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _salted_ends(graph: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     ends = materialise(_weighted_ends(graph), "ends")
-    hot = materialise(hot_keys(ends, ["u"]), "hot")
-    return salt_left(ends, hot, ["u"], ["v"]), hot
+    hot = find_hot_keys(ends, ["u"])
+    return (ends if hot is None else salt_left(ends, hot, ["u"], ["v"])), hot
 
 
 def _initial_labels(graph: DataFrame, trials: int) -> DataFrame:
@@ -273,10 +275,8 @@ def partition_quality(graph: DataFrame, membership: DataFrame, by: Sequence[str]
     ends = graph.select("src", "dst", weight.alias("weight"))
     for end, other in (("src", "dst"), ("dst", "src")):
         side = membership.select(*by, F.col("id").alias(end), F.col("label").alias(f"c_{end}"))
-        if by and end == "dst":
-            ends = skew_safe_join(ends, side, [end, *by], "inner", salt_on=[other])
-        else:
-            ends = skew_safe_join(ends, side, [end], "inner", salt_on=[other])
+        on = [end, *by] if end == "dst" else [end]
+        ends = skew_safe_join(ends, side, on, salt_on=[other], counted_on=graph, hot_on=[end])
     same = F.col("c_src") == F.col("c_dst")
     sides = F.array(
         F.struct(F.col("src").alias("id"), F.col("c_src").alias("label")),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clinigrid.functions import max_strict, percent
 from clinigrid.operators.joins import attach, skew_safe_join
-from clinigrid.session import materialise, row_count_within
+from clinigrid.session import literal_table, materialise, row_count_within
 
 # Up to this many (group, value) rows the built-in exact percentile holds its state easily.
 PERCENTILE_ROWS = 1_000_000
@@ -26,8 +26,10 @@ def with_group_stats(
     """Group aggregates next to every row, for groups of any size.
 
     A window would sort a whole group in one task; this aggregates with map-side
-    combining and joins the one row per group back.
+    combining and joins the one row per group back. The rows are written first, as they
+    are read twice.
     """
+    df = materialise(df, "rows")
     table = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
     return skew_safe_join(df, table, keys, "left", salt_on)
 
@@ -76,7 +78,7 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFra
     for row in counts:
         offsets.append((row["_part"], seen))
         seen += row["n"]
-    table = df.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    table = literal_table(df.sparkSession, offsets, "_part long, _before long")
     position = F.col("_id").bitwiseAND(F.lit(2**_PARTITION_BIT - 1))
     return (
         placed.join(F.broadcast(table), "_part")
@@ -92,7 +94,7 @@ def ordinal_code(df: DataFrame, label: str, name: str) -> DataFrame:
     if len(found) <= LABEL_ROWS:
         rows = [(v, i) for i, v in enumerate(sorted(r[0] for r in found), start=1)]
         schema = f"`{label}` {df.schema[label].dataType.simpleString()}, `{name}` long"
-        codes = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+        codes = F.broadcast(literal_table(df.sparkSession, rows, schema))
         return df.join(codes, label, "left")
     return skew_safe_join(df, numbered(labels, [label], name), [label], "left")
 
@@ -181,18 +183,18 @@ def binscatter(
     probs = [i / nbins for i in range(1, nbins)]
     groups = [by] if by else []
     points = quantiles(rows, x, probs, groups)
+    number = " + ".join(["0"] + [f"if(`{x}` > get(_cuts, {i}), 1, 0)" for i in range(nbins - 1)])
     if by:
         cuts = points.groupBy(by).agg(
             F.array_distinct(F.array_sort(F.collect_list(x))).alias("_cuts")
         )
         rows = attach(rows, materialise(cuts, "cuts"), [by], "inner", salt_on=[x, y])
-        cut = [F.get("_cuts", F.lit(i)) for i in range(nbins - 1)]
     else:
-        cut = [F.lit(r[0]) for r in points.select(x).distinct().collect()]
-    number = sum((F.when(F.col(x) > c, 1).otherwise(0) for c in cut), F.lit(0))
+        found = sorted(r[0] for r in points.select(x).distinct().collect())
+        rows = rows.withColumn("_cuts", F.array(*map(F.lit, found)))
     spread = 1.96 * F.col("sd_y") / F.sqrt("n")
     bins = (
-        rows.withColumn("bin", number.cast("int"))
+        rows.withColumn("bin", F.expr(f"int({number})"))
         .groupBy(*groups, "bin")
         .agg(
             F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"),

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import product
 from math import prod
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinigrid.session import row_count_within
+from clinigrid.functions import literal
+from clinigrid.session import estimated_bytes, literal_table, row_count_within
 
 # A key with more left rows than this is split over several tasks.
 HOT_ROWS = 2_000_000
@@ -17,7 +20,9 @@ HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 1000
 # A side is broadcast on request only after its row count was checked against this.
 BROADCAST_ROWS = 50_000
-# Salts given to rows with a missing key; they match nothing, so any task may hold them.
+# Bytes below which no row can be; with HOT_ROWS it bounds tables that need no counting.
+SMALLEST_ROW = 16
+# Salts given to rows with a missing key.
 NULL_KEY_SALTS = 1024
 # Literal grids larger than this belong in a table, not in the plan.
 MAX_GRID_CELLS = 512
@@ -57,16 +62,33 @@ def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> Data
     )
 
 
+def find_hot_keys(
+    df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS
+) -> DataFrame | None:
+    """The hot keys as a literal table, or None if there are none.
+
+    A table too small to hold one hot key is not counted at all. ``df`` is read once more
+    for the count, so a costly one should be written first.
+    """
+    if estimated_bytes(df) < hot_rows * SMALLEST_ROW:
+        return None
+    found = hot_keys(df, on, hot_rows)
+    rows = found.collect()
+    if not rows:
+        return None
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
+    return literal_table(df.sparkSession, [tuple(r) for r in rows], ddl)
+
+
 def salt_left(left: DataFrame, hot: DataFrame, on: Sequence[str], salt_on: Sequence[str]) -> DataFrame:
     """Add ``_salt``, spreading hot keys by a hash of columns that differ under one key."""
-    spread = F.xxhash64(*salt_on)
-    missing = F.col(on[0]).isNull()
-    for k in on[1:]:
-        missing = missing | F.col(k).isNull()
-    splits = F.when(missing, F.lit(NULL_KEY_SALTS)).otherwise(F.coalesce("_splits", F.lit(1)))
+    splits = F.coalesce("_splits", F.lit(1))
+    missing = reduce(or_, [F.col(k).isNull() for k in on])
+    # Rows with a missing key match nothing, so any task may hold them.
+    splits = F.when(missing, F.lit(NULL_KEY_SALTS)).otherwise(splits)
     return (
         left.join(F.broadcast(hot), list(on), "left")
-        .withColumn("_salt", F.pmod(spread, splits).cast("int"))
+        .withColumn("_salt", F.pmod(F.xxhash64(*salt_on), splits).cast("int"))
         .drop("_splits")
     )
 
@@ -85,21 +107,25 @@ def salt_right(right: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame
 def skew_safe_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
     salt_on: Sequence[str] | None = None, hot_rows: int = HOT_ROWS,
+    counted_on: DataFrame | None = None, hot_on: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join where one key may hold a large part of ``left``; ``right`` has few rows per key.
 
     Adaptive execution already splits skewed partitions when both sides are plain
     shuffles. It cannot when a side comes out of an aggregate on the join key; this
     join can, as it salts hot keys in the plan. ``salt_on`` names left columns that
-    tell rows of one key apart (default: all others). ``how`` is inner, left or
-    left_semi.
+    tell rows of one key apart (default: all others). ``counted_on`` is a table with the
+    key counts of ``left`` that is cheaper to read, ``hot_on`` the part of the key to
+    count. ``how`` is inner, left or left_semi.
     """
-    on = list(on)
+    on, hot_on = list(on), list(hot_on or on)
+    hot = find_hot_keys(left if counted_on is None else counted_on, hot_on, hot_rows)
+    if hot is None:
+        return left.join(right, on, how)
     others = list(salt_on or [c for c in left.columns if c not in on])
-    hot = hot_keys(left, on, hot_rows)
     return (
-        salt_left(left, hot, on, others)
-        .join(salt_right(right, hot, on), [*on, "_salt"], how)
+        salt_left(left, hot, hot_on, others)
+        .join(salt_right(right, hot, hot_on), [*on, "_salt"], how)
         .drop("_salt")
     )
 
@@ -129,24 +155,21 @@ def complete(
     """
     if prod(len(v) for v in domains.values()) > MAX_GRID_CELLS:
         raise ValueError(f"more than {MAX_GRID_CELLS} cells per key")
-    names = list(domains)
-    types = {f.name: f.dataType for f in df.schema}
-    values = list(fill)
-
-    def cell(combination: tuple):
-        here = F.lit(True)
-        for name, value in zip(names, combination):
-            here = here & F.col(name).eqNullSafe(F.lit(value))
-        got = F.max(F.when(here, F.struct(*values)))
-        fields = [F.lit(v).cast(types[n]).alias(n) for n, v in zip(names, combination)]
-        fields += [
-            F.coalesce(got.getField(v), F.lit(fill[v]).cast(types[v])).alias(v) for v in values
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    values = ", ".join(f"`{v}`" for v in fill)
+    cells = []
+    for combination in product(*domains.values()):
+        pairs = [(n, f"cast({literal(v)} AS {types[n]})") for n, v in zip(domains, combination)]
+        here = " AND ".join(f"`{n}` <=> {v}" for n, v in pairs)
+        got = f"max(CASE WHEN {here} THEN struct({values}) END)"
+        fields = [f"'{n}', {v}" for n, v in pairs] + [
+            f"'{v}', coalesce({got}.`{v}`, cast({literal(x)} AS {types[v]}))" for v, x in fill.items()
         ]
-        twice = F.raise_error(F.lit(f"cell {combination} occurs twice under one key"))
-        return F.when(F.count_if(here) > 1, twice).otherwise(F.struct(*fields))
-
-    cells = F.array(*[cell(c) for c in product(*domains.values())])
+        twice = f"raise_error({literal(f'cell {combination} occurs twice under one key')})"
+        cells.append(
+            f"CASE WHEN count_if({here}) > 1 THEN {twice} ELSE named_struct({', '.join(fields)}) END"
+        )
     return (
-        df.groupBy(*keys).agg(cells.alias("_cells"))
+        df.groupBy(*keys).agg(F.expr(f"array({', '.join(cells)})").alias("_cells"))
         .select(*keys, F.inline("_cells"))
     )

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clinigrid.functions import literal
+
 
 def to_long(
     df: DataFrame, ids: Sequence[str], values: Sequence[str], names_to: str, values_to: str,
@@ -28,24 +30,22 @@ def to_wide(
     ``names`` is given, so the schema is fixed and no extra job lists it. A cell with two
     rows is an error instead of an arbitrary pick.
     """
-    key = F.col(names_from)
-    single = bool(prefix) and len(values_from) == 1
-    cells, counts = [], []
-    for name in names:
-        here = key == F.lit(name)
-        counts.append(F.count_if(here))
-        for value in values_from:
-            target = f"{prefix}{name}" if single else f"{prefix}{value}_{name}"
-            cells.append((target, F.max(F.when(here, F.col(value)))))
-    order = [f"{prefix}{v}_{n}" for v in values_from for n in names]
-    most = F.greatest(*counts) if len(counts) > 1 else counts[0]
-    wide = df.groupBy(*ids).agg(most.alias("_most"), *[c.alias(n) for n, c in cells])
+    def title(value: str, name: str) -> str:
+        single = bool(prefix) and len(values_from) == 1
+        return f"{prefix}{name}" if single else f"{prefix}{value}_{name}"
+
+    key = f"`{names_from}`"
+    columns = [
+        f"max(CASE WHEN {key} = {literal(n)} THEN `{v}` END) AS `{title(v, n)}`"
+        for v in values_from for n in names
+    ]
+    counts = ", ".join(f"count_if({key} = {literal(n)})" for n in names)
+    wide = df.groupBy(*ids).agg(
+        F.expr(f"array_max(array({counts})) AS _most"), *map(F.expr, columns)
+    )
     message = F.concat(F.lit(f"{names_from}: two rows for one cell under "), F.concat_ws("/", *ids))
     first = F.when(F.col("_most") > 1, F.raise_error(message)).otherwise(F.col(ids[0]))
-    columns = [n for n, _ in cells] if single else order
-    return wide.select(
-        first.alias(ids[0]), *ids[1:], *[F.col(f"`{c}`") for c in columns]
-    )
+    return wide.withColumn(ids[0], first).drop("_most")
 
 
 def stack_named(tables: Mapping[str, DataFrame], id_column: str) -> DataFrame:

@@ -27,9 +27,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Double columns rounded, so that results compare across engines."""
-    return df.select(*[
-        F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
-        if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
+    return df.selectExpr(*[
+        f"round(`{f.name}`, {digits}) AS `{f.name}`"
+        if isinstance(f.dataType, T.DoubleType) else f"`{f.name}`"
         for f in df.schema
     ])
 
@@ -195,7 +195,7 @@ def simple_graph(spark, sf):
 
 
 def _nation_edges(spark, sf):
-    return graph.contiguity(b.nation_squares(spark, sf))
+    return materialise(graph.contiguity(b.nation_squares(spark, sf)), "edges")
 
 
 def neighbourhood_totals(spark, sf):
@@ -216,7 +216,7 @@ def own_vs_neighbour(spark, sf):
 # --- communities --------------------------------------------------------------------
 
 def _vector_edges(spark, sf):
-    return graph.contiguity(b.vector_squares(spark, sf))
+    return materialise(graph.contiguity(b.vector_squares(spark, sf)), "edges")
 
 
 def cosine_edges(spark, sf):

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
@@ -19,6 +23,8 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Plans here have many generated columns; call sites of each cost driver time.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -60,6 +66,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def literal_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """A small table held in the plan itself, so that its size is known to the optimizer."""
+    schema = StructType.fromDDL(ddl)
+    columns = zip(*rows) if rows else [[] for _ in schema]
+    arrow = to_arrow_schema(schema)
+    arrays = [pa.array(list(c), f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; exact for tables read from files without a filter."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def row_count_within(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows; never counts further than that."""
     return df.limit(limit + 1).count() <= limit
