@@ -5,15 +5,18 @@ from __future__ import annotations
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from clinigrid.operators.reshape import stack_named
-from clinigrid.session import materialise
+from clinigrid.session import literal_table, materialise
 
 # Forest size, columns tried per split, train share, folds and seed.
 TREES = 2000
@@ -52,6 +55,7 @@ class ForestSettings:
     columns_per_split: int = COLUMNS_PER_SPLIT
     folds: int = FOLDS
     seed: int = SEED
+    parallelism: int = 4
     grid: list[dict] = field(default_factory=regular_grid)
 
 
@@ -96,8 +100,8 @@ def _forest(settings: ForestSettings, width: int) -> RandomForestRegressor:
 def fit_forest(table: DataFrame, settings: ForestSettings) -> ForestResult:
     """Tune on folds of the training share, refit the best setting, score the rest.
 
-    Every fit and every prediction is a distributed job; only one metric row per setting
-    and one importance row per feature reach the driver.
+    Every fit and every prediction is a distributed job, and several fits run at once;
+    only one metric row per setting and one importance row per feature reach the driver.
     """
     started = time.perf_counter()
     spark = table.sparkSession
@@ -111,40 +115,45 @@ def fit_forest(table: DataFrame, settings: ForestSettings) -> ForestResult:
         ),
         "forest",
     )
-    train = rows.where("train").cache()
+    train = rows.where("train")
+    folds = [r["fold"] for r in train.select("fold").distinct().orderBy("fold").collect()]
+    if len(folds) < 2:
+        raise ValueError("too few complete rows to hold out a fold")
     forest = _forest(settings, len(names))
-    scored = []
-    for fold in range(settings.folds):
-        rest, held = train.where(F.col("fold") != fold), train.where(F.col("fold") == fold)
-        if rest.isEmpty() or held.isEmpty():
-            continue
-        for number, values in enumerate(settings.grid):
-            model = forest.fit(rest, {getattr(forest, k): v for k, v in values.items()})
-            scored.append(
-                model.transform(held).select(
-                    F.lit(number).alias("config"), "fold", settings.label, "prediction"
-                )
-            )
-    predictions = scored[0]
-    for part in scored[1:]:
-        predictions = predictions.unionByName(part)
+
+    def fit(data: DataFrame, number: int) -> Model:
+        values = settings.grid[number]
+        return forest.fit(data, {getattr(forest, k): v for k, v in values.items()})
+
+    def held_out(fold: int, number: int) -> DataFrame:
+        model = fit(train.where(F.col("fold") != fold), number)
+        return model.transform(train.where(F.col("fold") == fold)).select(
+            F.lit(number).alias("config"), "fold", settings.label, "prediction"
+        )
+
+    tasks = [
+        inheritable_thread_target(spark)(partial(held_out, fold, number))
+        for fold in folds for number in range(len(settings.grid))
+    ]
+    with ThreadPool(settings.parallelism) as pool:
+        predictions = reduce(DataFrame.unionByName, pool.map(lambda task: task(), tasks))
     per_fold = metrics(predictions, settings.label, ["config", "fold"])
     tuning = materialise(summarise_folds(per_fold, ["config"]), "tuning")
     best = (
         tuning.where(F.col("metric") == "rsq")
         .orderBy(F.desc_nulls_last("mean"), "config").first()
     )
-    chosen = settings.grid[best["config"]]
-    model = forest.fit(train, {getattr(forest, k): v for k, v in chosen.items()})
+    model = fit(train, best["config"])
     test = metrics(
         model.transform(rows.where(~F.col("train"))).withColumn("part", F.lit("test")),
         settings.label, ["part"],
     ).drop("part")
-    importance = spark.createDataFrame(
-        [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())],
+    importance = literal_table(
+        spark, [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())],
         "variable string, importance double",
     ).orderBy(F.desc_nulls_last("importance"), "variable")
-    grid = spark.createDataFrame(
+    grid = literal_table(
+        spark,
         [(i, c["maxDepth"], float(c["minInfoGain"])) for i, c in enumerate(settings.grid)],
         "config int, max_depth int, min_info_gain double",
     )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clinigrid.session import literal_table
+
 
 def loglog_regression(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     """Simple regression of log10 y on log10 x per group, over rows where both are positive."""
@@ -29,9 +33,13 @@ def glm_coefficients(df: DataFrame, formula: str) -> DataFrame:
     Text columns become factors whose first level, in alphabetical order, is the baseline.
     Rows with a missing value are left out. Only one row per coefficient reaches the driver.
     """
+    used = df.columns if "." in formula.split() else [
+        c for c in df.columns if re.search(rf"\b{re.escape(c)}\b", formula)
+    ]
+    df = df.dropna("any", subset=used)
     encoder = RFormula(
         formula=formula, featuresCol="_features", labelCol="_label",
-        stringIndexerOrderType="alphabetDesc", handleInvalid="skip",
+        stringIndexerOrderType="alphabetDesc",
     ).fit(df)
     rows = encoder.transform(df).select("_features", "_label")
     model = GeneralizedLinearRegression(
@@ -48,6 +56,7 @@ def glm_coefficients(df: DataFrame, formula: str) -> DataFrame:
         map(float, summary.tValues),
         map(float, summary.pValues),
     ))
-    return df.sparkSession.createDataFrame(
-        table, "term string, estimate double, std_error double, statistic double, p_value double"
+    return literal_table(
+        df.sparkSession, table,
+        "term string, estimate double, std_error double, statistic double, p_value double"
     ).orderBy(F.asc_nulls_last("p_value"))

@@ -341,7 +341,7 @@ FROM area LEFT JOIN beds USING (CVEGEO)""",
   SELECT ola, log10(beds_per_100khab) AS lx, log10(cfr) AS ly FROM fatality JOIN beds USING (CVEGEO)
   WHERE casos_totales > 5 AND cfr > 0 AND beds_per_100khab > 0)
 SELECT ola, count(*) AS n, round(regr_slope(ly, lx), 4) AS slope,
-  round(regr_intercept(ly, lx), 4) AS intercept, round(regr_r2(ly, lx), 4) AS r2
+  round(regr_intercept(ly, lx), 4) AS intercept, nullif(round(regr_r2(ly, lx), 4), 'nan'::DOUBLE) AS r2
 FROM point GROUP BY ola""",
     "units_by_state_institution": f"""WITH {AREA}, {FACILITY}
 SELECT state, institution, count(*) AS n FROM facility
