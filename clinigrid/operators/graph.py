@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from clinigrid.functions import numeric_columns
@@ -197,10 +198,19 @@ def label_round(
     ).withColumn("wanted", F.coalesce("wanted", "label"))
 
 
-def _salted_ends(graph: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def _partitioned_ends(graph: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edge ends, laid out once by the vertex whose label they carry (and its salts).
+
+    Every round then moves only labels to the edges and votes away from them. The layout is
+    cached over a written table: what a lost executor held is read and laid out again.
+    """
     ends = materialise(_weighted_ends(graph), "ends")
     hot = find_hot_keys(ends, ["u"])
-    return (ends if hot is None else salt_left(ends, hot, ["u"], ["v"])), hot
+    keys = ["u"]
+    if hot is not None:
+        ends, keys = salt_left(ends, hot, ["u"], ["v"]), ["u", "_salt"]
+    parts = int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ends.repartition(parts, *keys).persist(StorageLevel.MEMORY_AND_DISK), hot
 
 
 def _initial_labels(graph: DataFrame, trials: int) -> DataFrame:
@@ -213,13 +223,14 @@ def _initial_labels(graph: DataFrame, trials: int) -> DataFrame:
 
 def propagate_labels_fixed(graph: DataFrame, rounds: int) -> DataFrame:
     """Label propagation, all vertices at once, smallest label on ties, a fixed round count."""
-    ends, hot = _salted_ends(graph)
+    ends, hot = _partitioned_ends(graph)
     labels = _initial_labels(graph, 1)
-    for i in range(rounds):
+    for _ in range(rounds):
         wanted = label_round(ends, labels, hot, keep_current=False)
-        labels = wanted.select("trial", "id", F.col("wanted").alias("label"))
-        if i + 1 < rounds:
-            labels = materialise(labels, "labels")
+        labels = materialise(
+            wanted.select("trial", "id", F.col("wanted").alias("label")), "labels"
+        )
+    ends.unpersist()
     return labels.drop("trial")
 
 
@@ -232,8 +243,8 @@ def propagate_labels(
     no vertex wants another one. All trials share every round's jobs. Each round is
     written out, so a lost executor costs at most one round and the plan stays short.
     """
-    ends, hot = _salted_ends(graph)
-    labels = materialise(_initial_labels(graph, trials), "labels")
+    ends, hot = _partitioned_ends(graph)
+    labels = _initial_labels(graph, trials)
     for i in range(max_iter):
         turn = F.pmod(F.xxhash64("id", "trial", F.lit(i), F.lit(seed)), F.lit(2)) == 0
         moved = label_round(ends, labels, hot, keep_current=True).select(
@@ -241,10 +252,12 @@ def propagate_labels(
             F.when(turn, F.col("wanted")).otherwise(F.col("label")).alias("label"),
             (F.col("wanted") != F.col("label")).alias("unsettled"),
         )
-        state = materialise(moved, "labels")
-        labels = state.drop("unsettled")
-        if state.where("unsettled").isEmpty():
+        seen = Observation()
+        counted = moved.observe(seen, F.count_if("unsettled").alias("unsettled"))
+        labels = materialise(counted, "labels").drop("unsettled")
+        if seen.get["unsettled"] == 0:
             break
+    ends.unpersist()
     return labels
 
 

@@ -170,13 +170,17 @@ def population_quantiles(spark, sf):
     return rounded(resources.population_quantiles(areas))
 
 
+def _catchments(spark, sf):
+    return materialise(b.catchments(spark, sf), "catchments")
+
+
 def binscatter_beds(spark, sf):
-    return rounded(resources.bins_of_resources(b.catchments(spark, sf), "poblacion", "beds", 5))
+    return rounded(resources.bins_of_resources(_catchments(spark, sf), "poblacion", "beds", 5))
 
 
 def binscatter_by_institution(spark, sf):
     return rounded(
-        resources.bins_of_resources(b.catchments(spark, sf), "poblacion", "beds", 3, by="institution")
+        resources.bins_of_resources(_catchments(spark, sf), "poblacion", "beds", 3, by="institution")
     )
 
 
@@ -227,6 +231,15 @@ def cosine_edges(spark, sf):
     )
 
 
+def area_similarity(spark, sf):
+    """Neighbouring areas compared by fatality, tests, age and affiliates of all waves."""
+    vectors = materialise(communities.area_vectors(_features_v2(spark, sf)), "vectors")
+    return rounded(
+        graph.cosine_edges(_nation_edges(spark, sf), vectors, "CVEGEO", "vector",
+                           communities.VECTOR_WIDTH), 6,
+    )
+
+
 def _vector_graph(spark, sf):
     found = communities.similarity_graph(
         _vector_edges(spark, sf), b.vectors(spark, sf), "vec_id", "embedding", b.VECTOR_WIDTH
@@ -305,9 +318,8 @@ def feature_table_v1(spark, sf):
 
 def _features_v2(spark, sf):
     return features.feature_table_v2(
-        materialise(fatality(spark, sf), "fatality"),
-        resources.demographic_shares(b.demography(spark, sf)),
-        materialise(_contributions(spark, sf), "contributions"), capita_tests(spark, sf),
+        fatality(spark, sf), resources.demographic_shares(b.demography(spark, sf)),
+        _contributions(spark, sf), capita_tests(spark, sf),
     )
 
 
@@ -406,7 +418,7 @@ QUERIES: dict[str, Query] = {
         facility_staff, resources_by_area_institution, institution_harmonised,
         resources_population, affiliation_long, demographic_shares, capita_wide, coverage_wide,
         contiguity_queen, contiguity_rook, simple_graph, neighbourhood_totals, own_vs_neighbour,
-        cosine_edges, communities_two_rounds, partition_quality, top_institution_per_community,
+        cosine_edges, area_similarity, communities_two_rounds, partition_quality, top_institution_per_community,
         contribution_label, bed_zscore, beds_per_100k, loglog_regression_by_wave,
         glm_coefficients, units_by_state_institution, institution_sizes, state_bed_category,
         state_totals_population, resource_trend, resource_type_crosstab, population_quantiles,

@@ -16,6 +16,7 @@ from clinigrid.plans.resources import with_area_key
 # Columns that vary by wave, and columns that are the same in every wave.
 BY_WAVE = ("cfr", "pruebas_dia_capita")
 CONSTANT = ("mun_derechohabientes_PDER_IMSS", "POB65_MAS", "POBFEM")
+VECTOR_WIDTH = len(BY_WAVE) * len(WAVE_LABELS) + len(CONSTANT)
 
 
 def area_vectors(features: DataFrame, waves=WAVE_LABELS) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from clinigrid.functions import apply_across, columns_matching, drop_all_missing, missing_to_zero
 from clinigrid.operators.joins import natural_join
+from clinigrid.session import materialise
 
 
 def feature_table_v1(
@@ -24,15 +24,16 @@ def feature_table_v2(
 ) -> DataFrame:
     """Fatality per area and wave with age, own and neighbouring resources, and tests.
 
-    Columns without any value leave; a missing own share counts as 0.
+    Columns without any value leave; a missing own share counts as 0. Which columns those
+    are depends on the data, so the joined table is written before it is looked at.
     """
     table = fatality
     for part in (shares, contributions, tests):
         table = natural_join(table, part)
-    table = drop_all_missing(table)
+    table = drop_all_missing(materialise(table, "features"))
     return apply_across(table, columns_matching(table, contains="contrib"), missing_to_zero)
 
 
 def in_scenarios(table: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Rows of the waves that belong to a scenario, with its name."""
-    return table.join(F.broadcast(scenarios), "ola")
+    return natural_join(table, scenarios, "inner")

@@ -295,6 +295,18 @@ FROM edge JOIN wide ON wide.CVEGEO = V2 GROUP BY V1""",
 SELECT CVEGEO, {_rounded(*_CONTRIBUTION_NAMES)} FROM contribution""",
     "cosine_edges": f"""WITH {VECTOR_GRAPH}
 SELECT V1, V2, round(cosine_distance, 6) AS cosine_distance FROM distance""",
+    "area_similarity": f"""WITH {RESOURCES_POPULATION}, {WAVE}, {FATALITY.split(f"{WAVE},")[1]}, {TESTS},
+{POPULATION}, {CAPITA_TESTS}, {SHARES}, {NATION_EDGES}, coordinate AS (
+  SELECT CVEGEO, 'cfr' || ola AS k, cfr AS x FROM fatality
+  UNION ALL SELECT CVEGEO, 'tests' || ola, pruebas_dia_capita
+    FROM fatality LEFT JOIN capita_tests USING (CVEGEO, ola)
+  UNION ALL SELECT CVEGEO, 'old', POB65_MAS FROM shares
+  UNION ALL SELECT CVEGEO, 'women', POBFEM FROM shares
+  UNION ALL SELECT CVEGEO, 'imss', derechohabientes FROM own WHERE institucion_inegi = 'PDER_IMSS')
+SELECT V1, V2, CASE WHEN count(a.x * b.x) = 17 THEN
+  round(1 - sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 6) END AS cosine_distance
+FROM edge JOIN coordinate a ON a.CVEGEO = V1 JOIN coordinate b ON b.CVEGEO = V2 AND b.k = a.k
+GROUP BY V1, V2""",
     "communities_two_rounds": f"""WITH {VECTOR_GRAPH}, ends AS (
   SELECT src AS v, dst AS u, round(weight / 1e-9)::BIGINT AS w FROM graph
   UNION ALL SELECT dst, src, round(weight / 1e-9)::BIGINT FROM graph),

@@ -53,7 +53,7 @@ def resources_by_institution(facilities: DataFrame, staff: DataFrame) -> DataFra
 
 def harmonise_institutions(by_institution: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Provider codes to census variables: "other" leaves, providers of one variable add up."""
-    named = by_institution.join(F.broadcast(dictionary), "institution").drop(
+    named = by_institution.join(dictionary, "institution").drop(
         "nombre_institucion", "institution"
     )
     keys = [c for c in named.columns if c not in MEASURES]
@@ -76,7 +76,7 @@ def affiliation_long(census: DataFrame, dictionary: DataFrame) -> DataFrame:
     long = to_long(
         wide, wide.columns[:4], columns_matching(wide, prefix="P"), "variable", "valor", "double"
     )
-    named = natural_join(long, F.broadcast(dictionary), "inner")
+    named = natural_join(long, dictionary, "inner")
     return named.withColumn("state", short_state_name("state_id", "state"))
 
 
@@ -124,7 +124,7 @@ def resources_population(
     joined = (
         affiliates_by_variable(population)
         .join(harmonised, ["municipality", "municipality_id", "variable"], "left")
-        .join(F.broadcast(institution_names(dictionary)), "variable", "left")
+        .join(institution_names(dictionary), "variable", "left")
         .select(
             "state_id", "state", "municipality_id", "municipality",
             F.col("variable").alias("institucion_inegi"), F.col("nombre").alias("institucion"),
