@@ -210,7 +210,8 @@ def _partitioned_ends(graph: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     if hot is not None:
         ends, keys = salt_left(ends, hot, ["u"], ["v"]), ["u", "_salt"]
     parts = int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ends.repartition(parts, *keys).persist(StorageLevel.MEMORY_AND_DISK), hot
+    laid_out = ends.repartition(parts, *keys).sortWithinPartitions(*keys)
+    return laid_out.persist(StorageLevel.MEMORY_AND_DISK), hot
 
 
 def _initial_labels(graph: DataFrame, trials: int) -> DataFrame:

@@ -156,14 +156,13 @@ def complete(
     if prod(len(v) for v in domains.values()) > MAX_GRID_CELLS:
         raise ValueError(f"more than {MAX_GRID_CELLS} cells per key")
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    values = ", ".join(f"`{v}`" for v in fill)
     cells = []
     for combination in product(*domains.values()):
         pairs = [(n, f"cast({literal(v)} AS {types[n]})") for n, v in zip(domains, combination)]
         here = " AND ".join(f"`{n}` <=> {v}" for n, v in pairs)
-        got = f"max(CASE WHEN {here} THEN struct({values}) END)"
         fields = [f"'{n}', {v}" for n, v in pairs] + [
-            f"'{v}', coalesce({got}.`{v}`, cast({literal(x)} AS {types[v]}))" for v, x in fill.items()
+            f"'{v}', coalesce(max(CASE WHEN {here} THEN `{v}` END), cast({literal(x)} AS {types[v]}))"
+            for v, x in fill.items()
         ]
         twice = f"raise_error({literal(f'cell {combination} occurs twice under one key')})"
         cells.append(
