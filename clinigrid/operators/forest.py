@@ -166,11 +166,12 @@ def fit_forest(table: DataFrame, settings: ForestSettings) -> ForestResult:
 def fit_scenarios(
     table: DataFrame, scenarios: Mapping[str, Sequence[str]], settings: ForestSettings
 ) -> dict[str, ForestResult]:
-    """One tuned forest per scenario of waves."""
-    return {
-        name: fit_forest(table.where(F.col("ola").isin(*olas)), settings)
-        for name, olas in scenarios.items()
-    }
+    """One tuned forest per scenario of waves, the scenarios side by side."""
+    fit = inheritable_thread_target(table.sparkSession)(
+        lambda olas: fit_forest(table.where(F.col("ola").isin(*olas)), settings)
+    )
+    with ThreadPool(len(scenarios)) as pool:
+        return dict(zip(scenarios, pool.map(fit, scenarios.values())))
 
 
 def scenario_metrics(results: Mapping[str, ForestResult]) -> DataFrame:

@@ -88,7 +88,11 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFra
 
 
 def ordinal_code(df: DataFrame, label: str, name: str) -> DataFrame:
-    """1-based position of each row's label among the sorted distinct labels."""
+    """1-based position of each row's label among the sorted distinct labels.
+
+    Labels are listed first, up to a bound that the driver can sort; beyond it they are
+    numbered by a distributed sort. ``df`` is read twice.
+    """
     labels = df.where(F.col(label).isNotNull()).select(label).distinct()
     found = labels.limit(LABEL_ROWS + 1).collect()
     if len(found) <= LABEL_ROWS:
@@ -176,7 +180,7 @@ def binscatter(
 ) -> DataFrame:
     """Mean of y in equal-frequency bins of x, with a normal 95 % interval.
 
-    ``bin`` counts the breakpoints below x. ``x_range`` limits the bins shown, not the
+    ``df`` is read twice, for the breakpoints and for the bins. ``bin`` counts the breakpoints below x. ``x_range`` limits the bins shown, not the
     rows they are made from.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())

@@ -9,7 +9,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinigrid.session import literal_table
+from clinigrid.session import literal_table, materialise
 
 
 def loglog_regression(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
@@ -31,12 +31,13 @@ def glm_coefficients(df: DataFrame, formula: str) -> DataFrame:
     """Gaussian linear model as a coefficient table, smallest p-value first.
 
     Text columns become factors whose first level, in alphabetical order, is the baseline.
-    Rows with a missing value are left out. Only one row per coefficient reaches the driver.
+    Rows with a missing value are left out. The fit reads its rows several times, so they
+    are written first. Only one row per coefficient reaches the driver.
     """
     used = df.columns if "." in formula.split() else [
         c for c in df.columns if re.search(rf"\b{re.escape(c)}\b", formula)
     ]
-    df = df.dropna("any", subset=used)
+    df = materialise(df.select(*used).dropna("any"), "glm")
     encoder = RFormula(
         formula=formula, featuresCol="_features", labelCol="_label",
         stringIndexerOrderType="alphabetDesc",

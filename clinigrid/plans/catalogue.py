@@ -298,7 +298,7 @@ def loglog_regression_by_wave(spark, sf):
 
 
 def glm_coefficients(spark, sf):
-    rows = materialise(_rates_and_beds(spark, sf), "rates")
+    rows = _rates_and_beds(spark, sf)
     return rounded(stats.glm_coefficients(rows, "cfr ~ beds_per_100khab + ola"), 6)
 
 

@@ -15,6 +15,7 @@ from clinigrid.functions import (
 )
 from clinigrid.operators.grouping import ordinal_code, share_in_small_groups
 from clinigrid.operators.joins import complete, natural_join
+from clinigrid.session import materialise
 
 # Final classifications of confirmed cases and of laboratory tests; the day
 # after which a recorded date counts as a death.
@@ -102,7 +103,10 @@ def tests_per_capita(tests: DataFrame, population: DataFrame) -> DataFrame:
 
 
 def weekly_cases(cases: DataFrame) -> DataFrame:
-    """Cases per epidemiological week, with the week's ordinal among the weeks seen."""
+    """Cases per epidemiological week, with the week's ordinal among the weeks seen.
+
+    The weekly counts are written before they are numbered: the cases are read once.
+    """
     weeks = (
         cases.groupBy(epi_year_week("FECHA_SINTOMAS").alias("semana"))
         .agg(
@@ -112,4 +116,4 @@ def weekly_cases(cases: DataFrame) -> DataFrame:
         )
         .withColumn("annum", F.year("primer_dia"))
     )
-    return ordinal_code(weeks, "semana", "codigo")
+    return ordinal_code(materialise(weeks, "weeks"), "semana", "codigo")

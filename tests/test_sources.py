@@ -88,3 +88,19 @@ def test_declared_schemas_parse():
 
     names = [n for n in vars(schemas) if n.isupper()]
     assert all(StructType.fromDDL(getattr(schemas, n)) for n in names)
+
+
+def test_tables_that_cut_lineage_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from clinigrid.session import shared_folder
+
+    def session(master, folder):
+        context = SimpleNamespace(master=master, applicationId=f"app-{master}")
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=context)
+
+    assert shared_folder(session("spark://host:7077", "s3a://x/y/")) == "s3a://x/y"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("spark://host:7077", None))
+    local = session("local[2]", None)
+    assert shared_folder(local) == shared_folder(local)
