@@ -302,6 +302,11 @@ def glm_coefficients(spark, sf):
     return rounded(stats.glm_coefficients(rows, "cfr ~ beds_per_100khab + ola"), 6)
 
 
+def glm_estimates(spark, sf):
+    """The coefficient table without p-values, which SQL can check."""
+    return glm_coefficients(spark, sf).drop("p_value")
+
+
 def _features_v1(spark, sf):
     table = materialise(resources_population(spark, sf), "resources")
     people = population(spark, sf)
@@ -420,7 +425,7 @@ QUERIES: dict[str, Query] = {
         contiguity_queen, contiguity_rook, simple_graph, neighbourhood_totals, own_vs_neighbour,
         cosine_edges, area_similarity, communities_two_rounds, partition_quality, top_institution_per_community,
         contribution_label, bed_zscore, beds_per_100k, loglog_regression_by_wave,
-        glm_coefficients, units_by_state_institution, institution_sizes, state_bed_category,
+        glm_coefficients, glm_estimates, units_by_state_institution, institution_sizes, state_bed_category,
         state_totals_population, resource_trend, resource_type_crosstab, population_quantiles,
         binscatter_beds, binscatter_by_institution, cube_slice_union, json_records_scan,
         tsv_round_trip, not_in_keep_null, sorted_distinct, area_keys, capitalised_labels,

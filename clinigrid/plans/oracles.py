@@ -355,6 +355,25 @@ FROM area LEFT JOIN beds USING (CVEGEO)""",
 SELECT ola, count(*) AS n, round(regr_slope(ly, lx), 4) AS slope,
   round(regr_intercept(ly, lx), 4) AS intercept, nullif(round(regr_r2(ly, lx), 4), 'nan'::DOUBLE) AS r2
 FROM point GROUP BY ola""",
+    # One slope and one level per wave: the slope is that of the rows centred by wave.
+    "glm_estimates": f"""WITH {BEDS}, point AS (
+  SELECT ola, beds_per_100khab AS x, cfr AS y FROM fatality JOIN beds USING (CVEGEO)
+  WHERE cfr IS NOT NULL AND beds_per_100khab IS NOT NULL),
+level AS (SELECT ola, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM point GROUP BY ola),
+fit AS (
+  SELECT sum((x - mx) * (y - my)) / sum((x - mx) ** 2) AS b, sum((x - mx) ** 2) AS sxx,
+    sum((y - my) ** 2) AS syy, sum((x - mx) * (y - my)) AS sxy, count(*) - count(DISTINCT ola) - 1 AS df
+  FROM point JOIN level USING (ola)),
+noise AS (SELECT b, sxx, (syy - b * sxy) / df AS s2 FROM fit),
+base AS (SELECT * FROM level ORDER BY ola LIMIT 1),
+terms AS (
+  SELECT 'beds_per_100khab' AS term, b AS estimate, sqrt(s2 / sxx) AS std_error FROM noise
+  UNION ALL SELECT '(Intercept)', my - b * mx, sqrt(s2 * (1 / n + mx ** 2 / sxx)) FROM noise, base
+  UNION ALL SELECT 'ola_' || k.ola, k.my - b * k.mx - (g.my - b * g.mx),
+    sqrt(s2 * (1 / k.n + 1 / g.n + (k.mx - g.mx) ** 2 / sxx))
+  FROM noise, base g, level k WHERE k.ola <> g.ola)
+SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error,
+  round(estimate / std_error, 6) AS statistic FROM terms""",
     "units_by_state_institution": f"""WITH {AREA}, {FACILITY}
 SELECT state, institution, count(*) AS n FROM facility
 WHERE institution IN (SELECT institution FROM facility GROUP BY 1 HAVING count(*) > 5) GROUP BY 1, 2""",
