@@ -20,8 +20,9 @@ HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 1000
 # A side is broadcast on request only after its row count was checked against this.
 BROADCAST_ROWS = 50_000
-# Bytes below which no row can be; with HOT_ROWS it bounds tables that need no counting.
-SMALLEST_ROW = 16
+# A stored row with a distinct value takes at least this many bytes, compressed; with
+# HOT_ROWS it tells tables that need no counting.
+SMALLEST_ROW = 1
 # Salts given to rows with a missing key.
 NULL_KEY_SALTS = 1024
 # Literal grids larger than this belong in a table, not in the plan.
