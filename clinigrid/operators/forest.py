@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import partial, reduce
+from functools import partial
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Model
@@ -68,16 +68,13 @@ class ForestResult:
     elapsed_seconds: float
 
 
-def metrics(predictions: DataFrame, label: str, by: Sequence[str]) -> DataFrame:
-    """Root mean squared error and squared correlation per group, in long form."""
+def metrics(predictions: DataFrame, label: str) -> tuple[float | None, float | None]:
+    """Root mean squared error and squared correlation, from one aggregate row."""
     error = F.sqrt(F.avg(F.pow(F.col(label) - F.col("prediction"), F.lit(2.0))))
     # Constant predictions have no correlation: missing, not an error.
     spread = F.stddev_pop(label) * F.stddev_pop("prediction")
     r = F.try_divide(F.covar_pop(label, "prediction"), spread)
-    return (
-        predictions.groupBy(*by).agg(error.alias("rmse"), (r * r).alias("rsq"))
-        .unpivot(list(by), ["rmse", "rsq"], "metric", "estimate")
-    )
+    return tuple(predictions.agg(error, r * r).first())
 
 
 def summarise_folds(per_fold: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -100,8 +97,9 @@ def _forest(settings: ForestSettings, width: int) -> RandomForestRegressor:
 def fit_forest(table: DataFrame, settings: ForestSettings) -> ForestResult:
     """Tune on folds of the training share, refit the best setting, score the rest.
 
-    Every fit and every prediction is a distributed job, and several fits run at once;
-    only one metric row per setting and one importance row per feature reach the driver.
+    Every fit and every prediction is a distributed job, and several fits run at once. A
+    tuning model is dropped once it is scored; only metric rows and one importance per
+    feature reach the driver.
     """
     started = time.perf_counter()
     spark = table.sparkSession
@@ -125,29 +123,30 @@ def fit_forest(table: DataFrame, settings: ForestSettings) -> ForestResult:
         values = settings.grid[number]
         return forest.fit(data, {getattr(forest, k): v for k, v in values.items()})
 
-    def held_out(fold: int, number: int) -> DataFrame:
+    def held_out(fold: int, number: int) -> tuple:
         model = fit(train.where(F.col("fold") != fold), number)
-        return model.transform(train.where(F.col("fold") == fold)).select(
-            F.lit(number).alias("config"), "fold", settings.label, "prediction"
-        )
+        held = train.where(F.col("fold") == fold)
+        return number, fold, *metrics(model.transform(held), settings.label)
 
     tasks = [
         inheritable_thread_target(spark)(partial(held_out, fold, number))
         for fold in folds for number in range(len(settings.grid))
     ]
     with ThreadPool(settings.parallelism) as pool:
-        predictions = reduce(DataFrame.unionByName, pool.map(lambda task: task(), tasks))
-    per_fold = metrics(predictions, settings.label, ["config", "fold"])
-    tuning = materialise(summarise_folds(per_fold, ["config"]), "tuning")
+        scores = pool.map(lambda task: task(), tasks)
+    per_fold = literal_table(spark, scores, "config int, fold int, rmse double, rsq double")
+    tuning = summarise_folds(
+        per_fold.unpivot(["config", "fold"], ["rmse", "rsq"], "metric", "estimate"), ["config"]
+    )
     best = (
         tuning.where(F.col("metric") == "rsq")
         .orderBy(F.desc_nulls_last("mean"), "config").first()
     )
     model = fit(train, best["config"])
-    test = metrics(
-        model.transform(rows.where(~F.col("train"))).withColumn("part", F.lit("test")),
-        settings.label, ["part"],
-    ).drop("part")
+    scored = metrics(model.transform(rows.where(~F.col("train"))), settings.label)
+    test = literal_table(
+        spark, list(zip(("rmse", "rsq"), scored)), "metric string, estimate double"
+    )
     importance = literal_table(
         spark, [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())],
         "variable string, importance double",

@@ -50,7 +50,7 @@ def contiguity(vertices: DataFrame, rule: str = "queen", tolerance: float = 0.0)
     if rule == "rook":
         if tolerance:
             raise ValueError("the rook rule takes exactly matching coordinates")
-        return both_directions(_pairs_sharing(segments(vertices), ["p", "q"]))
+        return both_directions(_pairs_sharing(segments(vertices), ["px", "py", "qx", "qy"]))
     if rule != "queen":
         raise ValueError(f"unknown rule {rule!r}")
     points = vertices.select("geo_id", "x", "y").distinct()
@@ -79,7 +79,10 @@ def _near_pairs(points: DataFrame, tolerance: float) -> DataFrame:
 
 
 def segments(vertices: DataFrame) -> DataFrame:
-    """Undirected boundary segments (geo_id, p, q) of every ring, the closing one included."""
+    """Undirected boundary segments of every ring, the closing one included.
+
+    Columns: geo_id, px, py, qx, qy, with the smaller end point first.
+    """
     ring = ["geo_id", "part", "ring"]
     point = F.struct("x", "y")
     here = vertices.select(*ring, "seq", point.alias("a"))
@@ -91,6 +94,7 @@ def segments(vertices: DataFrame) -> DataFrame:
     return (
         inner.unionByName(closing).where(F.col("a") != F.col("b"))
         .select("geo_id", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
+        .selectExpr("geo_id", "p.x AS px", "p.y AS py", "q.x AS qx", "q.y AS qy")
         .distinct()
     )
 

@@ -1,6 +1,7 @@
 """Plans: what reaches the scan, what is shuffled, and what happens to a hot key."""
 
 import re
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +19,26 @@ def plan(df, executed=False):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@contextmanager
+def small_partitions(spark):
+    """Thresholds of adaptive execution at the size of test data, and no broadcasts."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 CHEAP = [
     "cfr_by_wave", "tests_per_capita", "facility_staff", "resources_by_area_institution",
     "resources_population", "capita_wide", "coverage_wide", "contiguity_queen", "contiguity_rook",
@@ -50,29 +71,27 @@ def test_year_reaches_the_resource_scan(spark):
 
 def test_adaptive_execution_splits_a_hot_customer(spark):
     """The line list joins two plain scans, so a hot key is split without our help."""
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-    }
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
+    with small_partitions(spark):
         hot = spark.range(0, 400_000, 1, 8).select(
             F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("c_custkey"),
             F.hash("id").alias("v"),
         )
         other = spark.range(5000).select(F.col("id").alias("c_custkey"), (F.col("id") % 25).alias("area"))
         df = hot.join(other, "c_custkey").groupBy("area").agg(F.count("*").alias("n"))
-        text = plan(df, executed=True)
         assert sum(r["n"] for r in df.collect()) == 400_000
-        assert "skew=true" in text
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+        assert "skew=true" in plan(df, executed=True)
+
+
+def test_adaptive_execution_splits_a_point_where_many_areas_meet(spark):
+    """A third of all boundary points is one point; its pairs are made by several tasks."""
+    with small_partitions(spark):
+        corner = spark.range(0, 3000, 1, 8).selectExpr("id AS geo_id", "0.0D AS x", "0.0D AS y")
+        others = spark.range(0, 6000, 1, 8).selectExpr(
+            "id + 10000 AS geo_id", "1.0D + id AS x", "1.0D AS y"
+        )
+        df = graph._pairs_sharing(corner.unionByName(others), ["x", "y"])
+        assert df.count() == 3000 * 2999 // 2
+        assert "skew=true" in plan(df.agg(F.count("*")), executed=True)
 
 
 def test_contiguity_shuffles_its_points_once(spark):
