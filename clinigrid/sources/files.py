@@ -16,28 +16,33 @@ MISSING = "NA"
 
 def read_delimited(
     spark: SparkSession, path: str | list[str], schema: str | T.StructType,
-    columns: Sequence[str] | None = None, sep: str = "\t", by_name: bool = True,
+    columns: Sequence[str] | None = None, sep: str = "\t", with_file: bool = False,
 ) -> DataFrame:
-    """Delimited text with a header. ``columns`` prunes at the scan.
+    """Delimited text with a header, matched to the schema by name.
 
-    ``by_name`` checks the header against the schema, so that a file with columns in
-    another order fails instead of shifting values.
+    The file may hold more columns, in any order; only those asked for are parsed. Types
+    come from the schema, never from the data; text that does not fit its type is missing.
+    ``with_file`` adds the name of the file each row came from.
     """
-    df = (
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    wanted = [f for f in fields if columns is None or f.name in columns]
+    text = (
         spark.read.option("sep", sep).option("header", True).option("nullValue", MISSING)
-        .option("enforceSchema", not by_name)
-        .schema(schema).csv(path)
+        .option("inferSchema", False).option("enforceSchema", False).csv(path)
     )
-    return df.select(*columns) if columns else df
+    absent = [f.name for f in wanted if f.name not in text.columns]
+    if absent:
+        raise ValueError(f"{path}: no column {', '.join(absent)}")
+    typed = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted]
+    source = [F.col("_metadata.file_name").alias("file_name")] if with_file else []
+    return text.select(*typed, *source)
 
 
 def read_delimited_folder(
     spark: SparkSession, pattern: str, schema: str | T.StructType, sep: str = "\t"
 ) -> DataFrame:
     """All files of a folder as one table, with the file each row came from."""
-    return read_delimited(spark, pattern, schema, sep=sep).withColumn(
-        "file_name", F.col("_metadata.file_name")
-    )
+    return read_delimited(spark, pattern, schema, sep=sep, with_file=True)
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "error") -> None:
