@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clinigrid.functions import numeric_columns
 from clinigrid.operators.grouping import numbered
 from clinigrid.operators.joins import find_hot_keys, salt_left, salt_right, skew_safe_join
-from clinigrid.session import materialise
+from clinigrid.session import drop_stage, materialise, write_stage
 
 # Edge weights are added as whole numbers of this unit, so that the order in which tasks
 # add them cannot change which label wins.
@@ -226,17 +226,40 @@ def _initial_labels(graph: DataFrame, trials: int) -> DataFrame:
     )
 
 
+def _rounds(graph: DataFrame, trials: int, count: int, step: Callable) -> DataFrame:
+    """Labels after up to ``count`` rounds of ``step(ends, labels, hot, round)``.
+
+    Each round is one job and is written out, so a lost executor costs at most one round and
+    the plan stays short; the round before is deleted then. A round in which no label is
+    left ``unsettled`` is the last.
+    """
+    spark = graph.sparkSession
+    ends, hot = _partitioned_ends(graph)
+    labels, path = _initial_labels(graph, trials), None
+    try:
+        for i in range(count):
+            seen = Observation()
+            moved = step(ends, labels, hot, i).observe(
+                seen, F.count_if("unsettled").alias("unsettled")
+            )
+            before = path
+            stored, path = write_stage(moved, "labels")
+            labels = stored.drop("unsettled")
+            drop_stage(spark, before)
+            if seen.get["unsettled"] == 0:
+                break
+    finally:
+        ends.unpersist()
+    return labels
+
+
 def propagate_labels_fixed(graph: DataFrame, rounds: int) -> DataFrame:
     """Label propagation, all vertices at once, smallest label on ties, a fixed round count."""
-    ends, hot = _partitioned_ends(graph)
-    labels = _initial_labels(graph, 1)
-    for _ in range(rounds):
+    def step(ends, labels, hot, number):
         wanted = label_round(ends, labels, hot, keep_current=False)
-        labels = materialise(
-            wanted.select("trial", "id", F.col("wanted").alias("label")), "labels"
-        )
-    ends.unpersist()
-    return labels.drop("trial")
+        return wanted.selectExpr("trial", "id", "wanted AS label", "true AS unsettled")
+
+    return _rounds(graph, 1, rounds, step).drop("trial")
 
 
 def propagate_labels(
@@ -245,25 +268,17 @@ def propagate_labels(
     """Semi-synchronous weighted label propagation: (trial, id, label).
 
     Each round a hashed half of the vertices takes the label it wants; the run ends when
-    no vertex wants another one. All trials share every round's jobs. Each round is
-    written out, so a lost executor costs at most one round and the plan stays short.
+    no vertex wants another one. All trials share every round's job.
     """
-    ends, hot = _partitioned_ends(graph)
-    labels = _initial_labels(graph, trials)
-    for i in range(max_iter):
-        turn = F.pmod(F.xxhash64("id", "trial", F.lit(i), F.lit(seed)), F.lit(2)) == 0
-        moved = label_round(ends, labels, hot, keep_current=True).select(
+    def step(ends, labels, hot, number):
+        turn = F.pmod(F.xxhash64("id", "trial", F.lit(number), F.lit(seed)), F.lit(2)) == 0
+        return label_round(ends, labels, hot, keep_current=True).select(
             "trial", "id",
             F.when(turn, F.col("wanted")).otherwise(F.col("label")).alias("label"),
             (F.col("wanted") != F.col("label")).alias("unsettled"),
         )
-        seen = Observation()
-        counted = moved.observe(seen, F.count_if("unsettled").alias("unsettled"))
-        labels = materialise(counted, "labels").drop("unsettled")
-        if seen.get["unsettled"] == 0:
-            break
-    ends.unpersist()
-    return labels
+
+    return _rounds(graph, trials, max_iter, step)
 
 
 def renumber_communities(membership: DataFrame) -> DataFrame:

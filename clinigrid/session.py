@@ -65,9 +65,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     unlike an RDD checkpoint the plan runs once and the file sizes are known to the
     optimizer.
     """
+    return write_stage(df, name)[0]
+
+
+def write_stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The written table and its path, for loops that drop a stage once the next is written."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_stage(spark: SparkSession, path: str | None) -> None:
+    """Delete a table written by ``write_stage`` that no plan reads any more."""
+    if path is not None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:

@@ -190,6 +190,18 @@ def test_fixed_rounds(spark, rows):
     assert rows(graph.propagate_labels_fixed(df, 1)) == [("a", "b"), ("b", "a"), ("c", "b")]
 
 
+def test_only_the_last_round_stays_stored(spark, cliques):
+    from pathlib import Path
+
+    from clinigrid.session import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("labels-*"))
+    labels = graph.propagate_labels(cliques, max_iter=20)
+    assert labels.count() == 12
+    assert len(set(folder.glob("labels-*")) - before) == 1
+
+
 def test_missing_weights_take_no_part(spark):
     df = spark.createDataFrame([("a", "b", 1.0), ("b", "c", None)], "src string, dst string, weight double")
     labels = {r["id"]: r["label"] for r in graph.propagate_labels(df).collect()}
