@@ -180,8 +180,8 @@ def binscatter(
 ) -> DataFrame:
     """Mean of y in equal-frequency bins of x, with a normal 95 % interval.
 
-    ``df`` is read twice, for the breakpoints and for the bins. ``bin`` counts the breakpoints below x. ``x_range`` limits the bins shown, not the
-    rows they are made from.
+    ``df`` is read twice, for the breakpoints and for the bins. ``bin`` counts the
+    breakpoints below x. ``x_range`` limits the bins shown, not the rows they are made from.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     probs = [i / nbins for i in range(1, nbins)]

@@ -16,8 +16,9 @@ from clinigrid.session import estimated_bytes, literal_table, row_count_within
 
 # A key with more left rows than this is split over several tasks.
 HOT_ROWS = 2_000_000
-# Only the largest keys can be hot: outside the top K, a key holds less than 1/K of all rows.
-MAX_HOT_KEYS = 1000
+# The largest keys that are split. Outside the top K a key holds less than 1/K of all rows;
+# K rows of key and count are a few megabytes at most.
+MAX_HOT_KEYS = 50_000
 # A side is broadcast on request only after its row count was checked against this.
 BROADCAST_ROWS = 50_000
 # A stored row with a distinct value takes at least this many bytes, compressed; with
