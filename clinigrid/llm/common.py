@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 # A task works on at most this many bytes of a batch at once.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 # Values that are sent to every task: an operator refuses larger ones or splits them.
 MAX_BROADCAST_BYTES = 64 << 20
 
@@ -32,11 +32,12 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return docs.select(*columns) if columns else docs
 
 
-def pack(docs: DataFrame, carry: Sequence[str] | None = None) -> DataFrame:
-    """``doc`` (a struct of the carried columns, all by default) and ``text``."""
+def pack(docs: DataFrame, carry: Sequence[str] | None = None, *more: str) -> DataFrame:
+    """``doc`` (a struct of the carried columns, all by default), ``text`` and the named columns."""
     carry = docs.columns if carry is None else list(carry)
     return docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in carry]).alias("doc"), docs["text"].cast("string").alias("text")
+        F.struct(*[docs[f"`{c}`"] for c in carry]).alias("doc"),
+        docs["text"].cast("string").alias("text"), *[docs[c] for c in more],
     )
 
 
@@ -72,7 +73,7 @@ def append(df: DataFrame, start: Callable[[], Callable], ddl: str) -> DataFrame:
     def run(batches):
         step = start()
         for batch in slices(batches):
-            new = [pa.array(v, t) for v, t in zip(step(batch), types)]
+            new = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(step(batch), types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
 
     return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
@@ -87,7 +88,8 @@ def emit(df: DataFrame, start: Callable[[], Callable], ddl: str) -> DataFrame:
     types = [f.type for f in to_arrow_schema(schema)]
 
     def batch_of(columns):
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types)], names=schema.names)
+        arrays = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(columns, types)]
+        return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     def run(batches):
         begun = start()

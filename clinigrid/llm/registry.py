@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from clinigrid.llm import quality
+from clinigrid.llm import decontamination, quality, secret_scan, simhash
 
 QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
+    "op5_simhash_near_duplicates": simhash.op5_simhash_near_duplicates,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
     "op8_quality_rules": quality.op8_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_decontamination": decontamination.OP2_SQL,
+}
