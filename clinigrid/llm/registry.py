@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from clinigrid.llm import decontamination, quality, secret_scan, simhash
+from clinigrid.llm import decontamination, language, pieces, quality, secret_scan, simhash, toxicity
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op5_simhash_near_duplicates": simhash.op5_simhash_near_duplicates,
     "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_language_id": language.op9_language_id,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op2_decontamination": decontamination.OP2_SQL,
