@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from clinigrid.llm import (
-    decontamination, language, personal_data, pieces, quality, secret_scan, simhash, token_counts, toxicity,
+    decontamination, language, personal_data, pieces, quality, repeats, secret_scan, simhash, token_counts, toxicity,
 )
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_personal_data": personal_data.op3_personal_data,
+    "op4_remove_repeats": repeats.op4_remove_repeats,
     "op5_simhash_near_duplicates": simhash.op5_simhash_near_duplicates,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_sentencepiece": pieces.op7_sentencepiece,
