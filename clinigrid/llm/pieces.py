@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -32,7 +33,9 @@ CUT_SEARCH = 2_048
 # Fixed value: what an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 CACHED_WORDS = 300_000
-LOWEST = -np.inf
+LOWEST = float("-inf")
+# No piece starts like this; an empty tuple, so that it counts as false.
+END = ()
 
 
 def model_bytes(path: str = MODEL_PATH) -> bytes:
@@ -44,43 +47,68 @@ def model_bytes(path: str = MODEL_PATH) -> bytes:
     return data
 
 
+class Words(dict):
+    """Packed ids by word, made when first asked for; ``front`` stands before the word."""
+
+    def __init__(self, pieces: Pieces, front: str):
+        super().__init__()
+        self.pieces, self.front = pieces, front
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = array("i", self.pieces.path(self.front + word)[1]).tobytes()
+        return found
+
+
+def vocabulary(model: bytes) -> tuple:
+    """What ``Pieces`` needs of a model, as plain values: made once, sent to every task.
+
+    Pieces that score less than their own parts are in no best segmentation and left out.
+    """
+    import sentencepiece
+
+    read = sentencepiece.SentencePieceProcessor(model_proto=model)
+    n = read.get_piece_size()
+    byte_ids, surface, pieces = [0] * 256, [b""] * n, {}
+    for i in range(n):
+        piece = read.id_to_piece(i)
+        if read.is_byte(i):
+            value = int(piece[3:-1], 16)
+            byte_ids[value], surface[i] = i, bytes([value])
+        elif not (read.is_control(i) or read.is_unknown(i) or read.is_unused(i)):
+            pieces[piece] = (read.get_score(i), i)
+            surface[i] = piece.replace(SPACE, " ").encode()
+    unknown = min((s for s, _ in pieces.values()), default=0.0) - UNKNOWN_PENALTY
+    whole = Pieces((pieces, byte_ids, surface, unknown, ""))
+    useful = {}
+    for piece, found in pieces.items():
+        # A single sign has no parts.
+        whole.table[piece] = None
+        if len(piece) == 1 or whole.path(piece)[0] <= found[0]:
+            useful[piece] = whole.table[piece] = found
+    for piece in useful:
+        if SPACE in piece.lstrip(SPACE):
+            raise ValueError(f"piece {piece!r} crosses the front of a space and beats its parts")
+    return useful, byte_ids, surface, unknown, "" if any("\n" in p for p in useful) else "\n"
+
+
 class Pieces:
-    """A vocabulary as a lattice of scored pieces, with a cache of encoded words."""
-
-    def __init__(self, model: bytes):
-        import sentencepiece
-
-        read = sentencepiece.SentencePieceProcessor(model_proto=model)
-        n = read.get_piece_size()
-        listed = [read.id_to_piece(i) for i in range(n)]
-        self.byte_ids = [0] * 256
-        self.pieces: dict[str, tuple[float, int]] = {}
-        self.surface = [b""] * n
-        for i, piece in enumerate(listed):
-            if read.is_byte(i):
-                value = int(piece[3:-1], 16)
-                self.byte_ids[value] = i
-                self.surface[i] = bytes([value])
-            elif not (read.is_control(i) or read.is_unknown(i) or read.is_unused(i)):
-                self.pieces[piece] = (read.get_score(i), i)
-                self.surface[i] = piece.replace(SPACE, " ").encode()
-        self.unknown = min((s for s, _ in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
+    """A vocabulary as a lattice of scored pieces, with a cache of encoded words.
+
+    Nothing useful crosses the front of a run of spaces, nor a line break where no piece
+    has one: texts are cut there.
+    """
+
+    def __init__(self, known: tuple):
+        self.pieces, self.byte_ids, self.surface, self.unknown, self.cuts = known
         self.longest = max(map(len, self.pieces), default=1)
-        # A piece with a space behind other signs matters only if it beats its parts. None does
-        # in the vocabularies meant here, so nothing useful crosses the front of a run of spaces.
-        crossing = {p: self.pieces.pop(p) for p in list(self.pieces) if SPACE in p.lstrip(SPACE)}
-        for p, (score, _) in crossing.items():
-            if sum(self.path(x)[0] for x in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", p)) < score:
-                raise ValueError(f"piece {p!r} crosses a space and beats its parts")
         # Looked up per start with growing ends: (score, id), or None for the mere start of a piece.
         self.table: dict[str, tuple[float, int] | None] = {}
         for piece, found in self.pieces.items():
             for end in range(1, len(piece)):
                 self.table.setdefault(piece[:end], None)
             self.table[piece] = found
-        self.cuts = "" if any("\n" in p for p in self.pieces) else "\n"
         self.words = re.compile(f" *[^ {self.cuts}]+| +" + (f"|[{self.cuts}]" if self.cuts else ""))
-        self.cache: dict[str, bytes] = {}
+        self.inner, self.spaced = Words(self, ""), Words(self, SPACE)
 
     def path(self, text: str, begin: int = 0, own: int | None = None, leave: int = 0) -> tuple[float, list[int]]:
         """Best score and ids of the way from ``begin`` to ``own + leave``.
@@ -93,26 +121,27 @@ class Pieces:
         back: list = [None] * (own + 1)
         best[begin] = 0.0
         final, last = LOWEST, None
-        table, size = self.table, len(text)
+        get, size, unknown = self.table.get, len(text), self.unknown
         for p in range(begin, own):
             here = best[p]
             if here == LOWEST:
                 continue
-            if here + self.unknown > best[p + 1] and text[p] not in self.pieces:
-                best[p + 1], back[p + 1] = here + self.unknown, (p, None)
-            for end in range(p + 1, size + 1):
-                part = text[p:end]
-                if part not in table:
+            end = p + 1
+            found = get(text[p], END)
+            if not found and here + unknown > best[end]:
+                best[end], back[end] = here + unknown, (p, None)
+            while found is not END:
+                if found:
+                    score = here + found[0]
+                    if end <= own:
+                        if score > best[end]:
+                            best[end], back[end] = score, (p, found[1])
+                    elif end == own + leave and score > final:
+                        final, last = score, (p, found[1])
+                if end == size:
                     break
-                found = table[part]
-                if found is None:
-                    continue
-                score = here + found[0]
-                if end <= own:
-                    if score > best[end]:
-                        best[end], back[end] = score, (p, found[1])
-                elif end == own + leave and score > final:
-                    final, last = score, (p, found[1])
+                end += 1
+                found = get(text[p:end], END)
         ids: list[int] = []
         at = own
         if leave:
@@ -139,14 +168,22 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed 32-bit ids of texts whose spaces are still spaces and that start at a cut."""
-        cache, out = self.cache, []
+        out = []
         for text in texts:
-            if len(cache) > CACHED_WORDS:
-                cache.clear()
-            words = self.words.findall(text.replace(SPACE, " ") if SPACE in text else text)
-            for word in set(words).difference(cache):
-                cache[word] = np.array(self.path(word.replace(" ", SPACE))[1], dtype="<i4").tobytes()
-            out.append(b"".join([cache[w] for w in words]))
+            if len(self.inner) + len(self.spaced) > CACHED_WORDS:
+                self.inner.clear()
+                self.spaced.clear()
+            if SPACE in text:
+                text = text.replace(SPACE, " ")
+            if "  " in text or not self.cuts:
+                words = self.words.findall(text)
+                out.append(b"".join([self.inner[w.replace(" ", SPACE)] for w in words]))
+                continue
+            ids = []
+            for line in text.split(self.cuts):
+                first, *others = line.split(" ")
+                ids.append(self.inner[first] + b"".join(map(self.spaced.__getitem__, others)))
+            out.append(self.inner[self.cuts].join(ids))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -310,7 +347,7 @@ def encode(docs: DataFrame, carry=None, model_path: str = MODEL_PATH, giant_char
     encoded one by one, so repeated rows and empty tables need no rule. Where ways of
     equal score differ across a chunk's hard end, a giant text may take another of them.
     """
-    model = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))
+    model = docs.sparkSession.sparkContext.broadcast(vocabulary(model_bytes(model_path)))
     packed = pack(docs, carry)
 
     def start():
@@ -327,7 +364,7 @@ def encode(docs: DataFrame, carry=None, model_path: str = MODEL_PATH, giant_char
 
 def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
     """Add ``decoded``, the text of ``ids``: a missing list gives an empty text."""
-    model = encoded.sparkSession.sparkContext.broadcast(model_bytes(model_path))
+    model = encoded.sparkSession.sparkContext.broadcast(vocabulary(model_bytes(model_path)))
 
     def start():
         pieces = Pieces(model.value)
