@@ -230,5 +230,79 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     judged = quality_rules(documents(spark, sf_dir, "doc_id", "lang", "text"), carry=["doc_id"])
     return judged.select(
         "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "class_distance", "word_distance",
+        "base_failed", "kept",
     )
+
+
+def _words_sql() -> str:
+    listed = ", ".join(
+        f"('{lang}', {k}, '{word}')" for lang, words in COMMON_WORDS.items() for k, word in enumerate(words)
+    )
+    return f"(VALUES {listed}) AS listed(lang, bin, word)"
+
+
+def _distance_sql(kind: str, refs: str) -> str:
+    """Distances of one kind of histogram to the references by bin."""
+    return f"""
+    SELECT doc_id, sqrt(greatest(sum(
+        CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+        + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS distance
+    FROM (
+        SELECT b.doc_id, b.n / sum(b.n) OVER (PARTITION BY b.doc_id) AS p,
+               r.n / sum(r.n) OVER (PARTITION BY b.doc_id) AS q
+        FROM bins b JOIN {refs} r USING (lang, kind, bin) WHERE b.kind = '{kind}'
+    ) GROUP BY doc_id"""
+
+
+OP8_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (
+    SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3))),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+            FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE n > 1) GROUP BY doc_id),
+c AS (SELECT doc_id, lang, w, len(w) AS n_words, length(t) AS n,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+             length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             length(t) - length(regexp_replace(t, '[a-z]', '', 'g')) AS c0,
+             length(t) - length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS c1,
+             length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS c2,
+             length(t) - length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) AS c3,
+             length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS c4,
+             length(t) - length(regexp_replace(t, '[.,;:?''"()-]', '', 'g')) AS c5 FROM w),
+counted AS (SELECT c.*, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                   n_words < {MIN_WORDS}
+                   OR 100 * coalesce(n_repeat_words, 0) > {MAX_REPEATED_PERCENT} * n_words AS base_failed
+            FROM c LEFT JOIN repeats USING (doc_id)),
+met AS (SELECT doc_id, lang, bin, count(*) AS n
+        FROM (SELECT doc_id, lang, unnest(w) AS word FROM counted) JOIN {_words_sql()} USING (lang, word)
+        GROUP BY ALL),
+cells AS (SELECT doc_id, lang, bin, coalesce(met.n, 0) AS n
+          FROM counted JOIN {_words_sql()} USING (lang) LEFT JOIN met USING (doc_id, lang, bin)),
+bins AS (
+    SELECT doc_id, lang, 'class' AS kind, bin, n::DOUBLE AS n FROM (
+        SELECT doc_id, lang, unnest([0, 1, 2, 3, 4, 5, 6]) AS bin,
+               unnest([c0, c1, c2, c3, c4, c5, n - c0 - c1 - c2 - c3 - c4 - c5]) AS n FROM counted)
+    UNION ALL SELECT doc_id, lang, 'word', bin, n::DOUBLE FROM cells
+    UNION ALL SELECT doc_id, lang, 'word', 1000, (n_words - coalesce(m, 0))::DOUBLE
+              FROM counted LEFT JOIN (SELECT doc_id, sum(n) AS m FROM met GROUP BY 1) USING (doc_id)),
+rough AS (SELECT lang, kind, bin, sum(bins.n) AS n FROM bins JOIN counted USING (doc_id, lang)
+          WHERE NOT base_failed GROUP BY ALL),
+c_rough AS ({_distance_sql("class", "rough")}),
+w_rough AS ({_distance_sql("word", "rough")}),
+typical AS (SELECT doc_id FROM counted LEFT JOIN c_rough a USING (doc_id) LEFT JOIN w_rough b USING (doc_id)
+            WHERE NOT base_failed AND coalesce(a.distance, 0) <= {TYPICAL_DISTANCE}
+            AND coalesce(b.distance, 0) <= {TYPICAL_DISTANCE}),
+refs AS (SELECT lang, kind, bin, sum(bins.n) AS n FROM bins JOIN typical USING (doc_id) GROUP BY ALL),
+c_fine AS ({_distance_sql("class", "refs")}),
+w_fine AS ({_distance_sql("word", "refs")})
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+       CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(a.distance, 0) <= {MAX_CLASS_DISTANCE}
+       AND coalesce(b.distance, 0) <= {MAX_WORD_DISTANCE} AS kept
+FROM counted LEFT JOIN c_fine a USING (doc_id) LEFT JOIN w_fine b USING (doc_id)
+"""

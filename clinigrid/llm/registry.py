@@ -20,4 +20,6 @@ QUERIES = {
 }
 ORACLES = {
     "op2_decontamination": decontamination.OP2_SQL,
+    "op4_remove_repeats": repeats.OP4_SQL,
+    "op8_quality_rules": quality.OP8_SQL,
 }

@@ -351,4 +351,31 @@ def op4_remove_repeats(spark, sf_dir: str) -> DataFrame:
     )
 
 
+# Windows as text in hexadecimal digits, two a byte.
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT doc_id, h, len(h) // 2 AS n FROM d),
+windows AS (
+    SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS g
+    FROM (SELECT doc_id, h, unnest(range(1, n - 48)) AS i FROM sized WHERE n >= 50)
+), hits AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM windows)
+    WHERE doc_id > first
+), marked AS (
+    SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS opens FROM hits
+), numbered AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM numbered GROUP BY ALL),
+gaps AS (
+    SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS free FROM spans
+), kept AS (
+    SELECT doc_id, string_agg(substr(h, 2 * free - 1, 2 * (a - free)), '' ORDER BY a) AS front,
+           max(z) AS last, count(*) AS n_spans, sum(z - a) AS n_removed
+    FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT sized.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 1) - 1))) AS kept_sha256
+FROM sized LEFT JOIN kept USING (doc_id)
+"""
+
 ship(__name__)
