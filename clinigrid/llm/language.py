@@ -96,17 +96,23 @@ class Hypervectors:
 def prototypes(training: DataFrame) -> dict[str, np.ndarray]:
     """Centred unit prototypes by language, from (lang, text) rows; empty without any.
 
-    Sums of vectors are made per slice of a task and added by Spark; what reaches the
+    Every text counts alike, however long. Sums of vectors are made per slice of a task and added by Spark; what reaches the
     driver is DIMENSIONS numbers a language.
     """
     def start():
         space = Hypervectors()
 
         def step(batch):
-            texts: dict[str, list] = {}
+            found: dict[str, list] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                texts.setdefault(lang, []).append(text)
-            return list(texts), [space.bundle(*space.trigrams(" ".join(t))).tolist() for t in texts.values()]
+                keys, counts = space.trigrams(text)
+                if len(keys):
+                    found.setdefault(lang, []).append((keys, counts / counts.sum()))
+            vectors = []
+            for parts in found.values():
+                keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                vectors.append(space.bundle(keys, np.bincount(place, np.concatenate([w for _, w in parts]))).tolist())
+            return list(found), vectors
 
         return step
 
