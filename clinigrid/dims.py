@@ -114,6 +114,9 @@ KEPT_VARIABLES = (
 )
 # State id -> short state name.
 SHORT_STATE_NAMES = {"5": "Coahuila", "16": "Michoacán", "30": "Veracruz"}
+# What is said of the institution with most affiliates of a community.
+MOST_BEDS_LABEL = " mayor contribuyente camas"
+MORE_BEDS_LABEL = " debe contribuir más camas"
 # Row label of municipality totals, and of facilities without a municipality.
 MUNICIPALITY_TOTAL = "Total del Municipio"
 MUNICIPALITY_UNKNOWN = "No Informado"

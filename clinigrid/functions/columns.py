@@ -62,10 +62,12 @@ def literal(value: object) -> str:
 
 
 def clean_name(name: str) -> str:
-    """snake_case ASCII form of one column name."""
+    """snake_case ASCII form of one column name; signs with a meaning are spelled out."""
     text = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode()
+    text = text.replace("%", "_percent_").replace("#", "_number_")
     text = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", text)
-    return re.sub(r"[^A-Za-z0-9]+", "_", text).strip("_").lower() or "x"
+    text = re.sub(r"[^A-Za-z0-9]+", "_", text).strip("_").lower()
+    return f"x{text}" if not text or text[0].isdigit() else text
 
 
 def clean_names(df: DataFrame) -> DataFrame:

@@ -75,7 +75,8 @@ def epi_week(day: Column | str) -> Column:
 
 
 def epi_year_week(day: Column | str) -> Column:
-    return F.concat_ws("-", F.year(_wednesday(day)).cast("string"), pad_left(epi_week(day), 2))
+    """``2021-07``; missing for a missing day."""
+    return F.concat(F.year(_wednesday(day)).cast("string"), F.lit("-"), pad_left(epi_week(day), 2))
 
 
 def week_ordinal(day: Column | str, anchor: date = WAVE_ANCHOR) -> Column:

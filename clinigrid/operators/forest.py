@@ -29,13 +29,19 @@ MIN_NODE = 5
 MAX_DEPTH = 30
 
 
+def _drawn(key: Sequence[str], seed: int, purpose: str):
+    """A number below 2**32 for a row, from its key as text: the same in any partitioning or engine."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key], F.lit(f"{seed}{purpose}"))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
 def split_flag(key: Sequence[str], percent: int = TRAIN_PERCENT, seed: int = SEED):
     """True for the training share. Hashing the key makes it independent of partitions."""
-    return F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(100)) < percent
+    return _drawn(key, seed, "split") % 100 < percent
 
 
 def fold_number(key: Sequence[str], folds: int = FOLDS, seed: int = SEED):
-    return F.pmod(F.xxhash64(*key, F.lit(seed), F.lit("fold")), F.lit(folds)).cast("int")
+    return (_drawn(key, seed, "fold") % folds).cast("int")
 
 
 def regular_grid(
@@ -165,12 +171,11 @@ def fit_forest(table: DataFrame, settings: ForestSettings) -> ForestResult:
 def fit_scenarios(
     table: DataFrame, scenarios: Mapping[str, Sequence[str]], settings: ForestSettings
 ) -> dict[str, ForestResult]:
-    """One tuned forest per scenario of waves, the scenarios side by side."""
-    fit = inheritable_thread_target(table.sparkSession)(
-        lambda olas: fit_forest(table.where(F.col("ola").isin(*olas)), settings)
-    )
-    with ThreadPool(len(scenarios)) as pool:
-        return dict(zip(scenarios, pool.map(fit, scenarios.values())))
+    """One tuned forest per scenario of waves, one scenario at a time, so that its seconds are its own."""
+    return {
+        name: fit_forest(table.where(F.col("ola").isin(*olas)), settings)
+        for name, olas in scenarios.items()
+    }
 
 
 def scenario_metrics(results: Mapping[str, ForestResult]) -> DataFrame:

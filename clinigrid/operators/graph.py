@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import count
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
@@ -16,6 +17,10 @@ from clinigrid.session import drop_stage, materialise, write_stage
 # Edge weights are added as whole numbers of this unit, so that the order in which tasks
 # add them cannot change which label wins.
 WEIGHT_UNIT = 1e-9
+# Holds weights to 1e19, and sums of 1e10 of them.
+WEIGHT_TYPE = "decimal(28,0)"
+# Every so many rounds a smaller share of the vertices moves at once.
+PATIENCE = 25
 
 
 # --- adjacency ----------------------------------------------------------------------
@@ -133,9 +138,16 @@ def neighbour_sums(
 # --- similarity ---------------------------------------------------------------------
 
 def dot(a: str, b: str, width: int | None = None) -> Column:
-    """Inner product of two array columns; a known width unrolls into compiled code."""
+    """Inner product of two array columns; a known width unrolls into compiled code.
+
+    A vector of another width is an error, not cut.
+    """
     if width:
-        return F.expr(" + ".join(f"get(`{a}`, {i}) * get(`{b}`, {i})" for i in range(width)))
+        product = " + ".join(f"get(`{a}`, {i}) * get(`{b}`, {i})" for i in range(width))
+        return F.expr(
+            f"CASE WHEN size(`{a}`) <> {width} OR size(`{b}`) <> {width} "
+            f"THEN raise_error('a vector is not {width} wide') ELSE {product} END"
+        )
     return F.aggregate(
         F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x
     )
@@ -164,7 +176,7 @@ def cosine_edges(
 
 def _weighted_ends(graph: DataFrame) -> DataFrame:
     """Both ends of every edge with a whole-number weight: (v, u, w)."""
-    w = F.round(F.col("weight") / WEIGHT_UNIT).cast("long")
+    w = F.round(F.col("weight") / WEIGHT_UNIT).cast(WEIGHT_TYPE)
     ends = F.array(
         F.struct(F.col("src").alias("v"), F.col("dst").alias("u"), w.alias("w")),
         F.struct(F.col("dst").alias("v"), F.col("src").alias("u"), w.alias("w")),
@@ -189,7 +201,7 @@ def label_round(
         joined = ends.join(salt_right(carried, hot, ["u"]), ["u", "_salt"])
     votes = joined.selectExpr("trial", "v AS id", "label", "w", "0 AS own")
     # Each vertex adds its own label without weight, which brings it to the comparison.
-    current = labels.selectExpr("trial", "id", "label", "0L AS w", "1 AS own")
+    current = labels.selectExpr("trial", "id", "label", f"CAST(0 AS {WEIGHT_TYPE}) AS w", "1 AS own")
     scores = votes.unionByName(current).groupBy("trial", "id", "label").agg(
         F.expr("sum(w) AS score"), F.expr("max(own) AS own"), F.expr("count_if(own = 0) AS votes")
     )
@@ -226,18 +238,23 @@ def _initial_labels(graph: DataFrame, trials: int) -> DataFrame:
     )
 
 
-def _rounds(graph: DataFrame, trials: int, count: int, step: Callable) -> DataFrame:
-    """Labels after up to ``count`` rounds of ``step(ends, labels, hot, round)``.
+class NotSettled(RuntimeError):
+    """The caller's limit of rounds came before every vertex had the label it wants."""
+
+
+def _rounds(graph: DataFrame, trials: int, limit: int | None, step: Callable) -> tuple[DataFrame, int]:
+    """Labels after rounds of ``step(ends, labels, hot, round)``, and how many are unsettled.
 
     Each round is one job and is written out, so a lost executor costs at most one round and
     the plan stays short; the round before is deleted then. A round in which no label is
-    left ``unsettled`` is the last.
+    left ``unsettled`` is the last, or the one at the limit.
     """
     spark = graph.sparkSession
     ends, hot = _partitioned_ends(graph)
     labels, path = _initial_labels(graph, trials), None
     try:
-        for i in range(count):
+        left = 1
+        for i in count() if limit is None else range(limit):
             seen = Observation()
             moved = step(ends, labels, hot, i).observe(
                 seen, F.count_if("unsettled").alias("unsettled")
@@ -246,11 +263,12 @@ def _rounds(graph: DataFrame, trials: int, count: int, step: Callable) -> DataFr
             stored, path = write_stage(moved, "labels")
             labels = stored.drop("unsettled")
             drop_stage(spark, before)
-            if seen.get["unsettled"] == 0:
+            left = seen.get["unsettled"]
+            if left == 0:
                 break
     finally:
         ends.unpersist()
-    return labels
+    return labels, left
 
 
 def propagate_labels_fixed(graph: DataFrame, rounds: int) -> DataFrame:
@@ -259,26 +277,40 @@ def propagate_labels_fixed(graph: DataFrame, rounds: int) -> DataFrame:
         wanted = label_round(ends, labels, hot, keep_current=False)
         return wanted.selectExpr("trial", "id", "wanted AS label", "true AS unsettled")
 
-    return _rounds(graph, 1, rounds, step).drop("trial")
+    return _rounds(graph, 1, rounds, step)[0].drop("trial")
 
 
 def propagate_labels(
-    graph: DataFrame, trials: int = 1, max_iter: int = 30, seed: int = 725
+    graph: DataFrame, trials: int = 1, max_iter: int | None = None, seed: int = 725
 ) -> DataFrame:
     """Semi-synchronous weighted label propagation: (trial, id, label).
 
-    Each round a hashed half of the vertices takes the label it wants; the run ends when
-    no vertex wants another one. All trials share every round's job.
+    Each round a hashed share of the vertices takes the label it wants; the run ends when
+    no vertex wants another one. A vertex that moves alone adds weight inside the groups,
+    of which there is a finite amount; neighbours that move at once may undo that, so the
+    share shrinks from a half as rounds go by, which brings every run to an end. All trials
+    share every round's job. With ``max_iter``, a run that is not over by then is an error.
     """
     def step(ends, labels, hot, number):
-        turn = F.pmod(F.xxhash64("id", "trial", F.lit(number), F.lit(seed)), F.lit(2)) == 0
+        share = F.lit(2 + number // PATIENCE)
+        turn = F.pmod(F.xxhash64("id", "trial", F.lit(number), F.lit(seed)), share) == 0
         return label_round(ends, labels, hot, keep_current=True).select(
             "trial", "id",
             F.when(turn, F.col("wanted")).otherwise(F.col("label")).alias("label"),
             (F.col("wanted") != F.col("label")).alias("unsettled"),
         )
 
-    return _rounds(graph, trials, max_iter, step)
+    labels, left = _rounds(graph, trials, max_iter, step)
+    if left and max_iter is not None:
+        raise NotSettled(f"{left} labels not settled after {max_iter} rounds")
+    return labels
+
+
+def unsettled(graph: DataFrame, membership: DataFrame) -> DataFrame:
+    """Vertices (id, label, wanted) of a membership (id, label) that want another label."""
+    labels = membership.select(F.lit(0).alias("trial"), "id", "label")
+    wanted = label_round(_weighted_ends(graph), labels, None, keep_current=True)
+    return wanted.where("wanted <> label").select("id", "label", "wanted")
 
 
 def renumber_communities(membership: DataFrame) -> DataFrame:
@@ -346,7 +378,9 @@ def partition_quality(graph: DataFrame, membership: DataFrame, by: Sequence[str]
     )
 
 
-def communities(graph: DataFrame, trials: int = 4, max_iter: int = 30, seed: int = 725) -> DataFrame:
+def communities(
+    graph: DataFrame, trials: int = 4, max_iter: int | None = None, seed: int = 725
+) -> DataFrame:
     """Best of several label-propagation runs by code length: (id, community, n)."""
     labels = propagate_labels(graph, trials, max_iter, seed)
     quality = partition_quality(graph, labels, by=["trial"])

@@ -8,13 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinigrid.functions import max_strict, percent
-from clinigrid.operators.joins import attach, skew_safe_join
+from clinigrid.operators.joins import attach, group_key, skew_safe_join
 from clinigrid.session import literal_table, materialise, row_count_within
 
 # Up to this many (group, value) rows the built-in exact percentile holds its state easily.
 PERCENTILE_ROWS = 1_000_000
-# Up to this many distinct labels are numbered on the driver.
-LABEL_ROWS = 100_000
 # Partition number of monotonically_increasing_id sits above this bit.
 _PARTITION_BIT = 33
 
@@ -27,11 +25,11 @@ def with_group_stats(
 
     A window would sort a whole group in one task; this aggregates with map-side
     combining and joins the one row per group back. The rows are written first, as they
-    are read twice.
+    are read twice. Missing keys are a group like any other.
     """
-    df = materialise(df, "rows")
-    table = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-    return skew_safe_join(df, table, keys, "left", salt_on)
+    df = materialise(df.withColumn("_group", group_key(keys)), "rows")
+    table = df.groupBy("_group").agg(*[c.alias(n) for n, c in stats.items()])
+    return skew_safe_join(df, table, ["_group"], "left", salt_on).drop("_group")
 
 
 def share_in_small_groups(
@@ -43,9 +41,18 @@ def share_in_small_groups(
 
 
 def top_with_ties(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows that hold their group's maximum, ties kept; a missing value empties its group."""
-    best = df.groupBy(*keys).agg(max_strict(value).alias(value))
-    return df.join(best, [*keys, value], "left_semi")
+    """Rows that hold their group's maximum, ties kept; a missing value empties its group.
+
+    The rows are written first: sums of doubles that are made twice need not be equal.
+    Missing keys are a group like any other. There may be many ties, so the group's maximum
+    is salted rather than met by a semi join.
+    """
+    df = materialise(df.withColumn("_group", group_key(keys)), "rows")
+    best = df.groupBy("_group").agg(max_strict(value).alias("_best"))
+    others = [c for c in df.columns if c != "_group"]
+    return skew_safe_join(df, best, ["_group"], "inner", others).where(
+        F.col(value) == F.col("_best")
+    ).drop("_group", "_best")
 
 
 def sizes(df: DataFrame, *keys: str) -> DataFrame:
@@ -90,16 +97,10 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFra
 def ordinal_code(df: DataFrame, label: str, name: str) -> DataFrame:
     """1-based position of each row's label among the sorted distinct labels.
 
-    Labels are listed first, up to a bound that the driver can sort; beyond it they are
-    numbered by a distributed sort. ``df`` is read twice.
+    Labels are numbered by a distributed sort, NaN last. A missing label has no code.
+    ``df`` is read twice.
     """
     labels = df.where(F.col(label).isNotNull()).select(label).distinct()
-    found = labels.limit(LABEL_ROWS + 1).collect()
-    if len(found) <= LABEL_ROWS:
-        rows = [(v, i) for i, v in enumerate(sorted(r[0] for r in found), start=1)]
-        schema = f"`{label}` {df.schema[label].dataType.simpleString()}, `{name}` long"
-        codes = F.broadcast(literal_table(df.sparkSession, rows, schema))
-        return df.join(codes, label, "left")
     return skew_safe_join(df, numbered(labels, [label], name), [label], "left")
 
 
@@ -109,7 +110,7 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles (linear interpolation) per group: ``*by, prob, value``.
 
-    Values are first counted per distinct value. A short list goes through the built-in
+    Missing keys are a group like any other. Values are first counted per distinct value. A short list goes through the built-in
     ``percentile``; a long one through a distributed rank selection.
     """
     counted = materialise(
@@ -134,12 +135,12 @@ def _ranked_quantiles(
 ) -> DataFrame:
     """Quantiles of (group, value, count) rows by range-partitioned running counts."""
     ordered = counted.orderBy(*by, value).withColumn("_id", F.monotonically_increasing_id())
-    placed = materialise(ordered, "ranked").withColumn(
-        "_part", F.shiftright("_id", _PARTITION_BIT)
-    ).drop("_id")
+    placed = materialise(ordered, "ranked").withColumns({
+        "_part": F.shiftright("_id", _PARTITION_BIT), "_group": group_key(by) if by else F.array(),
+    }).drop("_id")
     # One row per (group, partition the group touches): small, so a window is safe.
-    blocks = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_rows"))
-    group = Window.partitionBy(*by)
+    blocks = placed.groupBy("_group", "_part").agg(F.sum("_n").alias("_rows"))
+    group = Window.partitionBy("_group")
     running = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     position = (F.col("_total") - 1) * F.col("prob")
     blocks = materialise(
@@ -157,9 +158,9 @@ def _ranked_quantiles(
         .withColumn("_h", position)
         .drop("_rows", "_total")
     )
-    in_block = Window.partitionBy(*by, "_part").orderBy(value)
+    in_block = Window.partitionBy("_group", "_part").orderBy(value)
     candidates = (
-        placed.join(wanted.select(*by, "_part", "_before").distinct(), [*by, "_part"])
+        placed.join(wanted.select("_group", "_part", "_before").distinct(), ["_group", "_part"])
         .withColumn("_stop", F.col("_before") + F.sum("_n").over(in_block))
         .drop("_before")
     )
@@ -167,7 +168,7 @@ def _ranked_quantiles(
     high = F.max(F.col(value).cast("double"))
     fraction = F.max(F.col("_h") - F.floor("_h"))
     return (
-        candidates.join(wanted.drop("_before"), [*by, "_part"])
+        candidates.join(wanted.drop("_before"), ["_group", "_part"])
         .where((F.col("_rank") < F.col("_stop")) & (F.col("_rank") >= F.col("_stop") - F.col("_n")))
         .groupBy(*by, "prob")
         .agg((low + (high - low) * fraction).alias(value))
@@ -181,7 +182,7 @@ def binscatter(
     """Mean of y in equal-frequency bins of x, with a normal 95 % interval.
 
     ``df`` is read twice, for the breakpoints and for the bins. ``bin`` counts the
-    breakpoints below x. ``x_range`` limits the bins shown, not the rows they are made from.
+    breakpoints below x; a missing ``by`` is a group of its own. ``x_range`` limits the bins shown, not the rows they are made from.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     probs = [i / nbins for i in range(1, nbins)]
@@ -189,10 +190,11 @@ def binscatter(
     points = quantiles(rows, x, probs, groups)
     number = " + ".join(["0"] + [f"if(`{x}` > get(_cuts, {i}), 1, 0)" for i in range(nbins - 1)])
     if by:
-        cuts = points.groupBy(by).agg(
+        cuts = points.groupBy(group_key(groups).alias("_group")).agg(
             F.array_distinct(F.array_sort(F.collect_list(x))).alias("_cuts")
         )
-        rows = attach(rows, materialise(cuts, "cuts"), [by], "inner", salt_on=[x, y])
+        rows = rows.withColumn("_group", group_key(groups))
+        rows = attach(rows, materialise(cuts, "cuts"), ["_group"], "inner", salt_on=[x, y])
     else:
         found = sorted(r[0] for r in points.select(x).distinct().collect())
         rows = rows.withColumn("_cuts", F.array(*map(F.lit, found)))

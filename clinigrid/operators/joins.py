@@ -30,6 +30,11 @@ NULL_KEY_SALTS = 1024
 MAX_GRID_CELLS = 512
 
 
+def group_key(keys: Sequence[str]) -> F.Column:
+    """One never-missing key for a group, in which missing key values equal one another."""
+    return F.array(*[F.col(k).cast("string") for k in keys])
+
+
 def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
     """Join on all columns the two sides have in common."""
     common = [c for c in left.columns if c in right.columns]

@@ -13,13 +13,15 @@ from clinigrid.functions import (
     columns_matching, drop_all_missing, front, geo_key, not_in, sum_or_zero, to_number,
 )
 from clinigrid.operators import forest, graph, stats
-from clinigrid.operators.grouping import cube_slice
+from clinigrid.operators.grouping import cube_slice, quantiles, top_with_ties, with_group_stats
 from clinigrid.operators.joins import natural_join
 from clinigrid.operators.reshape import stack_named
 from clinigrid.plans import bindings as b
 from clinigrid.plans import communities, epidemic, features, neighbourhood, resources
 from clinigrid.session import materialise, new_path
-from clinigrid.sources.files import parse_json_records, read_delimited_folder, write_delimited
+from clinigrid.sources.files import (
+    parse_json_records, read_delimited, read_delimited_folder, read_table, write_delimited, write_sliced,
+)
 
 WAVES = dims.default_waves()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,7 +146,8 @@ def state_bed_category(spark, sf):
 
 
 def state_totals_population(spark, sf):
-    return resources.state_totals(b.facilities(spark, sf), b.demography(spark, sf))
+    short = resources.short_state_name(F.col("state_id").cast("string"), "state")
+    return resources.state_totals(b.facilities(spark, sf).withColumn("state", short), b.demography(spark, sf))
 
 
 def _trend(spark, sf):
@@ -252,7 +255,26 @@ def communities_two_rounds(spark, sf):
 
 
 def community_search(spark, sf):
-    return graph.communities(_vector_graph(spark, sf), trials=3, max_iter=10)
+    return graph.communities(_vector_graph(spark, sf), trials=3)
+
+
+def communities_audit(spark, sf):
+    """What must hold of any finished search: settled, numbered without gaps, sizes right."""
+    edges = _vector_graph(spark, sf)
+    found = materialise(graph.communities(edges, trials=1), "found")
+    groups = found.groupBy("community").agg(F.count(F.lit(1)).alias("members"), F.max("n").alias("n"))
+    restless = graph.unsettled(edges, found.select("id", F.col("community").alias("label")))
+    totals = groups.agg(
+        F.sum("members").alias("vertices"),
+        (F.max("community") - F.count(F.lit(1))).alias("gaps"),
+        F.count_if(F.col("members") != F.col("n")).alias("wrong_sizes"),
+    )
+    return stack_named({
+        "vertices": totals.select(F.col("vertices").alias("n")),
+        "gaps": totals.select(F.col("gaps").alias("n")),
+        "wrong_sizes": totals.select(F.col("wrong_sizes").alias("n")),
+        "unsettled": restless.agg(F.count(F.lit(1)).alias("n")),
+    }, "what")
 
 
 def partition_quality(spark, sf):
@@ -405,6 +427,87 @@ def sorted_distinct(spark, sf):
     )
 
 
+def sorted_limit(spark, sf):
+    """The ten largest orders: a sort and a limit that run as one top-k."""
+    orders = b.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+
+
+def column_subset_scan(spark, sf):
+    """Two columns of a delimited file with many."""
+    path = new_path(spark, "tsv")
+    rows = b.facilities(spark, sf)
+    write_delimited(rows, path)
+    return read_delimited(spark, path, rows.schema, columns=["clues", "beds"])
+
+
+def sliced_write(spark, sf):
+    """Output per slice, and a read of one slice that opens no other."""
+    path = new_path(spark, "sliced")
+    orders = b.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    write_sliced(orders, path, ["o_orderstatus"])
+    back = spark.read.parquet(path).where(F.col("o_orderstatus") == "F")
+    return back.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("keys"))
+
+
+def catalog_table(spark, sf):
+    """A table read by its name in the session's catalogue."""
+    b.table(spark, sf, "supplier").createOrReplaceTempView("clinigrid_suppliers")
+    return read_table(spark, "clinigrid_suppliers").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+def contiguity_tolerance(spark, sf):
+    """Corners within a tolerance meet; on unit squares these are the exact corners."""
+    return graph.contiguity(b.nation_squares(spark, sf), tolerance=0.1)
+
+
+def binscatter_beds_range(spark, sf):
+    """The bins of the beds within a shown range only."""
+    return rounded(resources.bins_of_resources(
+        _catchments(spark, sf), "poblacion", "beds", 5, x_range=(14_800.0, 16_500.0)
+    ))
+
+
+def _thirds_missing(spark, sf):
+    """Line items whose flag is missing on every third order."""
+    flag = F.when(F.col("l_orderkey") % 3 != 0, F.col("l_returnflag"))
+    return b.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", flag.alias("flag"), "l_quantity", F.col("l_extendedprice").alias("price")
+    )
+
+
+def top_missing_key(spark, sf):
+    return top_with_ties(_thirds_missing(spark, sf), ["flag"], "l_quantity").groupBy("flag", "l_quantity").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def group_stats_missing_key(spark, sf):
+    rows = with_group_stats(
+        _thirds_missing(spark, sf), ["flag"], {"largest": F.max("l_quantity"), "rows": F.count(F.lit(1))},
+        salt_on=["l_orderkey", "l_linenumber"],
+    )
+    return rows.groupBy("flag", "largest", "rows").agg(F.sum("l_quantity").alias("quantity"))
+
+
+def _quantiles_missing_key(spark, sf, limit):
+    return rounded(quantiles(_thirds_missing(spark, sf), "price", (0.1, 0.5, 0.9), ["flag"], percentile_rows=limit))
+
+
+def quantiles_missing_key(spark, sf):
+    return _quantiles_missing_key(spark, sf, 10**9)
+
+
+def quantiles_missing_key_ranked(spark, sf):
+    """The same through the distributed rank selection."""
+    return _quantiles_missing_key(spark, sf, 0)
+
+
+def weeks_missing_date(spark, sf):
+    day = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate").cast("date"))
+    return epidemic.weekly_cases(b.table(spark, sf, "orders").select(day.alias("FECHA_SINTOMAS")))
+
+
 def area_keys(spark, sf):
     """Both key dialects, numbers as text included, end up as one padded key."""
     places = b.areas(spark, sf)
@@ -423,11 +526,14 @@ QUERIES: dict[str, Query] = {
         facility_staff, resources_by_area_institution, institution_harmonised,
         resources_population, affiliation_long, demographic_shares, capita_wide, coverage_wide,
         contiguity_queen, contiguity_rook, simple_graph, neighbourhood_totals, own_vs_neighbour,
-        cosine_edges, area_similarity, communities_two_rounds, partition_quality, top_institution_per_community,
+        cosine_edges, area_similarity, communities_two_rounds, communities_audit, partition_quality, top_institution_per_community,
         contribution_label, bed_zscore, beds_per_100k, loglog_regression_by_wave,
         glm_coefficients, glm_estimates, units_by_state_institution, institution_sizes, state_bed_category,
         state_totals_population, resource_trend, resource_type_crosstab, population_quantiles,
         binscatter_beds, binscatter_by_institution, cube_slice_union, json_records_scan,
+        sorted_limit, column_subset_scan, sliced_write, catalog_table, contiguity_tolerance,
+        binscatter_beds_range, top_missing_key, group_stats_missing_key, quantiles_missing_key,
+        quantiles_missing_key_ranked, weeks_missing_date,
         tsv_round_trip, not_in_keep_null, sorted_distinct, area_keys, capitalised_labels,
         scenario_waves, hash_split_folds, feature_table_v1, feature_table_v2,
         scenario_forest_metrics, scenario_forest_importance,

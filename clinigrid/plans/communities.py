@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clinigrid import dims
 from clinigrid.dims import WAVE_LABELS
 from clinigrid.functions import mean_strict, ratio, sum_strict
 from clinigrid.operators.graph import communities, cosine_edges, simple_graph
@@ -39,7 +40,7 @@ def similarity_graph(
 
 def service_communities(
     edges: DataFrame, vectors: DataFrame, key: str, features: str, width: int | None = None,
-    weight: str = "distance", trials: int = 4, max_iter: int = 30, seed: int = 725,
+    weight: str = "distance", trials: int = 4, max_iter: int | None = None, seed: int = 725,
 ) -> DataFrame:
     """Community of every area: (key, community, n)."""
     graph = similarity_graph(edges, vectors, key, features, width, weight)
@@ -66,8 +67,8 @@ def contribution_label(membership: DataFrame, table: DataFrame) -> DataFrame:
     people = top_institution(membership, table, "poblacion")
     largest = F.col("institucion_y")
     same = F.coalesce(F.col("institucion_x") == largest, F.lit(False))
-    text = F.when(same, F.concat(largest, F.lit(" mayor contribuyente camas"))).otherwise(
-        F.concat(largest, F.lit(" debe contribuir más camas"))
+    text = F.when(same, F.concat(largest, F.lit(dims.MOST_BEDS_LABEL))).otherwise(
+        F.concat(largest, F.lit(dims.MORE_BEDS_LABEL))
     )
     return suffixed_join(beds, people, ["community"]).select("community", text.alias("grupo"))
 

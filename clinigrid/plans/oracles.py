@@ -389,10 +389,11 @@ SELECT state, institution, sum(beds)::BIGINT AS beds, total_beds, category,
   state || chr(10) || total_beds AS facet
 FROM facility JOIN labelled USING (state) WHERE beds > 0 GROUP BY ALL""",
     "state_totals_population": f"""WITH {AREA}, {FACILITY}, {POPULATION}
-SELECT state, institution, CASE WHEN count(beds) = count(*) THEN sum(beds)::BIGINT END AS camas,
+SELECT CASE state_id WHEN '5' THEN 'Coahuila' ELSE state END AS state, institution,
+  CASE WHEN count(beds) = count(*) THEN sum(beds)::BIGINT END AS camas,
   sum(clinics)::BIGINT AS clinicas, pobtotal
 FROM facility LEFT JOIN (SELECT state, sum(POBTOT) AS pobtotal FROM people GROUP BY 1) USING (state)
-GROUP BY state, institution, pobtotal""",
+GROUP BY state, state_id, institution, pobtotal""",
     "resource_trend": f"WITH {TREND} SELECT * FROM trend",
     "resource_type_crosstab": f"""WITH {TREND}
 SELECT category, resource_type, count(DISTINCT state) AS n FROM trend GROUP BY 1, 2""",
@@ -405,6 +406,7 @@ SELECT prob::DOUBLE AS prob, round(CASE prob
   ELSE quantile_cont(POBTOT, 1) END, 4) AS poblacion
 FROM people CROSS JOIN (SELECT unnest([0, 0.25, 0.5, 0.75, 1]) AS prob) GROUP BY prob""",
     "binscatter_beds": f"WITH {CATCHMENT}, {_bins([0.2, 0.4, 0.6, 0.8])}",
+    "binscatter_beds_range": f"WITH {CATCHMENT}, {_bins([0.2, 0.4, 0.6, 0.8])} WHERE mean_x BETWEEN 14800 AND 16500",
     "binscatter_by_institution": f"WITH {CATCHMENT}, {_bins([1 / 3, 2 / 3], 'institution')}",
     "cube_slice_union": f"""WITH {TREND}
 SELECT state, resources_categories, year, total FROM cell WHERE total > 0""",
@@ -416,6 +418,38 @@ GROUP BY 1, 2""",
     "not_in_keep_null": """SELECT flag, count(*) AS n, sum(l_quantity) AS total FROM (
   SELECT CASE WHEN l_linenumber <> 7 THEN l_returnflag END AS flag, l_quantity FROM lineitem)
 WHERE flag IS NULL OR flag NOT IN ('A', 'N') GROUP BY 1""",
+    "communities_audit": """SELECT 'vertices' AS what, count(*) AS n FROM embeddings
+UNION ALL SELECT unnest(['gaps', 'wrong_sizes', 'unsettled']), 0::BIGINT""",
+    "sorted_limit": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
+    "column_subset_scan": f"WITH {AREA}, {FACILITY} SELECT clues, beds FROM facility",
+    "sliced_write": """SELECT o_orderstatus, count(*) AS n, sum(o_custkey)::BIGINT AS keys FROM orders
+WHERE o_orderstatus = 'F' GROUP BY 1""",
+    "catalog_table": "SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1",
+    "contiguity_tolerance": f"""WITH {AREA}, {NATION_EDGES} SELECT V1, V2 FROM edge""",
+    "top_missing_key": """WITH item AS (
+  SELECT CASE WHEN l_orderkey % 3 <> 0 THEN l_returnflag END AS flag, l_quantity FROM lineitem)
+SELECT flag, l_quantity, count(*) AS n FROM item
+WHERE l_quantity = (SELECT max(i.l_quantity) FROM item i WHERE i.flag IS NOT DISTINCT FROM item.flag) GROUP BY 1, 2""",
+    "group_stats_missing_key": """SELECT CASE WHEN l_orderkey % 3 <> 0 THEN l_returnflag END AS flag,
+  max(l_quantity) AS largest, count(*) AS rows, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1""",
+    **{name: """WITH item AS (
+  SELECT CASE WHEN l_orderkey % 3 <> 0 THEN l_returnflag END AS flag, l_extendedprice AS price FROM lineitem)
+SELECT flag, unnest([0.1, 0.5, 0.9])::DOUBLE AS prob,
+  round(unnest(quantile_cont(price, [0.1, 0.5, 0.9])), 4) AS price FROM item GROUP BY flag"""
+       for name in ("quantiles_missing_key", "quantiles_missing_key_ranked")},
+    "weeks_missing_date": """WITH day AS (
+  SELECT CASE WHEN o_orderkey % 4 <> 0 THEN cast(o_orderdate AS DATE) END AS d,
+    d + cast(3 - dayofweek(d) AS INT) AS w FROM orders),
+week AS (
+  SELECT year(w) || '-' || lpad(cast((dayofyear(w) - 1) // 7 + 1 AS VARCHAR), 2, '0') AS semana,
+    count(*) AS n, min((dayofyear(w) - 1) // 7 + 1)::INT AS semana_epi, min(d) AS primer_dia
+  FROM day GROUP BY 1)
+SELECT semana, n, semana_epi, primer_dia, year(primer_dia)::INT AS annum,
+  CASE WHEN semana IS NOT NULL THEN row_number() OVER (ORDER BY semana NULLS LAST) END AS codigo FROM week""",
+    "hash_split_folds": """WITH drawn AS (SELECT
+  ('0x' || left(md5(o_orderkey::VARCHAR || '|725split'), 8))::BIGINT % 100 < 75 AS train,
+  (('0x' || left(md5(o_orderkey::VARCHAR || '|725fold'), 8))::BIGINT % 10)::INT AS fold FROM orders)
+SELECT train, fold, count(*) AS n FROM drawn GROUP BY 1, 2""",
     "sorted_distinct": "SELECT DISTINCT p_brand, p_type FROM part ORDER BY 1, 2",
     "area_keys": f"""WITH {AREA}
 SELECT CVEGEO AS from_code, CVEGEO AS from_parts, count(*) AS n

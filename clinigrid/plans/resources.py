@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinigrid import dims
@@ -80,8 +80,10 @@ def affiliation_long(census: DataFrame, dictionary: DataFrame) -> DataFrame:
     return named.withColumn("state", short_state_name("state_id", "state"))
 
 
-def short_state_name(state_id: str, state: str):
-    return F.coalesce(label_lookup(state_id, dims.SHORT_STATE_NAMES), F.col(state))
+def short_state_name(state_id: Column | str, state: Column | str) -> Column:
+    """The name in use, for states whose official name is longer."""
+    full = F.col(state) if isinstance(state, str) else state
+    return F.coalesce(label_lookup(state_id, dims.SHORT_STATE_NAMES), full)
 
 
 def affiliates_by_variable(population: DataFrame) -> DataFrame:
@@ -235,8 +237,13 @@ def state_beds_by_size(
 
 
 def state_totals(facilities: DataFrame, demography: DataFrame) -> DataFrame:
-    """Beds and clinics per state and institution, with the state's inhabitants."""
-    people = demography.groupBy(F.col("NOM_ENT").alias("state")).agg(
+    """Beds and clinics per state and institution, with the state's inhabitants.
+
+    The census names states in full, facilities by their short names.
+    """
+    code = to_number("ENTIDAD").cast("int").cast("string")
+    named = demography.withColumn("state", short_state_name(code, F.col("NOM_ENT")))
+    people = named.groupBy("state").agg(
         sum_strict(to_number("POBTOT")).alias("pobtotal")
     )
     return (

@@ -145,6 +145,13 @@ def test_column_helpers(spark):
 def test_clean_names(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], "`Establishment Type` int, `Año` int, `CLUES ID` int, `clues-id` int")
     assert fn.clean_names(df).columns == ["establishment_type", "ano", "clues_id", "clues_id_2"]
+    assert [fn.clean_name(n) for n in ("2021 total", "% beds", "# of units", "")] == [
+        "x2021_total", "percent_beds", "number_of_units", "x"]
+
+
+def test_week_of_a_missing_day_is_missing(spark):
+    df = spark.createDataFrame([("2021-01-05",), (None,)], "d string").selectExpr("cast(d AS date) AS d")
+    assert [r[0] for r in df.select(fn.epi_year_week("d")).collect()] == ["2021-01", None]
 
 
 def test_literal_survives_quotes(spark):

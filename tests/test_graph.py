@@ -102,7 +102,7 @@ def cliques(spark):
 
 @pytest.mark.parametrize("seed", [1, 725])
 def test_two_cliques_are_two_communities(rows, cliques, seed):
-    got = graph.communities(cliques, trials=2, max_iter=20, seed=seed)
+    got = graph.communities(cliques, trials=2, seed=seed)
     assert rows(got) == [(c, 1, 6) for c in "abcdef"] + [(c, 2, 6) for c in "uvwxyz"]
 
 
@@ -111,7 +111,7 @@ def test_two_cliques_are_two_communities(rows, cliques, seed):
 ])
 def test_propagation_settles_where_a_synchronous_rule_oscillates(spark, edges):
     df = spark.createDataFrame(edges, "src string, dst string, weight double")
-    labels = graph.propagate_labels(df, max_iter=30)
+    labels = graph.propagate_labels(df)
     assert labels.select("label").distinct().count() == 1
 
 
@@ -197,11 +197,32 @@ def test_only_the_last_round_stays_stored(spark, cliques):
 
     folder = Path(shared_folder(spark).removeprefix("file:"))
     before = set(folder.glob("labels-*"))
-    labels = graph.propagate_labels(cliques, max_iter=20)
+    labels = graph.propagate_labels(cliques)
     assert labels.count() == 12
     assert len(set(folder.glob("labels-*")) - before) == 1
 
 
+def test_a_limit_that_comes_too_early_is_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1, 1.0) for i in range(60)], "src int, dst int, weight double")
+    with pytest.raises(graph.NotSettled):
+        graph.propagate_labels(path, max_iter=1)
+    settled = graph.propagate_labels(path)
+    assert graph.unsettled(path, settled.select("id", "label")).count() == 0
+
+
+def test_large_weights_do_not_overflow(spark, cliques):
+    heavy = cliques.withColumn("weight", F.col("weight") * 1e12)
+    want = {tuple(r) for r in graph.propagate_labels(cliques).collect()}
+    assert {tuple(r) for r in graph.propagate_labels(heavy).collect()} == want
+
+
+def test_a_vector_of_another_width_is_an_error(spark):
+    edges = spark.createDataFrame([("a", "b")], "V1 string, V2 string")
+    table = spark.createDataFrame([("a", [1.0, 0.0, 0.0, 1.0]), ("b", [1.0, 0.0, 0.0, 9.0])], "id string, f array<double>")
+    with pytest.raises(Exception, match="not 3 wide"):
+        graph.cosine_edges(edges, table, "id", "f", 3).collect()
+
+
 def test_missing_weights_take_no_part(spark):
     df = spark.createDataFrame([("a", "b", 1.0), ("b", "c", None)], "src string, dst string, weight double")
     labels = {r["id"]: r["label"] for r in graph.propagate_labels(df).collect()}
