@@ -220,9 +220,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw weighted pairs with loops and repeats: suppliers and a hash of their parts."""
+    """Raw weighted pairs with repeats: suppliers, with even numbers, and their parts, with odd ones."""
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("V1"), F.pmod("l_partkey", F.lit(97)).alias("V2"),
+        (2 * F.col("l_suppkey")).alias("V1"), (2 * F.col("l_partkey") + 1).alias("V2"),
         F.col("l_quantity").alias("weight"),
     )
 

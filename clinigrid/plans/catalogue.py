@@ -329,12 +329,22 @@ def glm_estimates(spark, sf):
     return glm_coefficients(spark, sf).drop("p_value")
 
 
+def _rates_and_tests(spark, sf, people):
+    """Fatality and tests per inhabitant, from one pass over the cases."""
+    counts = materialise(epidemic.case_counts(
+        b.cases(spark, sf), WAVES, b.ANCHOR, laboratory=b.LABORATORY, death_after=b.DEATH_AFTER
+    ), "counts")
+    tests = epidemic.tests_per_capita(epidemic.tests_of(counts, WAVES), people)
+    return epidemic.fatality_of(counts, WAVES), tests
+
+
 def _features_v1(spark, sf):
     table = materialise(resources_population(spark, sf), "resources")
     people = population(spark, sf)
+    rates, tests = _rates_and_tests(spark, sf, people)
     return features.feature_table_v1(
-        fatality(spark, sf), resources.per_affiliate_wide(table),
-        resources.demographic_shares(b.demography(spark, sf)), capita_tests(spark, sf),
+        rates, resources.per_affiliate_wide(table),
+        resources.demographic_shares(b.demography(spark, sf)), tests,
         resources.coverage_wide(table, people),
     )
 
@@ -344,9 +354,9 @@ def feature_table_v1(spark, sf):
 
 
 def _features_v2(spark, sf):
+    rates, tests = _rates_and_tests(spark, sf, population(spark, sf))
     return features.feature_table_v2(
-        fatality(spark, sf), resources.demographic_shares(b.demography(spark, sf)),
-        _contributions(spark, sf), capita_tests(spark, sf),
+        rates, resources.demographic_shares(b.demography(spark, sf)), _contributions(spark, sf), tests,
     )
 
 

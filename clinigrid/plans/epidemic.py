@@ -41,6 +41,43 @@ def cases_in_waves(
     )
 
 
+def case_counts(
+    cases: DataFrame, waves: Sequence[Wave], anchor: date = WAVE_ANCHOR,
+    classes: Sequence[int] = CONFIRMED, laboratory: Sequence[int] = LABORATORY,
+    death_after: date = DEATH_AFTER,
+) -> DataFrame:
+    """Confirmed cases, deaths and laboratory tests per area and wave, from one pass over the cases."""
+    confirmed = F.col("CLASIFICACION_FINAL").isin(*classes)
+    dead = to_day("FECHA_DEF") > F.lit(death_after)
+    return (
+        cases_in_waves(cases, sorted({*classes, *laboratory}), waves, anchor)
+        .groupBy("CVEGEO", "ola")
+        .agg(
+            count_where(confirmed & dead).alias("defunciones"),
+            count_where(confirmed).alias("casos_totales"),
+            count_where(F.col("CLASIFICACION_FINAL").isin(*laboratory)).alias("n"),
+        )
+    )
+
+
+def fatality_of(counts: DataFrame, waves: Sequence[Wave]) -> DataFrame:
+    """``case_fatality`` from ``case_counts``."""
+    grid = complete(
+        counts.where("casos_totales > 0").select("CVEGEO", "ola", "defunciones", "casos_totales"),
+        ["CVEGEO"], {"ola": [w.ola for w in waves]}, {"defunciones": 0, "casos_totales": 0},
+    )
+    return grid.withColumn("cfr", percent("defunciones", "casos_totales"))
+
+
+def tests_of(counts: DataFrame, waves: Sequence[Wave]) -> DataFrame:
+    """``tests_per_day`` from ``case_counts``."""
+    return (
+        counts.where("n > 0").select("CVEGEO", "ola", "n")
+        .withColumn("dias_ola", wave_days("ola", waves))
+        .withColumn("pruebas_dia_promedio", ratio("n", "dias_ola"))
+    )
+
+
 def case_fatality(
     cases: DataFrame, waves: Sequence[Wave], anchor: date = WAVE_ANCHOR,
     classes: Sequence[int] = CONFIRMED, death_after: date = DEATH_AFTER,
@@ -56,11 +93,7 @@ def case_fatality(
         .groupBy("CVEGEO", "ola")
         .agg(count_where(dead).alias("defunciones"), F.count(F.lit(1)).alias("casos_totales"))
     )
-    grid = complete(
-        counts, ["CVEGEO"], {"ola": [w.ola for w in waves]},
-        {"defunciones": 0, "casos_totales": 0},
-    )
-    return grid.withColumn("cfr", percent("defunciones", "casos_totales"))
+    return fatality_of(counts, waves)
 
 
 def outcome_shares(
@@ -86,13 +119,10 @@ def tests_per_day(
     classes: Sequence[int] = LABORATORY,
 ) -> DataFrame:
     """Laboratory tests and their daily mean per area and wave."""
-    return (
-        cases_in_waves(cases, classes, waves, anchor)
-        .groupBy("CVEGEO", "ola")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("dias_ola", wave_days("ola", waves))
-        .withColumn("pruebas_dia_promedio", ratio("n", "dias_ola"))
+    counts = cases_in_waves(cases, classes, waves, anchor).groupBy("CVEGEO", "ola").agg(
+        F.count(F.lit(1)).alias("n")
     )
+    return tests_of(counts, waves)
 
 
 def tests_per_capita(tests: DataFrame, population: DataFrame) -> DataFrame:

@@ -282,8 +282,8 @@ SELECT CVEGEO, {_rounded(*_COVERAGE_NAMES)} FROM coverage""",
 SELECT V1, V2 FROM edge""",
     "contiguity_rook": f"""WITH {_grid_edges("customer", "c_custkey", "c_custkey", 100, rook=True)}
 SELECT V1, V2 FROM edge""",
-    "simple_graph": """SELECT least(l_suppkey, l_partkey % 97) AS src, greatest(l_suppkey, l_partkey % 97) AS dst,
-  sum(l_quantity) AS weight FROM lineitem WHERE l_suppkey <> l_partkey % 97 GROUP BY 1, 2""",
+    "simple_graph": """SELECT least(2 * l_suppkey, 2 * l_partkey + 1) AS src, greatest(2 * l_suppkey, 2 * l_partkey + 1) AS dst,
+  sum(l_quantity) AS weight FROM lineitem GROUP BY 1, 2""",
     "neighbourhood_totals": f"""WITH {RESOURCES_POPULATION}, {POPULATION}, {NATION_EDGES},
 wide AS (SELECT CVEGEO, POBTOT, {", ".join(
     _wide(v, v + "_{}") for v in ("camas", "clinicas", "personal", "derechohabientes"))}

@@ -100,6 +100,20 @@ def test_contiguity_shuffles_its_points_once(spark):
     assert "ReusedExchange" in text
 
 
+@pytest.mark.parametrize("name", ["feature_table_v1", "feature_table_v2"])
+def test_the_case_list_is_read_once(spark, name, monkeypatch):
+    read = []
+    before = bindings.table
+
+    def counted(session, folder, table):
+        read.append(table)
+        return before(session, folder, table)
+
+    monkeypatch.setattr(bindings, "table", counted)
+    text = plan(queries()[name](spark, SF_DIR))
+    assert read.count("orders") == 1 and "orders.parquet" not in text
+
+
 def test_grouping_combines_before_its_shuffle(spark):
     text = plan(queries()["simple_graph"](spark, SF_DIR))
     assert text.count("partial_sum") >= 1
