@@ -12,21 +12,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinigrid.functions import literal
-from clinigrid.session import estimated_bytes, literal_table, row_count_within
+from clinigrid.session import estimated_bytes, fits, literal_table
 
 # A key with more left rows than this is split over several tasks.
 HOT_ROWS = 2_000_000
 # The largest keys that are split. Outside the top K a key holds less than 1/K of all rows;
 # K rows of key and count are a few megabytes at most.
 MAX_HOT_KEYS = 50_000
-# A side is broadcast on request only after its row count was checked against this.
+# A side is broadcast on request only after its rows and bytes were checked against these.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 32 << 20
 # A stored row with a distinct value takes at least this many bytes, compressed; with
 # HOT_ROWS it tells tables that need no counting.
 SMALLEST_ROW = 1
 # Salts given to rows with a missing key.
 NULL_KEY_SALTS = 1024
-# Literal grids larger than this belong in a table, not in the plan.
+# Grids of more cells are joined rather than built within one grouped row.
 MAX_GRID_CELLS = 512
 
 
@@ -145,7 +146,7 @@ def attach(
 
     The check runs ``table``; pass one that is cheap to run or already written.
     """
-    if row_count_within(table, max_rows):
+    if fits(table, max_rows, BROADCAST_BYTES):
         return df.join(F.broadcast(table), list(on), how)
     return skew_safe_join(df, table, on, how, salt_on)
 
@@ -156,13 +157,13 @@ def complete(
     """Every key with every combination of the domain values; absent cells get ``fill``.
 
     Domains are short literal lists, so a key's cells are built as columns of one
-    grouped row and unfolded again: one shuffle of the keys, no product join. Missing
-    values that were present before are filled as well. A cell that occurs twice is an
-    error.
+    grouped row and unfolded again: one shuffle of the keys, no product join. Larger
+    domains unfold the distinct keys instead and join the rows to them. Missing values that
+    were present before are filled as well. A cell that occurs twice is an error.
     """
-    if prod(len(v) for v in domains.values()) > MAX_GRID_CELLS:
-        raise ValueError(f"more than {MAX_GRID_CELLS} cells per key")
     types = {f.name: f.dataType.simpleString() for f in df.schema}
+    if prod(len(v) for v in domains.values()) > MAX_GRID_CELLS:
+        return _complete_by_join(df, keys, domains, fill, types)
     cells = []
     for combination in product(*domains.values()):
         pairs = [(n, f"cast({literal(v)} AS {types[n]})") for n, v in zip(domains, combination)]
@@ -179,3 +180,18 @@ def complete(
         df.groupBy(*keys).agg(F.expr(f"array({', '.join(cells)})").alias("_cells"))
         .select(*keys, F.inline("_cells"))
     )
+
+
+def _complete_by_join(df, keys, domains, fill, types) -> DataFrame:
+    grid = df.select(*keys).distinct()
+    for name, values in domains.items():
+        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v).cast(types[name]) for v in values])))
+    cell = group_key([*keys, *domains])
+    twice = F.raise_error(F.lit("a cell occurs twice under one key"))
+    found = df.withColumn("_cell", cell).groupBy("_cell").agg(
+        F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.first(F.struct(*fill))).alias("_found")
+    )
+    joined = grid.withColumn("_cell", cell).join(found, "_cell", "left")
+    return joined.select(*keys, *domains, *[
+        F.coalesce(F.col("_found")[n], F.lit(v).cast(types[n])).alias(n) for n, v in fill.items()
+    ])

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -51,7 +55,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 @cache
 def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"{application}-")
+    folder = tempfile.mkdtemp(prefix=f"{application}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -72,9 +78,31 @@ def write_stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The written table and its path, for loops that drop a stage once the next is written."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    for held in _scratch:
+        held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+# What open ``scratch`` blocks have written so far.
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all tables that functions of this library stored inside the block.
+
+    Results are lazy and may read those tables: collect or write them inside.
+    """
+    held: list[str] = []
+    _scratch.append(held)
+    try:
+        yield
+    finally:
+        _scratch.remove(held)
+        for path in held:
+            drop_stage(spark, path)
+
+
 def drop_stage(spark: SparkSession, path: str | None) -> None:
     """Delete a table written by ``write_stage`` that no plan reads any more."""
     if path is not None:
@@ -99,3 +127,10 @@ def estimated_bytes(df: DataFrame) -> int:
 def row_count_within(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows; never counts further than that."""
     return df.limit(limit + 1).count() <= limit
+
+
+def fits(df: DataFrame, rows: int, size: int) -> bool:
+    """True when ``df`` has at most ``rows`` rows of ``size`` bytes as text; looks no further than that."""
+    text = F.octet_length(F.to_json(F.struct(*[df[f"`{c}`"] for c in df.columns])))
+    found = df.select(text.alias("n")).limit(rows + 1).agg(F.count(F.lit(1)), F.sum("n")).first()
+    return found[0] <= rows and (found[1] or 0) <= size

@@ -67,8 +67,36 @@ def test_complete(spark, rows):
     assert rows(got) == [("a", "w1", 1, -1.0), ("a", "w2", 0, 5.0), ("b", "w1", 2, 1.0), ("b", "w2", 0, -1.0)]
     with pytest.raises(Exception, match="occurs twice"):
         joins.complete(df.union(df), ["area"], {"ola": ["w1"]}, {"n": 0}).collect()
-    with pytest.raises(ValueError):
-        joins.complete(df, ["area"], {"n": list(range(1000))}, {"v": 0.0})
+
+
+def test_complete_beyond_a_row(spark, rows, monkeypatch):
+    """Large domains are joined: the same cells, missing keys included."""
+    df = spark.createDataFrame([("a", 1, 2.0), (None, 3, None), ("b", 2, 1.0)], "area string, n int, v double")
+    small = rows(joins.complete(df, ["area"], {"n": [1, 2, 3]}, {"v": 0.0}))
+    assert len(small) == 9
+    monkeypatch.setattr(joins, "MAX_GRID_CELLS", 2)
+    assert rows(joins.complete(df, ["area"], {"n": [1, 2, 3]}, {"v": 0.0})) == small
+    with pytest.raises(Exception, match="occurs twice"):
+        joins.complete(df.union(df), ["area"], {"n": [1, 2, 3]}, {"v": 0.0}).collect()
+
+
+def test_attach_checks_bytes_too(spark, monkeypatch, skewed):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 10)
+    table = spark.createDataFrame([(i, "x" * 100) for i in range(40)], "k int, t string")
+    joined = joins.attach(skewed, table, ["k"])
+    hinted = joined._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in hinted and joined.count() == skewed.count()
+
+
+def test_scratch_deletes_what_it_held(spark):
+    from pathlib import Path
+
+    from clinigrid.session import materialise, scratch, shared_folder
+
+    with scratch(spark):
+        assert materialise(spark.range(3), "held").count() == 3
+        assert list(Path(shared_folder(spark).removeprefix("file:")).glob("held-*"))
+    assert not list(Path(shared_folder(spark).removeprefix("file:")).glob("held-*"))
 
 
 def test_top_with_ties(spark, rows):
