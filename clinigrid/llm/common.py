@@ -79,7 +79,7 @@ def append(df: DataFrame, start: Callable[[], Callable], ddl: str) -> DataFrame:
     return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
 
 
-def emit(df: DataFrame, start: Callable[[], Callable], ddl: str) -> DataFrame:
+def emit(df: DataFrame, start: Callable[[], Callable], ddl: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The rows that a function makes of each slice, or None for no rows, and of the task's end.
 
     ``start`` returns ``step`` or ``(step, finish)``; both give one list per column.
@@ -94,7 +94,7 @@ def emit(df: DataFrame, start: Callable[[], Callable], ddl: str) -> DataFrame:
     def run(batches):
         begun = start()
         step, finish = begun if isinstance(begun, tuple) else (begun, None)
-        for batch in slices(batches):
+        for batch in slices(batches, slice_bytes):
             columns = step(batch)
             if columns is not None:
                 yield batch_of(columns)
@@ -105,12 +105,12 @@ def emit(df: DataFrame, start: Callable[[], Callable], ddl: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def slices(batches) -> Iterator[pa.RecordBatch]:
-    """Non-empty batches of at most SLICE_BYTES, or of one row."""
+def slices(batches, slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Non-empty batches of about ``slice_bytes`` at most, or of one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.get_total_buffer_size()))
+        rows = max(1, batch.num_rows * slice_bytes // max(1, batch.get_total_buffer_size()))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 

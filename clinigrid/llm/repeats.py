@@ -33,7 +33,9 @@ WIDTH = 50
 GRAM = 24
 BLOCK_BYTES = 1 << 20
 # A bucket of entries is sorted in one task: about so many on average.
-BUCKET_ENTRIES = 1_000_000
+BUCKET_ENTRIES = 300_000
+# Larger slices send the list of their documents to buckets less often.
+SLICE_BYTES = 8 << 20
 NO_ID = (1 << 63) - 1
 WHOLE, PART, WINDOW = 0, 1, 2
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -135,7 +137,7 @@ def dealt(a, b, place, of, docs, keys, n_buckets: int):
         for column, value in zip(out, (
             bucket, kind, a[rows].tobytes() if not kind else b"", b[rows].tobytes() if not kind else b"",
             place[rows].astype("<u4").tobytes(), local.astype("<u4").tobytes(),
-            docs[used].tobytes(), keys[used].tobytes(),
+            docs[used].tobytes(), keys[used].astype("<i4").tobytes(),
         )):
             column.append(value)
 
@@ -167,7 +169,7 @@ def sort_bucket(table: pa.Table, first_kind: int, with_parts: bool) -> pa.Table:
             if row_kind == kind:
                 at = np.frombuffer(of, dtype="<u4")
                 docs.append(np.frombuffer(d, dtype="<i8")[at])
-                keys.append(np.frombuffer(k, dtype="<i8")[at])
+                keys.append(np.frombuffer(k, dtype="<i4")[at].astype(np.int64))
         return np.concatenate(docs), np.concatenate(keys)
 
     docs1, keys1 = owners(1)
@@ -230,7 +232,7 @@ def run_entries(keyed: DataFrame, width: int, n_buckets: int) -> DataFrame:
 
         return step
 
-    return emit(keyed, start, PACKED)
+    return emit(keyed, start, PACKED, SLICE_BYTES)
 
 
 def window_entries(joined: DataFrame, width: int, n_buckets: int) -> DataFrame:
@@ -263,7 +265,7 @@ def window_entries(joined: DataFrame, width: int, n_buckets: int) -> DataFrame:
 
         return step
 
-    return emit(joined.select("doc", "key", "text", "places"), start, PACKED)
+    return emit(joined.select("doc", "key", "text", "places"), start, PACKED, SLICE_BYTES)
 
 
 def removed_spans(text: bytes, answered: list[tuple[int, int]], hasher: Hasher, width: int) -> list[tuple[int, int]]:
@@ -291,7 +293,8 @@ def remove_repeats(docs: DataFrame, carry=None, width: int = WIDTH) -> DataFrame
     one another, and rows equal in id and text get the same answer. An empty table gives
     an empty result.
 
-    Documents are told apart by id and a hash of the text, which every scan finds again.
+    Documents are told apart by id and, under one id, a hash of the text, which every scan
+    finds again.
     Texts are read three times and shuffled twice, to meet the answers; each pass's shuffle
     files are released before the next.
     """
@@ -300,7 +303,7 @@ def remove_repeats(docs: DataFrame, carry=None, width: int = WIDTH) -> DataFrame
         "doc", F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("no"),
     )
-    keyed = packed.select("doc", "text", "no", F.xxhash64("no", "text").alias("key"))
+    keyed = packed.select("doc", "text", "no", F.hash("text").cast("bigint").alias("key"))
     light = keyed.select(F.col("no").alias("doc"), "key", "text")
     size = light.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     n_buckets = max(1, int(size * 2 / (width - GRAM + 2) / BUCKET_ENTRIES) + 1)
