@@ -271,6 +271,14 @@ def test_toxicity(spark, table):
     assert (got[500]["predicted"], got[501]["predicted"], got[502]["predicted"], got[503]["predicted"]) == (0, 0, 1, 0)
 
 
+def test_training_rows_are_the_first_by_hash(spark):
+    labels = spark.range(3000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    docs = spark.range(3000).selectExpr("id AS doc_id", "cast(id AS string) AS text")
+    got = {int(r["text"]) for r in toxicity.training_rows(docs, labels, 40).collect()}
+    usable = labels.where(~language.held_out("doc_id"))
+    assert got == {r["doc_id"] for r in usable.orderBy(F.xxhash64("doc_id")).limit(40).collect()}
+
+
 def test_toxicity_without_labels(spark, table):
     docs = cases.documents(spark, clashing=False)
     folder = table(documents=docs, labels=spark.createDataFrame([], "doc_id bigint, toxic int"))
