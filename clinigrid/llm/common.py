@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -22,6 +23,25 @@ SLICE_BYTES = 4 << 20
 MAX_BROADCAST_BYTES = 64 << 20
 
 
+# Rows of a batch between Spark and its Python workers while an operator stores a stage.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Stages stored inside the block pass texts to Python in batches of BATCH_ROWS.
+
+    Spark's own default may fill 64 MB per task on either side, beside the working memory.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ship(module: str) -> None:
     """Send the module's functions to tasks by value: executors need not have the library."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinigrid.llm.common import append, code_points, documents, pack, raw, sha256_of_list, ship
+from clinigrid.llm.common import append, code_points, documents, pack, raw, sha256_of_list, ship, small_batches
 from clinigrid.operators.joins import skew_safe_join
 from clinigrid.session import materialise
 
@@ -190,9 +190,10 @@ def find_personal_data(docs: DataFrame, carry=None, min_score: float = MIN_SCORE
     Repeated rows are found alike and count once as evidence; an empty table, or one with
     few seeds, gives no added spans. Texts are read once.
     """
-    found = materialise(
-        with_spans(pack(docs, carry)).drop("text").withColumn("row", F.monotonically_increasing_id()), "found"
-    )
+    with small_batches(docs.sparkSession):
+        found = materialise(
+            with_spans(pack(docs, carry)).drop("text").withColumn("row", F.monotonically_increasing_id()), "found"
+        )
     best = score_instances(found).where(F.col("score") >= min_score).groupBy("value").agg(
         F.max(F.struct("score", (-F.col("kind")).alias("k")))["k"].alias("k")
     ).select("value", (-F.col("k")).cast("int").alias("kind"))
