@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinigrid.llm.common import append, documents, emit, pack, raw, ship
-from clinigrid.session import drop_stage, write_stage
+from clinigrid.llm.common import append, documents, emit, pack, raw, ship, small_batches
+from clinigrid.session import materialise
 
 WIDTH = 50
 GRAM = 24
@@ -201,12 +201,13 @@ def sort_bucket(table: pa.Table, first_kind: int, with_parts: bool) -> pa.Table:
     })
 
 
-def answers(entries: DataFrame, first_kind: int, with_parts: bool, name: str) -> tuple[DataFrame, str]:
+def answers(entries: DataFrame, first_kind: int, with_parts: bool, name: str) -> DataFrame:
     """The stored answers of all buckets."""
     found = entries.groupBy("bucket").applyInArrow(
         lambda table: sort_bucket(table, first_kind, with_parts), ANSWER
     )
-    return write_stage(found, name)
+    with small_batches(entries.sparkSession):
+        return materialise(found, name)
 
 
 def release(spark) -> None:
@@ -308,12 +309,12 @@ def remove_repeats(docs: DataFrame, carry=None, width: int = WIDTH) -> DataFrame
     size = light.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     n_buckets = max(1, int(size * 2 / (width - GRAM + 2) / BUCKET_ENTRIES) + 1)
 
-    first, first_path = answers(run_entries(light, width, n_buckets), WHOLE, True, "runs")
+    first = answers(run_entries(light, width, n_buckets), WHOLE, True, "runs")
     release(spark)
     partial = first.where(F.col("kind") == PART).groupBy("doc", "key").agg(F.collect_set("place").alias("places"))
     left_over = first.where(F.col("kind") == PART).count()
     more_buckets = max(1, int(left_over * (width - GRAM + 2) / 2 / BUCKET_ENTRIES) + 1)
-    second, second_path = answers(
+    second = answers(
         window_entries(light.join(partial, ["doc", "key"]), width, more_buckets), WINDOW, False, "windows"
     )
     release(spark)
