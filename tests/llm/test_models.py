@@ -350,3 +350,16 @@ def test_pipeline_equals_brute_force(spark):
     for i in set(three) - set(plain):
         text = lattice.decode(list(final[i]["ids"]))
         assert not cases.secrets(text) and not cases.contamination(text, items)[1]
+
+
+# --- all queries ------------------------------------------------------------------------
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_over_empty_and_missing(spark, table, name):
+    items = spark.createDataFrame([], "item_id bigint, text string")
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int, quality int")
+    empty = table(documents=cases.nothing(spark), benchmark=items, labels=labels)
+    assert QUERIES[name](spark, empty).count() == 0
+    missing = spark.createDataFrame([(None, None, None)] * 3, "doc_id bigint, text string, lang string")
+    found = QUERIES[name](spark, table(documents=missing, benchmark=items, labels=labels))
+    assert found.count() == 3
