@@ -20,6 +20,7 @@ document holds arrives once per slice.
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -211,9 +212,16 @@ def answers(entries: DataFrame, first_kind: int, with_parts: bool, name: str) ->
 
 
 def release(spark) -> None:
-    """Let Spark delete the shuffle files of passes that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of passes that nothing refers to any more.
+
+    The session keeps hold of its last query, so a small one takes that place first; the
+    files go in the background, shortly after the collection.
+    """
+    spark.range(1).collect()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def run_entries(keyed: DataFrame, width: int, n_buckets: int) -> DataFrame:
