@@ -32,11 +32,11 @@ from clinigrid.session import materialise
 
 WIDTH = 50
 GRAM = 24
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17
 # A bucket of entries is sorted in one task: about so many on average.
 BUCKET_ENTRIES = 300_000
-# Larger slices send the list of their documents to buckets less often.
-SLICE_BYTES = 8 << 20
+# Documents are hashed in slices of so many bytes, each in blocks.
+SLICE_BYTES = 3 << 20
 NO_ID = (1 << 63) - 1
 WHOLE, PART, WINDOW = 0, 1, 2
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
