@@ -1,4 +1,7 @@
-"""SentencePiece encoding and decoding by a max-plus parallel scan.
+"""SentencePiece unigram encoding by a max-plus parallel scan, decoding, and the query.
+
+The query and the pipeline encode by the merges of ``clinigrid.llm.merges``, as the given
+model is of the BPE type; ``encode`` is for models whose scores are log probabilities.
 
 The best segmentation of a text maximises the sum of its pieces' scores. A text decomposes
 where no useful piece crosses, in front of spaces and around characters that no piece has;
@@ -59,11 +62,8 @@ class Words(dict):
         return found
 
 
-def vocabulary(model: bytes) -> tuple:
-    """What ``Pieces`` needs of a model, as plain values: made once, sent to every task.
-
-    Pieces that score less than their own parts are in no best segmentation and left out.
-    """
+def pieces_of(model: bytes) -> tuple[dict, list, list]:
+    """Score and id by piece, the ids of bytes, and what every id stands for."""
     import sentencepiece
 
     read = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -77,6 +77,15 @@ def vocabulary(model: bytes) -> tuple:
         elif not (read.is_control(i) or read.is_unknown(i) or read.is_unused(i)):
             pieces[piece] = (read.get_score(i), i)
             surface[i] = piece.replace(SPACE, " ").encode()
+    return pieces, byte_ids, surface
+
+
+def vocabulary(model: bytes) -> tuple:
+    """What ``Pieces`` needs of a model, as plain values: made once, sent to every task.
+
+    Pieces that score less than their own parts are in no best segmentation and left out.
+    """
+    pieces, byte_ids, surface = pieces_of(model)
     unknown = min((s for s, _ in pieces.values()), default=0.0) - UNKNOWN_PENALTY
     whole = Pieces((pieces, byte_ids, surface, unknown, ""))
     useful = {}
@@ -382,12 +391,16 @@ def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
 
 def encoding_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids with their pieces; the last stage, so it returns no texts."""
-    found = encode(docs)
+    from clinigrid.llm.merges import encode_merges
+
+    found = encode_merges(docs)
     return found.select("doc.doc_id", "n_pieces", "ids")
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    encoded = encode(documents(spark, sf_dir, "doc_id", "text"), carry=["doc_id"])
+    from clinigrid.llm.merges import encode_merges
+
+    encoded = encode_merges(documents(spark, sf_dir, "doc_id", "text"), carry=["doc_id"])
     found = decode(encoded)
     return found.select(
         "doc.doc_id", "n_pieces", F.xxhash64("ids").alias("ids_xxhash64"),
