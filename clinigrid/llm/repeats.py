@@ -14,7 +14,9 @@ that may still have a partner go on:
 
 Entries are packed per slice of documents, and of equal ones in a slice only the smallest
 document's moves on: the others already have their answer, so a passage that every
-document holds arrives once per slice.
+document holds arrives once per slice. A string that one document holds many times is one
+entry, marked AGAIN; its other places are found again by hash in the last scan. Anchors
+with very many different strings are dealt by both digits, and all their strings go on.
 """
 
 from __future__ import annotations
@@ -39,6 +41,14 @@ BUCKET_ENTRIES = 300_000
 SLICE_BYTES = 3 << 20
 NO_ID = (1 << 63) - 1
 WHOLE, PART, WINDOW = 0, 1, 2
+# Marks a place whose string the same document holds at other places too.
+AGAIN = 1 << 31
+# Strings are drawn one in so many to find hot anchors: those with so many drawn ones, the largest first.
+DRAWN_OF = 256
+HOT_DRAWN = 32
+MAX_HOT = 50_000
+# Kinds of packed rows.
+OPEN, ANSWERED, HOT = 0, 1, 2
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -94,9 +104,10 @@ def blocks(text: bytes, width: int):
         yield at, np.frombuffer(text, dtype=np.uint8)[at:at + BLOCK_BYTES + width - 1]
 
 
-def runs(text: bytes, hasher: Hasher, width: int):
-    """Runs of windows with one anchor: first window, last window, anchor hash, string hash."""
-    found = []
+def run_blocks(text: bytes, hasher: Hasher, width: int):
+    """Per block the number of runs before it, and its runs of windows with one anchor: first
+    window, last window, anchor hash, string hash."""
+    n = 0
     for offset, codes in blocks(text, width):
         if len(codes) < width:
             continue
@@ -107,28 +118,70 @@ def runs(text: bytes, hasher: Hasher, width: int):
         anchor = (least & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         last = np.concatenate([first[1:], [len(anchor)]]) - 1
-        found.append((
-            first + offset, last + offset, grams[anchor[first]], hasher.stretch(sums, first, last + width)
-        ))
-    if not found:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.uint64, np.uint64))
-    return tuple(np.concatenate(c) for c in zip(*found))
+        yield n, first + offset, last + offset, grams[anchor[first]], hasher.stretch(sums, first, last + width)
+        n += len(first)
+
+
+def together(parts: list, dtypes) -> tuple:
+    return tuple(np.concatenate([np.zeros(0, dtype=t), *c]) for t, c in zip(dtypes, zip(*parts) if parts else [()] * len(dtypes)))
+
+
+def chosen_runs(text: bytes, hasher: Hasher, width: int, places: np.ndarray) -> tuple:
+    """First windows, last windows, anchors and strings of the runs at ascending ``places``."""
+    found = []
+    for n, *columns in run_blocks(text, hasher, width):
+        here = places[slice(*np.searchsorted(places, [n, n + len(columns[0])]))] - n
+        found.append([c[here] for c in columns])
+    return together(found, (np.int64, np.int64, np.uint64, np.uint64))
+
+
+def distinct_runs(text: bytes, hasher: Hasher, width: int) -> tuple:
+    """Anchors, strings and places of a text's runs, of equal ones in a block the first, marked."""
+    found = []
+    for n, _, _, a, b in run_blocks(text, hasher, width):
+        order = np.lexsort((b, a))
+        fresh = np.ones(len(a), dtype=bool)
+        fresh[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        more = np.zeros(len(a), dtype=np.int64)
+        more[:-1] = np.where(fresh[1:], 0, AGAIN)
+        kept = order[fresh]
+        found.append((a[kept], b[kept], kept + n | more[fresh]))
+    return together(found, (np.uint64, np.uint64, np.int64))
+
+
+def among(a: np.ndarray, b: np.ndarray, some_a: np.ndarray, some_b: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) are among some."""
+    order = np.lexsort((some_b, some_a))
+    some_a, some_b = some_a[order], some_b[order]
+    low, high = np.searchsorted(some_a, a, "left"), np.searchsorted(some_a, a, "right")
+    found = np.zeros(len(a), dtype=bool)
+    for step in range(int((high - low).max(initial=0))):
+        at = np.minimum(low + step, len(some_b) - 1)
+        found |= (low + step < high) & (some_b[at] == b)
+    return found
 
 
 PACKED = "bucket int, kind int, a binary, b binary, place binary, of binary, docs binary, keys binary"
 ANSWER = "doc bigint, key bigint, place bigint, kind int"
 
 
-def dealt(a, b, place, of, docs, keys, n_buckets: int):
+def dealt(a, b, place, of, docs, keys, n_buckets: int, hot=None):
     """Entries of a slice as packed rows per bucket; entries answered within the slice apart.
 
-    ``of`` tells the document of an entry as a position in ``docs`` and ``keys``.
+    ``of`` tells the document of an entry as a position in ``docs`` and ``keys``; ``hot``
+    holds the anchors that are dealt by both digits, ascending.
     """
-    owner = docs[of]
-    order = np.lexsort((owner, b, a))
-    a, b, place, of, owner = a[order], b[order], place[order], of[order], owner[order]
+    rank = np.empty(len(docs), dtype=np.int64)
+    rank[np.argsort(docs, kind="stable")] = np.arange(len(docs))
+    order = np.lexsort((rank[of], b, a))
+    a, b, place, of = a[order], b[order], place[order], of[order]
     fresh = np.ones(len(a), dtype=bool)
     fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    own = fresh.copy()
+    own[1:] |= of[1:] != of[:-1]
+    place[:-1] |= np.where(own[1:], 0, AGAIN)
+    a, b, place, of, fresh = a[own], b[own], place[own], of[own], fresh[own]
+    owner = docs[of]
     least = owner[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
     known = owner > least
     out = [[] for _ in range(8)]
@@ -136,49 +189,61 @@ def dealt(a, b, place, of, docs, keys, n_buckets: int):
     def add(bucket, kind, rows):
         used, local = np.unique(of[rows], return_inverse=True)
         for column, value in zip(out, (
-            bucket, kind, a[rows].tobytes() if not kind else b"", b[rows].tobytes() if not kind else b"",
+            bucket, kind, a[rows].tobytes() if kind != ANSWERED else b"", b[rows].tobytes() if kind != ANSWERED else b"",
             place[rows].astype("<u4").tobytes(), local.astype("<u4").tobytes(),
             docs[used].tobytes(), keys[used].astype("<i4").tobytes(),
         )):
             column.append(value)
 
-    to = ((a >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-    # Sorted by a, so every bucket is one stretch; inside it entries go by document to pack well.
+    is_hot = np.isin(a, hot) if hot is not None and len(hot) else np.zeros(len(a), dtype=bool)
+    # Anchors are least hashes, most of them small numbers: mixed, they fill buckets evenly.
+    digit = mixed(a ^ np.where(is_hot, b * np.uint64(MULTIPLIERS[0]), np.uint64(0)))
+    # An even number for a bucket's ordinary entries, the next one for its hot ones.
+    to = ((digit >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64) * 2 + is_hot
+    # Every bucket is one stretch; inside it entries go by document to pack well.
     open_rows = np.flatnonzero(~known)
+    open_rows = open_rows[np.argsort(to[open_rows], kind="stable")]
     for part in np.split(open_rows, np.flatnonzero(np.diff(to[open_rows])) + 1) if len(open_rows) else ():
-        add(int(to[part[0]]), 0, part[np.lexsort((place[part], of[part]))])
+        bucket, its_kind = divmod(int(to[part[0]]), 2)
+        add(bucket, HOT if its_kind else OPEN, part[np.lexsort((place[part], of[part]))])
     answered = np.flatnonzero(known)
     if len(answered):
         answered = answered[np.lexsort((place[answered], of[answered]))]
-        add(int(keys[of[answered[0]]] % n_buckets), 1, answered)
+        add(int(keys[of[answered[0]]] % n_buckets), ANSWERED, answered)
     return out
 
 
 def sort_bucket(table: pa.Table, first_kind: int, with_parts: bool) -> pa.Table:
     """Answers of one bucket: entries of strings that a smaller document has, and with
-    ``with_parts`` one entry of each different string that shares its anchor with another."""
+    ``with_parts`` one entry of each different string that shares its anchor with another.
+
+    Strings of a hot anchor are in many buckets, so each of them goes on."""
     columns = {n: table.column(n).to_pylist() for n in table.schema.names}
 
-    def joined(name, kind, dtype):
+    def joined(name, kinds, dtype):
         return np.concatenate([np.zeros(0, dtype=dtype)] + [
-            np.frombuffer(x, dtype=dtype) for x, k in zip(columns[name], columns["kind"]) if k == kind
+            np.frombuffer(x, dtype=dtype) for x, k in zip(columns[name], columns["kind"]) if k in kinds
         ])
 
-    def owners(kind):
+    def owners(kinds):
         docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for of, d, k, row_kind in zip(columns["of"], columns["docs"], columns["keys"], columns["kind"]):
-            if row_kind == kind:
+            if row_kind in kinds:
                 at = np.frombuffer(of, dtype="<u4")
                 docs.append(np.frombuffer(d, dtype="<i8")[at])
                 keys.append(np.frombuffer(k, dtype="<i4")[at].astype(np.int64))
         return np.concatenate(docs), np.concatenate(keys)
 
-    docs1, keys1 = owners(1)
-    place1 = joined("place", 1, "<u4")
-    a, b, place = joined("a", 0, "<u8"), joined("b", 0, "<u8"), joined("place", 0, "<u4")
-    docs, keys = owners(0)
+    docs1, keys1 = owners([ANSWERED])
+    place1 = joined("place", [ANSWERED], "<u4")
+    still = [OPEN, HOT]
+    a, b, place = joined("a", still, "<u8"), joined("b", still, "<u8"), joined("place", still, "<u4")
+    hot = np.concatenate([np.zeros(0, dtype=bool)] + [
+        np.full(len(x) // 4, k == HOT) for x, k in zip(columns["place"], columns["kind"]) if k in still
+    ])
+    docs, keys = owners(still)
     order = np.lexsort((docs, b, a))
-    a, b, place, docs, keys = a[order], b[order], place[order], docs[order], keys[order]
+    a, b, place, hot, docs, keys = a[order], b[order], place[order], hot[order], docs[order], keys[order]
     new_a = np.ones(len(a), dtype=bool)
     new_a[1:] = a[1:] != a[:-1]
     new_b = new_a.copy()
@@ -191,7 +256,7 @@ def sort_bucket(table: pa.Table, first_kind: int, with_parts: bool) -> pa.Table:
         starts = np.flatnonzero(new_a)
         strings = np.add.reduceat(new_b.astype(np.int64), starts)
         several = (strings > 1) & (np.minimum.reduceat(docs, starts) < np.maximum.reduceat(docs, starts))
-        part = several[group] & ~whole
+        part = (several[group] | hot) & ~whole
         rows.append(np.flatnonzero(part))
         kinds.append(np.full(int(part.sum()), PART))
     at = np.concatenate(rows)
@@ -224,23 +289,39 @@ def release(spark) -> None:
         time.sleep(1)
 
 
-def run_entries(keyed: DataFrame, width: int, n_buckets: int) -> DataFrame:
+def entries_of(batch, hasher: Hasher, width: int) -> tuple:
+    """Of a slice's runs the anchors, strings, places, documents as positions, and the documents."""
+    docs = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
+    keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
+    parts = [distinct_runs(t, hasher, width) for t in raw(batch)]
+    of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    return *[np.concatenate(c) for c in zip(*parts)], of, docs, keys
+
+
+def hot_anchors(keyed: DataFrame, width: int) -> np.ndarray:
+    """Anchors with very many different strings, from one string in DRAWN_OF."""
     def start():
         hasher = Hasher(0)
 
         def step(batch):
-            docs = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
-            keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
-            parts = [runs(t, hasher, width) for t in raw(batch)]
-            sizes = [len(p[0]) for p in parts]
-            return dealt(
-                np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]),
-                np.concatenate([np.arange(n) for n in sizes]), np.repeat(np.arange(len(parts)), sizes),
-                docs, keys, n_buckets,
-            )
+            a, b, *_ = entries_of(batch, hasher, width)
+            drawn = b % np.uint64(DRAWN_OF) == 0
+            pairs = np.unique(np.stack([a[drawn], b[drawn]], axis=1), axis=0).view(np.int64)
+            return [pairs[:, 0], pairs[:, 1]] if len(pairs) else None
 
         return step
 
+    drawn = emit(keyed, start, "a bigint, b bigint", SLICE_BYTES)
+    counted = drawn.groupBy("a").agg(F.count_distinct("b").alias("n")).where(F.col("n") >= HOT_DRAWN)
+    found = counted.orderBy(F.desc("n"), "a").limit(MAX_HOT).collect()
+    return np.sort(np.array([r["a"] for r in found], dtype=np.int64).view(np.uint64))
+
+
+def run_entries(keyed: DataFrame, width: int, n_buckets: int, hot: np.ndarray | None = None) -> DataFrame:
+    def start():
+        hasher = Hasher(0)
+        return lambda batch: dealt(*entries_of(batch, hasher, width), n_buckets, hot)
+
     return emit(keyed, start, PACKED, SLICE_BYTES)
 
 
@@ -249,17 +330,18 @@ def window_entries(joined: DataFrame, width: int, n_buckets: int) -> DataFrame:
         hashers = Hasher(0), Hasher(1)
 
         def windows(text, places):
-            first, last, _, _ = runs(text, hashers[0], width)
-            at = np.unique(places)
-            sizes = last[at] - first[at] + 1
-            starts = np.repeat(first[at] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+            at = np.unique(places % AGAIN)
+            first, last, _, _ = chosen_runs(text, hashers[0], width, at)
+            sizes = last - first + 1
+            starts = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
             out = [np.zeros(len(starts), dtype=np.uint64) for _ in hashers]
             for offset, codes in blocks(text, width):
                 here = (starts >= offset) & (starts < offset + BLOCK_BYTES)
                 for column, hasher in zip(out, hashers):
                     local = starts[here] - offset
                     column[here] = hasher.stretch(hasher.sums(codes), local, local + width)
-            return starts, *out
+            # What a run that comes again holds comes again.
+            return starts | np.repeat(np.isin(at, places[places >= AGAIN] % AGAIN), sizes) * AGAIN, *out
 
         def step(batch):
             docs = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -277,17 +359,43 @@ def window_entries(joined: DataFrame, width: int, n_buckets: int) -> DataFrame:
     return emit(joined.select("doc", "key", "text", "places"), start, PACKED, SLICE_BYTES)
 
 
-def removed_spans(text: bytes, answered: list[tuple[int, int]], hasher: Hasher, width: int) -> list[tuple[int, int]]:
-    """Disjoint byte spans that the answered runs and windows cover."""
+def removed_spans(
+    text: bytes, answered: list[tuple[int, int]], hashers: tuple[Hasher, Hasher], width: int
+) -> list[tuple[int, int]]:
+    """Disjoint byte spans that the answered runs and windows cover, wherever the text has them."""
     change = np.zeros(len(text) + 1, dtype=np.int64)
-    whole = np.array([p for kind, p in answered if kind == WHOLE], dtype=np.int64)
+
+    def cover(first, last):
+        np.add.at(change, first, 1)
+        np.add.at(change, last + width, -1)
+
+    def places_of(wanted):
+        marked = np.sort(np.array([p for kind, p in answered if kind == wanted], dtype=np.int64))
+        return np.unique(marked % AGAIN), np.unique(marked[marked >= AGAIN] % AGAIN)
+
+    whole, again = places_of(WHOLE)
     if len(whole):
-        first, last, _, _ = runs(text, hasher, width)
-        np.add.at(change, first[whole], 1)
-        np.add.at(change, last[whole] + width, -1)
-    single = np.array([p for kind, p in answered if kind == WINDOW], dtype=np.int64)
-    np.add.at(change, single, 1)
-    np.add.at(change, single + width, -1)
+        first, last, a, b = chosen_runs(text, hashers[0], width, whole)
+        cover(first, last)
+        if len(again):
+            some = np.isin(whole, again)
+            for _, first, last, at_a, at_b in run_blocks(text, hashers[0], width):
+                same = among(at_a, at_b, a[some], b[some])
+                cover(first[same], last[same])
+    single, again = places_of(WINDOW)
+    cover(single, single)
+    if len(again):
+        def hashes():
+            for offset, codes in blocks(text, width):
+                yield offset, *[h.all(h.sums(codes), width) for h in hashers]
+
+        some = together([
+            [h[again[slice(*np.searchsorted(again, [offset, offset + len(h)]))] - offset] for h in both]
+            for offset, *both in hashes()
+        ], (np.uint64, np.uint64))
+        for offset, *both in hashes():
+            same = np.flatnonzero(among(*both, *some)) + offset
+            cover(same, same)
     covered = np.concatenate([[0], (np.cumsum(change[:-1]) > 0).astype(np.int8), [0]])
     edges = np.flatnonzero(np.diff(covered))
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
@@ -304,7 +412,7 @@ def remove_repeats(docs: DataFrame, carry=None, width: int = WIDTH) -> DataFrame
 
     Documents are told apart by id and, under one id, a hash of the text, which every scan
     finds again.
-    Texts are read three times and shuffled twice, to meet the answers; each pass's shuffle
+    Texts are read four times and shuffled twice, to meet the answers; each pass's shuffle
     files are released before the next.
     """
     spark = docs.sparkSession
@@ -317,7 +425,9 @@ def remove_repeats(docs: DataFrame, carry=None, width: int = WIDTH) -> DataFrame
     size = light.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     n_buckets = max(1, int(size * 2 / (width - GRAM + 2) / BUCKET_ENTRIES) + 1)
 
-    first = answers(run_entries(light, width, n_buckets), WHOLE, True, "runs")
+    # One bucket needs no dealing.
+    hot = hot_anchors(light, width) if n_buckets > 1 else None
+    first = answers(run_entries(light, width, n_buckets, hot), WHOLE, True, "runs")
     release(spark)
     partial = first.where(F.col("kind") == PART).groupBy("doc", "key").agg(F.collect_set("place").alias("places"))
     left_over = first.where(F.col("kind") == PART).count()
@@ -331,12 +441,12 @@ def remove_repeats(docs: DataFrame, carry=None, width: int = WIDTH) -> DataFrame
     ).select(F.col("doc").alias("no"), "key", "answered")
 
     def start():
-        hasher = Hasher(0)
+        hashers = Hasher(0), Hasher(1)
 
         def step(batch):
             texts = raw(batch)
             spans = [
-                removed_spans(t, [(x["kind"], x["place"]) for x in found], hasher, width) if found else []
+                removed_spans(t, [(x["kind"], x["place"]) for x in found], hashers, width) if found else []
                 for t, found in zip(texts, batch.column("answered").to_pylist())
             ]
             return [len(t) for t in texts], spans, [without(t, s) for t, s in zip(texts, spans)]
