@@ -27,6 +27,8 @@ SEED = 725
 # Fixed value: smallest node of a regression forest. Depth is bound by what Spark accepts.
 MIN_NODE = 5
 MAX_DEPTH = 30
+# In place of a grid setting's number: the forest as it is without one.
+UNTUNED = -1
 
 
 def _drawn(key: Sequence[str], seed: int, purpose: str):
@@ -72,6 +74,7 @@ class ForestResult:
     test: DataFrame
     importance: DataFrame
     elapsed_seconds: float
+    untuned: DataFrame
 
 
 def metrics(predictions: DataFrame, label: str) -> tuple[float | None, float | None]:
@@ -101,7 +104,7 @@ def _forest(settings: ForestSettings, width: int) -> RandomForestRegressor:
 
 
 def fit_forest(table: DataFrame, settings: ForestSettings) -> ForestResult:
-    """Tune on folds of the training share, refit the best setting, score the rest.
+    """Score the untuned forest on folds of the training share, tune on them, refit the best setting, score the rest.
 
     Every fit and every prediction is a distributed job, and several fits run at once. A
     tuning model is dropped once it is scored; only metric rows and one importance per
@@ -126,7 +129,7 @@ def fit_forest(table: DataFrame, settings: ForestSettings) -> ForestResult:
     forest = _forest(settings, len(names))
 
     def fit(data: DataFrame, number: int) -> Model:
-        values = settings.grid[number]
+        values = settings.grid[number] if number != UNTUNED else {}
         return forest.fit(data, {getattr(forest, k): v for k, v in values.items()})
 
     def held_out(fold: int, number: int) -> tuple:
@@ -134,16 +137,22 @@ def fit_forest(table: DataFrame, settings: ForestSettings) -> ForestResult:
         held = train.where(F.col("fold") == fold)
         return number, fold, *metrics(model.transform(held), settings.label)
 
+    # The grid may hold what an untuned forest has: then that is fitted once.
+    numbers = list(range(len(settings.grid)))
+    untuned = next((n for n in numbers if settings.grid[n] == {"maxDepth": MAX_DEPTH, "minInfoGain": 0.0}), UNTUNED)
+    if untuned == UNTUNED:
+        numbers.append(UNTUNED)
     tasks = [
         inheritable_thread_target(spark)(partial(held_out, fold, number))
-        for fold in folds for number in range(len(settings.grid))
+        for fold in folds for number in numbers
     ]
     with ThreadPool(settings.parallelism) as pool:
         scores = pool.map(lambda task: task(), tasks)
     per_fold = literal_table(spark, scores, "config int, fold int, rmse double, rsq double")
-    tuning = summarise_folds(
+    scored_folds = summarise_folds(
         per_fold.unpivot(["config", "fold"], ["rmse", "rsq"], "metric", "estimate"), ["config"]
     )
+    tuning = scored_folds.where(F.col("config") != UNTUNED)
     best = (
         tuning.where(F.col("metric") == "rsq")
         .orderBy(F.desc_nulls_last("mean"), "config").first()
@@ -164,7 +173,7 @@ def fit_forest(table: DataFrame, settings: ForestSettings) -> ForestResult:
     )
     return ForestResult(
         model, tuning.join(F.broadcast(grid), "config"), test, importance,
-        time.perf_counter() - started,
+        time.perf_counter() - started, scored_folds.where(F.col("config") == untuned).drop("config"),
     )
 
 
@@ -194,5 +203,16 @@ def scenario_metrics(results: Mapping[str, ForestResult]) -> DataFrame:
     )
 
 
+def scenario_untuned(results: Mapping[str, ForestResult]) -> DataFrame:
+    """Fold metrics of the untuned forest of all scenarios."""
+    return stack_named(
+        {
+            name: r.untuned.withColumn("set", F.lit("untuned")).withColumn("elapsed_seconds", F.lit(r.elapsed_seconds))
+            for name, r in results.items()
+        },
+        "scenario",
+    )
+
+
 def scenario_importance(results: Mapping[str, ForestResult]) -> DataFrame:
     return stack_named({name: r.importance for name, r in results.items()}, "scenario")
