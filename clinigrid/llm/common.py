@@ -23,8 +23,24 @@ SLICE_BYTES = 4 << 20
 MAX_BROADCAST_BYTES = 64 << 20
 
 
-# Rows of a batch between Spark and its Python workers while an operator stores a stage.
-BATCH_ROWS = 1000
+# Rows and bytes of a batch between Spark and its Python workers.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session passes at most BATCH_ROWS rows and BATCH_BYTES to Python at once.
+
+    Set for good, as a plan that is built here may run after the operator has returned.
+    Spark's own defaults may fill 64 MB per task on either side, beside the working memory;
+    a smaller value that the session has already stays.
+    """
+    for key, bound in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
+    ):
+        held = spark.conf.get(key, None) or ""
+        if not (held.isdigit() and 0 < int(held) <= bound):
+            spark.conf.set(key, str(bound))
 
 
 @contextmanager
@@ -96,6 +112,7 @@ def append(df: DataFrame, start: Callable[[], Callable], ddl: str) -> DataFrame:
             new = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(step(batch), types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
 
 
@@ -122,6 +139,7 @@ def emit(df: DataFrame, start: Callable[[], Callable], ddl: str, slice_bytes: in
         if columns is not None:
             yield batch_of(columns)
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -35,7 +35,8 @@ CHUNK_CHARS = 32_768
 CUT_SEARCH = 2_048
 # Fixed value: what an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
-CACHED_WORDS = 300_000
+# Words that a task remembers, none longer than CACHED_CHARS: some 30 MB.
+CACHED_WORDS, CACHED_CHARS = 150_000, 64
 LOWEST = float("-inf")
 # No piece starts like this; an empty tuple, so that it counts as false.
 END = ()
@@ -58,7 +59,9 @@ class Words(dict):
         self.pieces, self.front = pieces, front
 
     def __missing__(self, word: str) -> bytes:
-        found = self[word] = array("i", self.pieces.path(self.front + word)[1]).tobytes()
+        found = array("i", self.pieces.path(self.front + word)[1]).tobytes()
+        if len(word) <= CACHED_CHARS:
+            self[word] = found
         return found
 
 
