@@ -10,7 +10,7 @@ from clinigrid.llm.pieces import encoding_stage
 from clinigrid.llm.quality import quality_stage
 from clinigrid.llm.secret_scan import secret_scan_stage
 from clinigrid.llm.simhash import near_duplicate_stage
-from clinigrid.session import materialise
+from clinigrid.session import drop_stage, write_stage
 
 # (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 STAGES = [
@@ -26,8 +26,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over all documents, each written as Parquet and read again by the next."""
-    docs = documents(spark, sf_dir)
+    """The stages over all documents, each written as Parquet and read again by the next.
+
+    A stage's table is dropped once the next one is written.
+    """
+    docs, held = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs, path = write_stage(stage(spark, docs, sf_dir), name)
+        drop_stage(spark, held)
+        held = path
     return docs
