@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from clinigrid.llm import (
-    decontamination, language, personal_data, pieces, quality, repeats, secret_scan, simhash, token_counts, toxicity,
+    classifier, decontamination, language, personal_data, pieces, quality, repeats, secret_scan, simhash, token_counts, toxicity,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_language_id": language.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op13_quality_classifier": classifier.op13_quality_classifier,
 }
 ORACLES = {
     "op2_decontamination": decontamination.OP2_SQL,
