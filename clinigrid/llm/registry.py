@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from clinigrid.llm import (
-    classifier, decontamination, language, personal_data, pieces, quality, repeats, secret_scan, simhash, token_counts, toxicity,
+    classifier, conversation_trie, decontamination, language, personal_data, pieces, quality, repeats, secret_scan, simhash, token_counts, toxicity,
 )
 
 QUERIES = {
@@ -17,10 +17,12 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_language_id": language.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op12_conversation_trie": conversation_trie.op12_conversation_trie,
     "op13_quality_classifier": classifier.op13_quality_classifier,
 }
 ORACLES = {
     "op2_decontamination": decontamination.OP2_SQL,
     "op4_remove_repeats": repeats.OP4_SQL,
     "op8_quality_rules": quality.OP8_SQL,
+    "op12_conversation_trie": conversation_trie.OP12_SQL,
 }
