@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from clinigrid.llm import (
-    classifier, conversation_trie, decontamination, language, personal_data, pieces, quality, repeats, secret_scan, simhash, token_counts, toxicity,
+    classifier, conversation_trie, decontamination, language, personal_data, pieces, quality, repeats, secret_scan, simhash, spelling,
+    token_counts, toxicity,
 )
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_language_id": language.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_conversation_trie": conversation_trie.op12_conversation_trie,
     "op13_quality_classifier": classifier.op13_quality_classifier,
 }
@@ -24,5 +26,6 @@ ORACLES = {
     "op2_decontamination": decontamination.OP2_SQL,
     "op4_remove_repeats": repeats.OP4_SQL,
     "op8_quality_rules": quality.OP8_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
     "op12_conversation_trie": conversation_trie.OP12_SQL,
 }
