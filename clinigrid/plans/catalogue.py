@@ -12,13 +12,14 @@ from clinigrid import dims
 from clinigrid.functions import (
     columns_matching, drop_all_missing, front, geo_key, not_in, sum_or_zero, to_number,
 )
-from clinigrid.operators import forest, graph, stats
+from clinigrid.operators import forest, forest_growth, graph, stats
 from clinigrid.operators.grouping import cube_slice, quantiles, top_with_ties, with_group_stats
 from clinigrid.operators.joins import natural_join
 from clinigrid.operators.reshape import stack_named
 from clinigrid.plans import bindings as b
 from clinigrid.plans import communities, epidemic, features, neighbourhood, resources
 from clinigrid.session import materialise, new_path
+from clinigrid.sources import results
 from clinigrid.sources.files import (
     parse_json_records, read_delimited, read_delimited_folder, read_table, write_delimited, write_sliced,
 )
@@ -364,28 +365,40 @@ def feature_table_v2(spark, sf):
     return rounded(_features_v2(spark, sf))
 
 
-# Fitted forests that one of the two forest queries has had and the other has not.
-_FITTED: dict = {}
-
-
-def _forests(spark, sf, query):
-    """All scenarios at the operator's defaults, fitted once for both queries."""
-    key = (spark.sparkContext.applicationId, sf)
-    had_by, results = _FITTED.pop(key, (query, None))
-    if had_by == query:
-        table = materialise(_features_v1(spark, sf), "features")
-        results = forest.fit_scenarios(table, dims.SCENARIOS, forest.ForestSettings())
-        _FITTED[key] = query, results
-    return results
+def _scenario_run(spark, sf, features_of, name):
+    """All forests of the scenarios at the operator's defaults: read where they have been grown from these rows."""
+    table, settings = materialise(features_of(spark, sf), "features"), forest.ForestSettings()
+    path = results.run_path(table, settings, name)
+    if not results.is_kept(spark, path):
+        results.keep_run(forest_growth.grow_scenarios(table, dims.SCENARIOS, settings), settings, path)
+    return results.read_run(spark, path)
 
 
 def scenario_forest_metrics(spark, sf):
-    results = _forests(spark, sf, "metrics")
-    return forest.scenario_metrics(results).unionByName(forest.scenario_untuned(results), allowMissingColumns=True)
+    return _scenario_run(spark, sf, _features_v1, "v1").metrics
 
 
 def scenario_forest_importance(spark, sf):
-    return forest.scenario_importance(_forests(spark, sf, "importance"))
+    return _scenario_run(spark, sf, _features_v1, "v1").importance
+
+
+def scenario_forest_metrics_v2(spark, sf):
+    return _scenario_run(spark, sf, _features_v2, "v2").metrics
+
+
+def scenario_forest_importance_v2(spark, sf):
+    return _scenario_run(spark, sf, _features_v2, "v2").importance
+
+
+def scenario_models(spark, sf):
+    """The forests of a kept run by scenario, with the settings that its manifest tells."""
+    run = _scenario_run(spark, sf, _features_v1, "v1")
+    counted = run.models.groupBy("scenario").agg(F.count(F.lit(1)).alias("models"))
+    trees = run.nodes.select("model", "tree").distinct().join(run.models, "model").groupBy("scenario").agg(
+        F.count(F.lit(1)).alias("trees_grown")
+    )
+    told = run.manifest.select("trees", "folds", "settings").first()
+    return counted.join(trees, "scenario").withColumns({c: F.lit(told[c]) for c in told.asDict()})
 
 
 def hash_split_folds(spark, sf):
@@ -554,6 +567,7 @@ QUERIES: dict[str, Query] = {
         quantiles_missing_key_ranked, weeks_missing_date,
         tsv_round_trip, not_in_keep_null, sorted_distinct, area_keys, capitalised_labels,
         scenario_waves, hash_split_folds, feature_table_v1, feature_table_v2,
-        scenario_forest_metrics, scenario_forest_importance,
+        scenario_forest_metrics, scenario_forest_importance, scenario_forest_metrics_v2, scenario_forest_importance_v2,
+        scenario_models,
     )
 } | {"communities": community_search}

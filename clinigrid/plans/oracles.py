@@ -469,3 +469,11 @@ SELECT CVEGEO, ola, defunciones, casos_totales, {_rounded(
 FROM fatality LEFT JOIN shares USING (CVEGEO) LEFT JOIN contribution USING (CVEGEO)
 LEFT JOIN capita_tests USING (CVEGEO, ola)""",
 }
+
+ORACLES["scenario_models"] = f"""WITH f AS ({ORACLES["feature_table_v1"]}),
+scenario(scenario, ola) AS (VALUES {", ".join(f"('{s}', '{o}')" for s, olas in dims.SCENARIOS.items() for o in olas)}),
+train AS (SELECT scenario, ('0x' || left(md5(CVEGEO || '|' || ola || '|725fold'), 8))::BIGINT % 10 AS fold
+  FROM (SELECT * FROM f WHERE COLUMNS(*) IS NOT NULL) JOIN scenario USING (ola)
+  WHERE ('0x' || left(md5(CVEGEO || '|' || ola || '|725split'), 8))::BIGINT % 100 < 75)
+SELECT scenario, count(DISTINCT fold) + 1 AS models, (count(DISTINCT fold) + 1) * 2000 AS trees_grown,
+  2000 AS trees, 10 AS folds, 25 AS settings FROM train GROUP BY 1"""

@@ -110,6 +110,11 @@ def drop_stage(spark: SparkSession, path: str | None) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def literal_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
     """A small table held in the plan itself, so that its size is known to the optimizer."""
     schema = StructType.fromDDL(ddl)

@@ -1,12 +1,10 @@
-"""The registered forests are the whole job, fitted once for both queries."""
+"""One fit after another, by Spark's own forests."""
 
 import random
 
 import pytest
 
-import bench
 from clinigrid.operators import forest
-from clinigrid.plans import catalogue
 
 
 @pytest.fixture(scope="module")
@@ -18,33 +16,9 @@ def table(spark):
         data, "CVEGEO string, ola string, casos_totales int, defunciones int, cfr double, signal double")
 
 
-def test_registered_settings_and_one_fit(spark, table, monkeypatch):
-    asked, fit = [], forest.fit_scenarios
-
-    def small(rows, scenarios, settings):
-        asked.append(settings)
-        return fit(rows, {"A": ("03_ola_2",)}, forest.ForestSettings(trees=3, folds=2, grid=[{"maxDepth": 2, "minInfoGain": 0.0}]))
-
-    monkeypatch.setattr(catalogue, "_features_v1", lambda *_: table)
-    monkeypatch.setattr(forest, "fit_scenarios", small)
-    metrics = catalogue.scenario_forest_metrics(spark, "somewhere").collect()
-    assert catalogue.scenario_forest_importance(spark, "somewhere").count() == 1
-    assert asked == [forest.ForestSettings()]
-    assert (asked[0].trees, asked[0].folds, len(asked[0].grid)) == (2000, 10, 25)
-    assert {r["set"] for r in metrics} == {"folds", "test", "untuned"}
-    assert {(r["metric"], r["n"]) for r in metrics if r["set"] == "untuned"} == {("rmse", 2), ("rsq", 2)}
-    catalogue.scenario_forest_importance(spark, "somewhere")
-    catalogue.scenario_forest_importance(spark, "somewhere")
-    assert len(asked) == 3
-
-
 def test_a_grid_with_the_untuned_setting_is_fitted_once(table):
     grid = [{"maxDepth": 2, "minInfoGain": 0.0}, {"maxDepth": 30, "minInfoGain": 0.0}]
     found = forest.fit_forest(table, forest.ForestSettings(trees=3, folds=2, grid=grid))
     deep = {r["metric"]: r["mean"] for r in found.tuning.where("config = 1").collect()}
     assert {r["metric"]: r["mean"] for r in found.untuned.collect()} == deep
     assert found.tuning.count() == 4
-
-
-def test_bench_leaves_the_forests_out():
-    assert bench.LEFT_OUT == {"scenario_forest_metrics", "scenario_forest_importance"}
