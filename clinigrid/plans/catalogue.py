@@ -12,7 +12,7 @@ from clinigrid import dims
 from clinigrid.functions import (
     columns_matching, drop_all_missing, front, geo_key, not_in, sum_or_zero, to_number,
 )
-from clinigrid.operators import forest, forest_growth, graph, stats
+from clinigrid.operators import forest, forest_growth, graph, linear_cv, stats
 from clinigrid.operators.grouping import cube_slice, quantiles, top_with_ties, with_group_stats
 from clinigrid.operators.joins import natural_join
 from clinigrid.operators.reshape import stack_named
@@ -330,6 +330,16 @@ def glm_estimates(spark, sf):
     return glm_coefficients(spark, sf).drop("p_value")
 
 
+def cv_metrics_linear(spark, sf):
+    """Fatality by beds and tests, all waves together: ridge models over folds and on the test rows."""
+    rates, tests = _rates_and_tests(spark, sf, population(spark, sf))
+    beds = resources.beds_per_100k(b.facilities(spark, sf), population(spark, sf))
+    rows = natural_join(natural_join(rates, tests, "inner"), beds, "inner").withColumn("olas", F.lit("todas"))
+    return rounded(linear_cv.cv_metrics_linear(
+        rows, "cfr", ["beds_per_100khab", "pruebas_dia_capita"], ["CVEGEO", "ola"], "olas"
+    ), 6)
+
+
 def _rates_and_tests(spark, sf, people):
     """Fatality and tests per inhabitant, from one pass over the cases."""
     counts = materialise(epidemic.case_counts(
@@ -559,7 +569,7 @@ QUERIES: dict[str, Query] = {
         contiguity_queen, contiguity_rook, simple_graph, neighbourhood_totals, own_vs_neighbour,
         cosine_edges, area_similarity, communities_two_rounds, communities_audit, partition_quality, top_institution_per_community,
         contribution_label, bed_zscore, beds_per_100k, loglog_regression_by_wave,
-        glm_coefficients, glm_estimates, units_by_state_institution, institution_sizes, state_bed_category,
+        glm_coefficients, glm_estimates, cv_metrics_linear, units_by_state_institution, institution_sizes, state_bed_category,
         state_totals_population, resource_trend, resource_type_crosstab, population_quantiles,
         binscatter_beds, binscatter_by_institution, cube_slice_union, json_records_scan,
         sorted_limit, column_subset_scan, sliced_write, catalog_table, contiguity_tolerance,

@@ -477,3 +477,58 @@ train AS (SELECT scenario, ('0x' || left(md5(CVEGEO || '|' || ola || '|725fold')
   WHERE ('0x' || left(md5(CVEGEO || '|' || ola || '|725split'), 8))::BIGINT % 100 < 75)
 SELECT scenario, count(DISTINCT fold) + 1 AS models, (count(DISTINCT fold) + 1) * 2000 AS trees_grown,
   2000 AS trees, 10 AS folds, 25 AS settings FROM train GROUP BY 1"""
+
+# The two-sided tail of t for whole degrees of freedom, as a finite sum.
+ORACLES["glm_coefficients"] = ORACLES["glm_estimates"].rsplit("SELECT term, round", 1)[0].rstrip() + """,
+tail AS (
+  SELECT term, estimate, std_error, estimate / std_error AS t, df, atan(abs(estimate / std_error) / sqrt(df)) AS angle
+  FROM terms, (SELECT any_value(df) AS df FROM fit)),
+series AS (
+  SELECT *, ln(cos(angle) ** 2) AS c,
+    CASE WHEN df % 2 = 0 THEN sin(angle) * list_sum(list_transform(range(df // 2),
+        lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - ln(pi()) / 2 + k * ln(cos(angle) ** 2))))
+      ELSE 2 / pi() * (angle + sin(angle) * cos(angle) * coalesce(list_sum(list_transform(range((df - 1) // 2),
+        lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5) + k * ln(cos(angle) ** 2)))), 0)) END AS inside
+  FROM tail)
+SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error, round(t, 6) AS statistic,
+  round(1 - inside, 6) AS p_value FROM series ORDER BY 1 - inside"""
+
+ORACLES["cv_metrics_linear"] = f"""WITH {BEDS}, {TESTS}, {CAPITA_TESTS}, point AS (
+  SELECT beds_per_100khab AS x1, pruebas_dia_capita AS x2, cfr AS y,
+    CASE WHEN ('0x' || left(md5(CVEGEO || '|' || ola || '|725split'), 8))::BIGINT % 100 < 75
+      THEN ('0x' || left(md5(CVEGEO || '|' || ola || '|725fold'), 8))::BIGINT % 10 ELSE -1 END AS fold
+  FROM fatality JOIN capita_tests USING (CVEGEO, ola) JOIN beds USING (CVEGEO)
+  WHERE cfr IS NOT NULL AND beds_per_100khab IS NOT NULL AND pruebas_dia_capita IS NOT NULL),
+own AS (
+  SELECT fold, count(*)::DOUBLE AS n, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS sy, sum(x1 * x1) AS s11, sum(x1 * x2) AS s12,
+    sum(x2 * x2) AS s22, sum(x1 * y) AS s1y, sum(x2 * y) AS s2y, sum(y * y) AS syy FROM point GROUP BY fold),
+training AS (
+  SELECT held.fold, {", ".join(f"sum(own.{c}) AS {c}" for c in "n s1 s2 sy s11 s12 s22 s1y s2y syy".split())}
+  FROM own held JOIN own ON own.fold <> held.fold AND own.fold <> -1 GROUP BY held.fold),
+scaled AS (
+  SELECT *, sqrt(s11 / n - (s1 / n) ** 2) AS d1, sqrt(s22 / n - (s2 / n) ** 2) AS d2 FROM training),
+related AS (
+  SELECT *, (s12 / n - s1 * s2 / n ** 2) / d1 / d2 AS r, (s1y / n - s1 * sy / n ** 2) / d1 AS c1,
+    (s2y / n - s2 * sy / n ** 2) / d2 AS c2 FROM scaled),
+slopes AS (
+  SELECT fold, penalty, (((1 + penalty) * c1 - r * c2) / ((1 + penalty) ** 2 - r * r) / d1) AS b1,
+    (((1 + penalty) * c2 - r * c1) / ((1 + penalty) ** 2 - r * r) / d2) AS b2, s1 / n AS m1, s2 / n AS m2, sy / n AS my
+  FROM related, (SELECT unnest([0.0, 0.01, 0.1, 1.0, 10.0])::DOUBLE AS penalty)),
+fitted AS (SELECT fold, penalty, my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM slopes),
+products AS (
+  SELECT fold, penalty, n, sy, syy, n * b0 + b1 * s1 + b2 * s2 AS sf, b0 * sy + b1 * s1y + b2 * s2y AS sfy,
+    n * b0 * b0 + b1 * b1 * s11 + b2 * b2 * s22 + 2 * (b0 * b1 * s1 + b0 * b2 * s2 + b1 * b2 * s12) AS sff
+  FROM fitted JOIN own USING (fold)),
+score AS (
+  SELECT fold, penalty, sqrt(greatest(0, syy - 2 * sfy + sff) / n) AS rmse,
+    CASE WHEN n > 1 AND (sff / n - (sf / n) ** 2) * (syy / n - (sy / n) ** 2) > 1e-12 * sff / n * syy / n THEN
+      (sfy / n - sf * sy / n ** 2) ** 2 / ((sff / n - (sf / n) ** 2) * (syy / n - (sy / n) ** 2)) END AS rsq
+  FROM products),
+long AS (
+  SELECT fold, penalty, 'rmse' AS metric, rmse AS estimate FROM score UNION ALL SELECT fold, penalty, 'rsq', rsq FROM score),
+tuning AS (
+  SELECT penalty, metric, avg(estimate) AS mean, count(estimate) AS n,
+    stddev_samp(estimate) / sqrt(count(estimate)) AS std_err FROM long WHERE fold <> -1 GROUP BY ALL),
+best AS (SELECT penalty FROM tuning WHERE metric = 'rsq' ORDER BY round(mean, 9) DESC, penalty LIMIT 1)
+SELECT 'todas' AS olas, penalty, metric, round(mean, 6) AS mean, n, round(std_err, 6) AS std_err, 'folds' AS "set" FROM tuning
+UNION ALL SELECT 'todas', penalty, metric, round(estimate, 6), NULL, NULL, 'test' FROM long JOIN best USING (penalty) WHERE fold = -1"""
