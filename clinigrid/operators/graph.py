@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import count
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from clinigrid.functions import numeric_columns
@@ -19,6 +20,10 @@ from clinigrid.session import drop_stage, materialise, write_stage
 WEIGHT_UNIT = 1e-9
 # Holds weights to 1e19, and sums of 1e10 of them.
 WEIGHT_TYPE = "decimal(28,0)"
+# Fixed value: runs of which the best is kept.
+TRIALS = 100
+# Every so many rounds the trials that are over are put aside; their numbers are bounded by TRIALS.
+ASIDE = 5
 # Every so many rounds a smaller share of the vertices moves at once.
 PATIENCE = 25
 
@@ -88,16 +93,15 @@ def segments(vertices: DataFrame) -> DataFrame:
 
     Columns: geo_id, px, py, qx, qy, with the smaller end point first.
     """
-    ring = ["geo_id", "part", "ring"]
+    # A window holds one ring, which is a polygon's at most; its last point goes back to the first.
+    ring = Window.partitionBy("geo_id", "part", "ring").orderBy("seq")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     point = F.struct("x", "y")
-    here = vertices.select(*ring, "seq", point.alias("a"))
-    after = vertices.select(*ring, (F.col("seq") - 1).alias("seq"), point.alias("b"))
-    inner = here.join(after, [*ring, "seq"]).select("geo_id", "a", "b")
-    closing = vertices.groupBy(*ring).agg(
-        F.max_by(point, "seq").alias("a"), F.min_by(point, "seq").alias("b")
-    ).select("geo_id", "a", "b")
+    sides = vertices.select(
+        "geo_id", point.alias("a"), F.coalesce(F.lead(point).over(ring), F.first(point).over(whole)).alias("b")
+    )
     return (
-        inner.unionByName(closing).where(F.col("a") != F.col("b"))
+        sides.where(F.col("a") != F.col("b"))
         .select("geo_id", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
         .selectExpr("geo_id", "p.x AS px", "p.y AS py", "q.x AS qx", "q.y AS qy")
         .distinct()
@@ -202,7 +206,12 @@ def label_round(
     votes = joined.selectExpr("trial", "v AS id", "label", "w", "0 AS own")
     # Each vertex adds its own label without weight, which brings it to the comparison.
     current = labels.selectExpr("trial", "id", "label", f"CAST(0 AS {WEIGHT_TYPE}) AS w", "1 AS own")
-    scores = votes.unionByName(current).groupBy("trial", "id", "label").agg(
+    return _wanted(votes.unionByName(current), keep_current)
+
+
+def _wanted(votes: DataFrame, keep_current: bool) -> DataFrame:
+    """(trial, id, label, wanted) from votes (trial, id, label, w, own)."""
+    scores = votes.groupBy("trial", "id", "label").agg(
         F.expr("sum(w) AS score"), F.expr("max(own) AS own"), F.expr("count_if(own = 0) AS votes")
     )
     preferred = "-own" if keep_current else "0"
@@ -306,6 +315,106 @@ def propagate_labels(
     return labels
 
 
+def heaviest_start(ends: DataFrame, trials: int, seed: int = 725) -> DataFrame:
+    """(trial, id, label): vertices share a label along the heaviest edge of each; ``ends`` is stored.
+
+    In trial 0 edges weigh what they weigh, in others each is drawn between half and one
+    and a half of that, so that trials start apart. Edges have one strict order, the same
+    from both ends, so following heaviest edges ends in a pair that chose each other; the
+    smaller of the two lends its label. Paths are halved in every round.
+    """
+    spark = ends.sparkSession
+    edge = [F.least("v", "u").alias("lo"), F.greatest("v", "u").alias("hi")]
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("trial"), F.least("v", "u"), F.greatest("v", "u")), F.lit(1 << 20)) / float(1 << 20)
+    score = F.col("w").cast("double") * F.when(F.col("trial") == 0, 1.0).otherwise(drawn + 0.5)
+    chosen = ends.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).groupBy("trial", "v").agg(
+        F.max(F.struct(score.alias("score"), drawn.alias("drawn"), *edge)).alias("e")
+    ).select("trial", F.col("v").alias("id"), F.when(F.col("e.lo") == F.col("v"), F.col("e.hi")).otherwise(F.col("e.lo")).alias("next"))
+    chosen, held = write_stage(chosen, "start")
+    back = chosen.select("trial", F.col("id").alias("next"), F.col("next").alias("theirs"))
+    # Of two that chose each other the smaller points to itself.
+    first = (F.col("theirs") == F.col("id")) & (F.col("id") < F.col("next"))
+    current, path = write_stage(chosen.join(back, ["trial", "next"]).select(
+        "trial", "id", F.when(first, F.col("id")).otherwise(F.col("next")).alias("next")
+    ), "start")
+    drop_stage(spark, held)
+    while True:
+        ahead = current.select("trial", F.col("id").alias("next"), F.col("next").alias("further"))
+        seen = Observation()
+        joined = current.join(ahead, ["trial", "next"]).select("trial", "id", F.col("further").alias("next"), F.col("next").alias("was"))
+        moved, fresh = write_stage(
+            joined.observe(seen, F.count_if(F.col("next") != F.col("was")).alias("moved")).drop("was"), "start"
+        )
+        drop_stage(spark, path)
+        current, path = moved, fresh
+        if seen.get["moved"] == 0:
+            return current.withColumnRenamed("next", "label")
+
+
+def settled_labels(
+    graph: DataFrame, trials: int = 1, max_iter: int | None = None, seed: int = 725
+) -> DataFrame:
+    """Label propagation from the heaviest edges on until no vertex wants another label: (trial, id, label).
+
+    A round looks at the frontier only: vertices that wanted another label or have a
+    neighbour that did. All others have the votes they had. Of neighbours that want
+    another label the first by a hash of the round moves; as no two neighbours move at
+    once, every move adds weight inside the groups, of which there is a finite amount. A
+    round is one job. Trials without a frontier are over and are put aside now and then, so
+    later rounds read the labels of the rest alone.
+    """
+    spark = graph.sparkSession
+    ends = materialise(_weighted_ends(graph), "ends")
+    # A vertex tells its neighbours that it wants to move, and itself.
+    ids = ends.select("v").distinct()
+    told = materialise(ends.select("v", "u").where("v <> u").unionByName(ids.withColumn("u", F.col("v"))), "told")
+    # Vertices of no known weight keep their own label.
+    alone = _initial_labels(graph, trials).join(ids.withColumnRenamed("v", "id"), "id", "left_anti")
+    state, held = write_stage(
+        heaviest_start(ends, trials, seed).unionByName(alone).withColumn("active", F.lit(True)), "labels"
+    )
+    over = []
+    for number in count():
+        frontier = state.where("active").select("trial", "id", "label")
+        labels = state.select("trial", F.col("id").alias("u"), "label")
+        votes = frontier.select("trial", "id").join(ends.select(F.col("v").alias("id"), "u", "w"), "id").join(
+            labels, ["trial", "u"]
+        ).selectExpr("trial", "id", "label", "w", "0 AS own")
+        current = frontier.selectExpr("trial", "id", "label", f"CAST(0 AS {WEIGHT_TYPE}) AS w", "1 AS own")
+        turn = F.xxhash64("id", "trial", F.lit(number), F.lit(seed))
+        restless = _wanted(votes.unionByName(current), keep_current=True).where("wanted <> label").select(
+            "trial", F.col("id").alias("v"), "wanted", F.struct(turn.alias("turn"), "id").alias("turn")
+        )
+        own = F.col("u") == F.col("v")
+        heard = restless.join(told, "v").select(
+            "trial", F.col("u").alias("id"), F.when(own, F.col("wanted")).alias("wanted"),
+            F.when(own, F.col("turn")).alias("mine"), F.when(~own, F.col("turn")).alias("theirs"),
+        )
+        merged = state.select("trial", "id", "label").unionByName(heard, allowMissingColumns=True).groupBy("trial", "id").agg(
+            F.max("label").alias("label"), F.max("wanted").alias("wanted"),
+            F.min("mine").alias("mine"), F.min("theirs").alias("theirs"),
+        )
+        moves = F.col("wanted").isNotNull() & (F.col("theirs").isNull() | (F.col("mine") < F.col("theirs")))
+        seen = Observation()
+        fresh, path = write_stage(merged.select(
+            "trial", "id", F.when(moves, F.col("wanted")).otherwise(F.col("label")).alias("label"),
+            (F.col("theirs").isNotNull() | (F.col("wanted").isNotNull() & ~moves)).alias("active"),
+            F.col("wanted").isNotNull().alias("restless"),
+        ).observe(seen, F.count_if("restless").alias("n")).drop("restless"), "labels")
+        drop_stage(spark, held)
+        state, held = fresh, path
+        left = seen.get["n"]
+        if not left:
+            break
+        if max_iter is not None and number + 1 >= max_iter:
+            raise NotSettled(f"{left} labels not settled after {max_iter} rounds")
+        if number % ASIDE == ASIDE - 1:
+            going = [r["trial"] for r in state.where("active").select("trial").distinct().collect()]
+            over.append(materialise(state.where(~F.col("trial").isin(going)).select("trial", "id", "label"), "labels"))
+            state = state.where(F.col("trial").isin(going))
+    return reduce(DataFrame.unionByName, over, state.select("trial", "id", "label"))
+
+
 def unsettled(graph: DataFrame, membership: DataFrame) -> DataFrame:
     """Vertices (id, label, wanted) of a membership (id, label) that want another label."""
     labels = membership.select(F.lit(0).alias("trial"), "id", "label")
@@ -379,10 +488,10 @@ def partition_quality(graph: DataFrame, membership: DataFrame, by: Sequence[str]
 
 
 def communities(
-    graph: DataFrame, trials: int = 4, max_iter: int | None = None, seed: int = 725
+    graph: DataFrame, trials: int = TRIALS, max_iter: int | None = None, seed: int = 725
 ) -> DataFrame:
     """Best of several label-propagation runs by code length: (id, community, n)."""
-    labels = propagate_labels(graph, trials, max_iter, seed)
+    labels = settled_labels(graph, trials, max_iter, seed)
     quality = partition_quality(graph, labels, by=["trial"])
     best = quality.orderBy("codelength", "trial").first()["trial"]
     return renumber_communities(labels.where(F.col("trial") == best).drop("trial"))

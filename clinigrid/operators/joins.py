@@ -195,3 +195,32 @@ def _complete_by_join(df, keys, domains, fill, types) -> DataFrame:
     return joined.select(*keys, *domains, *[
         F.coalesce(F.col("_found")[n], F.lit(v).cast(types[n])).alias(n) for n, v in fill.items()
     ])
+
+
+def interval_join(
+    points: DataFrame, intervals: DataFrame, at: str, first: str, last: str, days: int = 32, how: str = "inner",
+) -> DataFrame:
+    """Every row of ``points`` with every interval of days that holds its day ``at``; ends belong to it.
+
+    A missing ``first`` or ``last`` leaves that side open. Intervals may overlap and be any
+    number: each is dealt to the buckets of ``days`` days that it meets, of those between
+    the first and last day of all points, and a point meets the intervals of its bucket
+    alone. ``how`` is inner or left; a point without a day is in no interval. ``points`` is
+    read twice, once for its first and last day.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"unknown join {how!r}")
+
+    def bucket(day):
+        return F.floor(F.unix_date(day.cast("date")) / days)
+
+    span = points.agg(F.min(F.col(at).cast("date")), F.max(F.col(at).cast("date"))).first()
+    low, high = F.lit(span[0]).cast("date"), F.lit(span[1]).cast("date")
+    begin, end = F.greatest(F.coalesce(first, low), low), F.least(F.coalesce(last, high), high)
+    dealt = intervals.where(begin <= end).withColumn("_bucket", F.explode(F.sequence(bucket(begin), bucket(end))))
+    inside = (
+        (F.col("_bucket") == F.col("_at_bucket"))
+        & (F.col(first).isNull() | (F.col(at).cast("date") >= F.col(first)))
+        & (F.col(last).isNull() | (F.col(at).cast("date") <= F.col(last)))
+    )
+    return points.withColumn("_at_bucket", bucket(F.col(at))).join(dealt, inside, how).drop("_bucket", "_at_bucket")

@@ -14,14 +14,15 @@ from clinigrid.functions import (
 )
 from clinigrid.operators import forest, forest_growth, graph, linear_cv, stats
 from clinigrid.operators.grouping import cube_slice, quantiles, top_with_ties, with_group_stats
-from clinigrid.operators.joins import natural_join
+from clinigrid.operators.joins import interval_join, natural_join
 from clinigrid.operators.reshape import stack_named
 from clinigrid.plans import bindings as b
 from clinigrid.plans import communities, epidemic, features, neighbourhood, resources
-from clinigrid.session import materialise, new_path
-from clinigrid.sources import results
+from clinigrid.session import literal_table, materialise, new_path
+from clinigrid.sources import json_splits, landing, results
 from clinigrid.sources.files import (
-    parse_json_records, read_delimited, read_delimited_folder, read_table, write_delimited, write_sliced,
+    parse_json_records, read_delimited, read_delimited_folder, read_polygon_features, read_table, write_delimited,
+    write_sliced,
 )
 
 WAVES = dims.default_waves()
@@ -256,13 +257,13 @@ def communities_two_rounds(spark, sf):
 
 
 def community_search(spark, sf):
-    return graph.communities(_vector_graph(spark, sf), trials=3)
+    return graph.communities(_vector_graph(spark, sf))
 
 
 def communities_audit(spark, sf):
     """What must hold of any finished search: settled, numbered without gaps, sizes right."""
     edges = _vector_graph(spark, sf)
-    found = materialise(graph.communities(edges, trials=1), "found")
+    found = materialise(graph.communities(edges), "found")
     groups = found.groupBy("community").agg(F.count(F.lit(1)).alias("members"), F.max("n").alias("n"))
     restless = graph.unsettled(edges, found.select("id", F.col("community").alias("label")))
     totals = groups.agg(
@@ -454,6 +455,75 @@ def tsv_round_trip(spark, sf):
     return back.drop(*columns_matching(back, prefix="FILE"))
 
 
+def cube_slice_landed(spark, sf):
+    """The cube's batches from landed years: the items are read once, and a batch opens its own years only."""
+    facts = b.resources(spark, sf, range(1995, 2002)).select("state", "resources_categories", "year", "total")
+    path = new_path(spark, "landed")
+    landing.land_years(facts, path)
+
+    def batch(first, last):
+        years = list(range(first, last + 1))
+        rows = landing.read_years(spark, path, facts.schema, years)
+        return cube_slice(rows, ["state", "resources_categories", "year"], ["total"]).where(F.col("total") > 0)
+
+    return batch(1998, 2001).unionByName(batch(1995, 1997))
+
+
+def json_splits_scan(spark, sf):
+    """Event measures through JSON documents that are read in splits, with names that need cleaning."""
+    events = b.table(spark, sf, "events")
+    extra = F.from_json("props", "k int").getField("k").cast("double")
+    records = F.array(*[
+        F.struct(F.col("event_type").alias("Event Type"), F.lit(n).alias("Measure"), c.alias("Amount (total)"))
+        for n, c in (("value", F.col("value")), ("k", extra))
+    ])
+    # A document holds the records of a thousand events at most.
+    documents = events.groupBy(F.floor(F.col("event_id") / 1000).alias("part")).agg(
+        F.flatten(F.collect_list(records)).alias("data")
+    )
+    path = new_path(spark, "json")
+    source = F.array(F.struct(F.lit("events").alias("name")))
+    documents.select(F.to_json(F.struct("data", source.alias("source")))).write.text(path)
+    rows = json_splits.read_json_records_split(
+        spark, path, "`Event Type` string, Measure string, `Amount (total)` double"
+    )
+    exact = F.sum(F.col("amount_total").cast("decimal(18,2)")).cast("double")
+    return rows.groupBy("event_type", "measure").agg(F.count(F.lit(1)).alias("n"), exact.alias("total"))
+
+
+def contiguity_features(spark, sf):
+    """Both rules of contiguity over polygons that were written as GeoJSON lines and read again."""
+    corners = b.customer_squares(spark, sf).groupBy("geo_id", "part", "ring").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.array(p["x"], p["y"])).alias("line")
+    )
+    path = new_path(spark, "geojson")
+    corners.select(F.to_json(F.struct(
+        F.lit("Feature").alias("type"), F.struct(F.col("geo_id").cast("string").alias("CVEGEO")).alias("properties"),
+        F.struct(F.lit("Polygon").alias("type"), F.array("line").alias("coordinates")).alias("geometry"),
+    ))).write.text(path)
+    vertices = materialise(read_polygon_features(spark, path, "CVEGEO"), "vertices")
+    return stack_named({rule: graph.contiguity(vertices, rule) for rule in ("queen", "rook")}, "rule")
+
+
+# Overlapping and open periods of days.
+PERIODS = [
+    ("antes", None, "1996-06-30"), ("primera", "1995-03-01", "1997-02-28"), ("larga", "1996-01-01", "2000-12-31"),
+    ("dia", "1998-07-04", "1998-07-04"), ("vacia", "1990-01-01", "1990-12-31"), ("al revés", "1999-01-01", "1998-01-01"),
+    ("desde", "2001-01-01", None), ("todo", None, None),
+]
+
+
+def orders_by_period(spark, sf):
+    orders = b.table(spark, sf, "orders").select("o_orderdate", "o_orderpriority", "o_totalprice")
+    known = literal_table(spark, PERIODS, "period string, first string, last string").select(
+        "period", F.to_date("first").alias("first"), F.to_date("last").alias("last")
+    )
+    exact = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
+    return interval_join(orders, known, "o_orderdate", "first", "last").groupBy("period", "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), exact.alias("total")
+    )
+
+
 def not_in_keep_null(spark, sf):
     flag = F.when(F.col("l_linenumber") != 7, F.col("l_returnflag"))
     rows = b.table(spark, sf, "lineitem").select(flag.alias("flag"), "l_quantity")
@@ -578,6 +648,6 @@ QUERIES: dict[str, Query] = {
         tsv_round_trip, not_in_keep_null, sorted_distinct, area_keys, capitalised_labels,
         scenario_waves, hash_split_folds, feature_table_v1, feature_table_v2,
         scenario_forest_metrics, scenario_forest_importance, scenario_forest_metrics_v2, scenario_forest_importance_v2,
-        scenario_models,
+        scenario_models, cube_slice_landed, json_splits_scan, contiguity_features, orders_by_period,
     )
 } | {"communities": community_search}

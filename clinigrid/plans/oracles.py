@@ -532,3 +532,18 @@ tuning AS (
 best AS (SELECT penalty FROM tuning WHERE metric = 'rsq' ORDER BY round(mean, 9) DESC, penalty LIMIT 1)
 SELECT 'todas' AS olas, penalty, metric, round(mean, 6) AS mean, n, round(std_err, 6) AS std_err, 'folds' AS "set" FROM tuning
 UNION ALL SELECT 'todas', penalty, metric, round(estimate, 6), NULL, NULL, 'test' FROM long JOIN best USING (penalty) WHERE fold = -1"""
+
+ORACLES["cube_slice_landed"] = ORACLES["cube_slice_union"]
+ORACLES["json_splits_scan"] = ORACLES["json_records_scan"]
+ORACLES["contiguity_features"] = " UNION ALL ".join(
+    f"SELECT '{rule}' AS rule, V1::VARCHAR AS V1, V2::VARCHAR AS V2 FROM ({ORACLES[f'contiguity_{rule}']})"
+    for rule in ("queen", "rook")
+)
+ORACLES["orders_by_period"] = """WITH period(period, first, last) AS (VALUES
+  ('antes', NULL, DATE '1996-06-30'), ('primera', DATE '1995-03-01', DATE '1997-02-28'),
+  ('larga', DATE '1996-01-01', DATE '2000-12-31'), ('dia', DATE '1998-07-04', DATE '1998-07-04'),
+  ('vacia', DATE '1990-01-01', DATE '1990-12-31'), ('al revés', DATE '1999-01-01', DATE '1998-01-01'),
+  ('desde', DATE '2001-01-01', NULL), ('todo', NULL, NULL))
+SELECT period, o_orderpriority, count(*) AS n, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS total
+FROM orders JOIN period ON coalesce(o_orderdate::DATE >= first, true) AND coalesce(o_orderdate::DATE <= last, true)
+GROUP BY 1, 2"""

@@ -228,3 +228,70 @@ def test_missing_weights_take_no_part(spark):
     labels = {r["id"]: r["label"] for r in graph.propagate_labels(df).collect()}
     assert labels["a"] == labels["b"] != labels["c"]
     assert graph._weighted_ends(df).where(F.col("v") == "c").count() == 0
+
+
+def random_graph(seed, vertices=60, share=0.08):
+    draw = random.Random(seed)
+    return [(a, b, draw.choice([0.5, 1.0, 1.0, 2.0, draw.random()])) for a, b in itertools.combinations(range(vertices), 2)
+            if draw.random() < share]
+
+
+def test_runs_start_along_heaviest_edges(spark):
+    edges = random_graph(1)
+    df = spark.createDataFrame(edges, "src int, dst int, weight double")
+    ends = graph._weighted_ends(df)
+    got = {}
+    for r in graph.heaviest_start(ends, 3).collect():
+        got.setdefault(r["trial"], {})[r["id"]] = r["label"]
+    assert set(got) == {0, 1, 2} and got[1] != got[2]
+    for labels in got.values():
+        # A label is a member's, and no vertex is alone that has a neighbour.
+        assert all(labels[label] == label for label in labels.values())
+        assert all(list(labels.values()).count(label) > 1 for label in set(labels.values()))
+    best = {}
+    for a, b, w in edges:
+        for x, y in ((a, b), (b, a)):
+            best.setdefault(x, []).append((w, y))
+    for v, near in best.items():
+        top = max(w for w, _ in near)
+        heaviest = [u for w, u in near if w == top]
+        assert any(got[0][u] == got[0][v] for u in heaviest)
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_frontier_runs_end_settled(spark, seed):
+    df = spark.createDataFrame(random_graph(seed), "src int, dst int, weight double")
+    labels = graph.settled_labels(df, trials=4, seed=seed)
+    assert labels.count() == labels.select("trial", "id").distinct().count() == 4 * len({v for e in random_graph(seed) for v in e[:2]})
+    for trial in range(4):
+        assert graph.unsettled(df, labels.where(F.col("trial") == trial).select("id", "label")).count() == 0
+
+
+def test_late_rounds_look_at_fewer_rows(spark, monkeypatch):
+    """Many cliques that settle at once, and one path that does not."""
+    edges = [(10 * c + a, 10 * c + b, 1.0) for c in range(40) for a, b in itertools.combinations(range(5), 2)]
+    edges += [(1000 + i, 1001 + i, 1.0 + (i % 7) / 10) for i in range(80)] + [(1000 + i, 1002 + i, 1.5) for i in range(80)]
+    df = spark.createDataFrame(edges, "src int, dst int, weight double")
+    asked, wanted = [], graph._wanted
+
+    def counted(votes, keep_current):
+        asked.append(votes.count())
+        return wanted(votes, keep_current)
+
+    monkeypatch.setattr(graph, "_wanted", counted)
+    labels = graph.settled_labels(df, trials=2)
+    assert len(asked) > 5 and asked[4] < asked[0] / 4 and asked[-1] < asked[0] / 10
+    monkeypatch.undo()
+    for trial in range(2):
+        assert graph.unsettled(df, labels.where(F.col("trial") == trial).select("id", "label")).count() == 0
+
+
+def test_vertices_without_weights_are_communities_of_their_own(spark, rows):
+    df = spark.createDataFrame([("a", "b", 1.0), ("b", "c", None)], "src string, dst string, weight double")
+    assert rows(graph.communities(df, trials=2)) == [("a", 1, 2), ("b", 1, 2), ("c", 2, 1)]
+
+
+def test_a_limit_before_the_frontier_is_empty_is_an_error(spark):
+    df = spark.createDataFrame(random_graph(4, 80, 0.2), "src int, dst int, weight double")
+    with pytest.raises(graph.NotSettled):
+        graph.settled_labels(df, max_iter=1)

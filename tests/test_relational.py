@@ -226,3 +226,36 @@ def test_stack_named(spark, rows):
     a = spark.createDataFrame([(1,)], "v int")
     b = spark.createDataFrame([(2, 3)], "v int, w int")
     assert rows(reshape.stack_named({"a": a, "b": b}, "t"), "t", "v", "w") == [("a", 1, None), ("b", 2, 3)]
+
+
+@pytest.mark.parametrize("days", [1, 7, 400])
+def test_interval_join_against_all_pairs(spark, rows, days):
+    from datetime import date, timedelta
+
+    from clinigrid.operators.joins import interval_join
+
+    draw = random.Random(days)
+    start = date(1969, 12, 20)
+    points = [(i, None if i % 9 == 0 else start + timedelta(draw.randint(0, 60))) for i in range(60)]
+    intervals = [
+        (k, None if draw.random() < 0.2 else start + timedelta(draw.randint(-20, 70)),
+         None if draw.random() < 0.2 else start + timedelta(draw.randint(-20, 70))) for k in range(25)
+    ]
+    a = spark.createDataFrame(points, "i int, day date")
+    b = spark.createDataFrame(intervals, "k int, first date, last date")
+    pairs = [(i, k) for i, d in points for k, f, t in intervals if d and (f is None or d >= f) and (t is None or d <= t)]
+    assert rows(interval_join(a, b, "day", "first", "last", days), "i", "k") == sorted(pairs, key=lambda r: [(False, str(v)) for v in r])
+    kept = rows(interval_join(a, b, "day", "first", "last", days, how="left"), "i", "k")
+    alone = [(i, None) for i, _ in points if i not in {p for p, _ in pairs}]
+    assert sorted(map(str, kept)) == sorted(map(str, pairs + alone)) and alone
+
+
+def test_interval_join_has_no_product(spark):
+    from clinigrid.operators.joins import interval_join
+
+    a = spark.range(10).selectExpr("id", "date_add(date'2020-01-01', cast(id AS int)) AS day")
+    b = spark.range(5).selectExpr("id AS k", "date_add(date'2020-01-01', cast(id AS int)) AS first", "cast(null AS date) AS last")
+    found = interval_join(a, b, "day", "first", "last")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert interval_join(a.limit(0), b, "day", "first", "last").count() == 0
