@@ -35,6 +35,11 @@ def merge_vocabulary(model: bytes) -> tuple:
     read.ParseFromString(model)
     if read.trainer_spec.model_type != pb.TrainerSpec.BPE:
         raise ValueError("the model is not of the BPE type")
+    normalizer = read.normalizer_spec
+    if normalizer.precompiled_charsmap or normalizer.remove_extra_whitespaces or not (
+        normalizer.add_dummy_prefix and normalizer.escape_whitespaces
+    ):
+        raise ValueError("the model changes texts before it encodes them, or puts no space in front")
     kinds = pb.ModelProto.SentencePiece
     if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in read.pieces):
         raise ValueError("user-defined and unused pieces are not supported")

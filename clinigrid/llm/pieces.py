@@ -1,7 +1,7 @@
 """SentencePiece unigram encoding by a max-plus parallel scan, decoding, and the query.
 
-The query and the pipeline encode by the merges of ``clinigrid.llm.merges``, as the given
-model is of the BPE type; ``encode`` is for models whose scores are log probabilities.
+The query and the pipeline encode through the lattice of ``clinigrid.llm.lattice``, as the
+given model is of the BPE type; ``encode`` is for models whose scores are log probabilities.
 
 The best segmentation of a text maximises the sum of its pieces' scores. A text decomposes
 where no useful piece crosses, in front of spaces and around characters that no piece has;
@@ -394,16 +394,16 @@ def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
 
 def encoding_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids with their pieces; the last stage, so it returns no texts."""
-    from clinigrid.llm.merges import encode_merges
+    from clinigrid.llm.lattice import encode_lattice
 
-    found = encode_merges(docs)
+    found = encode_lattice(docs)
     return found.select("doc.doc_id", "n_pieces", "ids")
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    from clinigrid.llm.merges import encode_merges
+    from clinigrid.llm.lattice import encode_lattice
 
-    encoded = encode_merges(documents(spark, sf_dir, "doc_id", "text"), carry=["doc_id"])
+    encoded = encode_lattice(documents(spark, sf_dir, "doc_id", "text"), carry=["doc_id"])
     found = decode(encoded)
     return found.select(
         "doc.doc_id", "n_pieces", F.xxhash64("ids").alias("ids_xxhash64"),

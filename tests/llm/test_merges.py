@@ -49,6 +49,6 @@ def test_chunks_end_at_cuts(library):
         assert sum(len(model.path(p.replace(" ", "▁"))[1]) for p in parts) == len(library.encode(text[1:]) if text[1:] else [model.pieces["▁"]])
 
 
-def test_query_and_last_stage_encode_by_merges(spark, library):
+def test_query_and_last_stage_encode_as_merges(spark, library):
     docs = cases.documents(spark, [(1, "The weather in London is nice today.")])
     assert [list(r["ids"]) for r in pieces.encoding_stage(spark, docs, "").collect()] == [library.encode("The weather in London is nice today.")]
