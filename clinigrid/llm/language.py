@@ -41,26 +41,35 @@ class Hypervectors:
         self.table = np.empty((1024, dimensions), dtype=np.int8)
 
     def trigrams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct trigrams of letters, words parted by single spaces, with counts."""
+        """Distinct trigrams of letters, words parted by single spaces, with counts.
+
+        A long text is read block by block; the two signs before a block stay, so the
+        blocks together count what the whole text would.
+        """
+        low = text.lower()
         found: dict[int, int] = {}
         one = None
-        for at in range(0, max(1, len(text)), BLOCK_CHARS):
-            # A block takes the two characters before it, so that no trigram is lost.
-            part = text[max(0, at - 2):at + BLOCK_CHARS].lower()
-            codes = np.frombuffer(f" {part} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        # A space stands in front of a text and behind it.
+        before, after_letter = np.array([32]), False
+        for at in range(0, max(1, len(low)), BLOCK_CHARS):
+            part = low[at:at + BLOCK_CHARS]
+            if at + BLOCK_CHARS >= len(low):
+                part += " "
+            codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
             is_letter = self.letter[codes]
-            codes = np.where(is_letter, codes, 32)
-            keep = np.ones(len(codes), dtype=bool)
-            keep[1:] = is_letter[1:] | is_letter[:-1]
-            codes = codes[keep]
+            # Of signs that are no letters the first counts, as a space.
+            keep = is_letter | np.concatenate([[after_letter], is_letter[:-1]])
+            codes = np.concatenate([before, np.where(is_letter, codes, 32)[keep]])
+            before, after_letter = codes[-2:], bool(is_letter[-1])
             keys = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
-            keys = keys[codes[1:-1] != 32] if len(codes) > 2 else keys
-            one = np.unique(keys, return_counts=True)
-            if len(text) > BLOCK_CHARS:
+            one = np.unique(keys[codes[1:-1] != 32], return_counts=True)
+            if len(low) > BLOCK_CHARS:
                 for k, n in zip(*(x.tolist() for x in one)):
                     found[k] = found.get(k, 0) + n
-        if len(text) > BLOCK_CHARS:
-            return np.array(list(found), dtype=np.int64), np.array(list(found.values()), dtype=np.int64)
+        if len(low) > BLOCK_CHARS:
+            # In the order of a text that is not cut.
+            keys = np.array(sorted(found), dtype=np.int64)
+            return keys, np.array([found[k] for k in keys.tolist()], dtype=np.int64)
         return one
 
     def _letter(self, code: int) -> np.ndarray:

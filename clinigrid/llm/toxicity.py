@@ -7,7 +7,6 @@ the text's length and calibrated on the training rows.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -16,19 +15,20 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinigrid.llm.common import append, documents, emit, raw, ship
+from clinigrid.llm.common import MAX_BROADCAST_BYTES, append, documents, emit, raw, ship
 from clinigrid.llm.language import held_out
 from clinigrid.session import materialise
 
 # Labelled rows that are learned from: the first by a hash of their id. A documented bound.
 MAX_TRAINING_ROWS = 20_000
-# A lexicon word occurs in this share of the toxic training texts at least, and in this many.
-MIN_SHARE, MIN_TEXTS = 0.02, 3
+# A lexicon word occurs in this many toxic training texts at least, and its log-likelihood ratio against
+# equal shares of toxic and other texts is so large: one word in a million is by chance.
+MIN_TEXTS, MIN_RATIO = 3, 24.0
 MIN_WEIGHT, MIN_STEM_WEIGHT = 3.5, 5.0
 # Entries are whole words, or stems of so many letters that any word may begin with.
 STEM_LETTERS = (4, 5, 6, 7)
-# The lexicon is the top so many words by weight.
-MAX_WORDS = 2000
+# A larger lexicon than this is refused, as it goes to every task.
+MAX_LEXICON_BYTES = MAX_BROADCAST_BYTES
 THRESHOLD = 0.3
 # Phrases in which a lexicon word is harmless.
 EXCEPTIONS = (
@@ -44,8 +44,8 @@ HOMOGLYPHS = str.maketrans(
 # Signs in place of letters.
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
          "!": "i", "|": "l", "2": "z", "6": "g"}
-# One or two signs in front of a letter.
-SIGN_RUN = re.compile(r"(?<![0-9@$!|])[0-9@$!|]{1,2}(?=[^\W\d_])")
+# Signs in front of a letter, however many.
+SIGN_RUN = re.compile(r"[0-9@$!|]+(?=[^\W\d_])")
 HAS_SIGN = re.compile(r"[0-9@$!|][^\W\d_]")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -84,10 +84,11 @@ def entries(words: set[str]) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEM_LETTERS if len(w) > n}
 
 
-def lexicon(training: DataFrame, max_words: int = MAX_WORDS) -> dict[str, float]:
+def lexicon(training: DataFrame, max_bytes: int = MAX_LEXICON_BYTES) -> dict[str, float]:
     """Words with their log odds of occurring in toxic texts rather than others.
 
-    Words are counted per slice, then by Spark; only the ``max_words`` best reach the driver.
+    Words are counted per slice, then by Spark; only those that stand out reach the
+    driver, and more than ``max_bytes`` of them are an error.
     """
     def start():
         def step(batch):
@@ -109,12 +110,22 @@ def lexicon(training: DataFrame, max_words: int = MAX_WORDS) -> dict[str, float]
     weight = (
         F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     )
-    best = counts.where(F.col("toxic") >= max(MIN_TEXTS, math.ceil(MIN_SHARE * n_toxic))).withColumn(
-        "weight", weight
-    ).where(
+    n = n_toxic + n_clean
+    texts = F.col("toxic") + F.col("clean")
+
+    def part(seen, share):
+        return F.when(seen > 0, 2 * seen * F.log(seen / (texts * share))).otherwise(0.0)
+
+    # With toxic texts alone no word tells them from others by this.
+    ratio = part(F.col("toxic"), n_toxic / n) + (part(F.col("clean"), n_clean / n) if n_clean else F.lit(0.0))
+    best = counts.where(F.col("toxic") >= MIN_TEXTS).withColumn("weight", weight).where(ratio >= MIN_RATIO).where(
         F.col("weight") >= F.when(F.col("word").endswith("*"), MIN_STEM_WEIGHT).otherwise(MIN_WEIGHT)
-    ).orderBy(F.desc("weight"), "word").limit(max_words)
-    return {r["word"]: r["weight"] for r in best.collect()}
+    )
+    best = materialise(best.select("word", "weight"), "lexicon")
+    size = best.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
+    if size > max_bytes:
+        raise ValueError(f"a lexicon of {size} bytes; at most {max_bytes} are sent to tasks")
+    return {r["word"]: r["weight"] for r in best.orderBy(F.desc("weight"), "word").collect()}
 
 
 def matcher(weights: dict[str, float], exceptions):
@@ -162,7 +173,7 @@ def matches(automaton, text: str) -> tuple[float, int]:
 
 
 def with_matches(df: DataFrame, weights: dict[str, float], exceptions=EXCEPTIONS) -> DataFrame:
-    """Add ``hit_weight``, ``n_hits`` and ``n_tokens``; the lexicon has at most MAX_WORDS words."""
+    """Add ``hit_weight``, ``n_hits`` and ``n_tokens``; the lexicon has at most MAX_LEXICON_BYTES."""
     held = df.sparkSession.sparkContext.broadcast((weights, tuple(fold(e) for e in exceptions)))
 
     def start():

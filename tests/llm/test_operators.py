@@ -238,12 +238,108 @@ def test_blocks_of_long_texts_count_every_trigram(monkeypatch):
     assert set(whole) <= set(cut) and sum(cut.values()) <= sum(whole.values()) * 1.2
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 50, 1000])
+def test_a_cut_text_counts_exactly_as_a_whole_one(monkeypatch, block):
+    rng = random.Random(block)
+    texts = ["", " ", "a", "ΑΣ ΣΑΣ", "İstanbul", *(
+        "".join(rng.choices("aB é1 \n😀Σß,", k=rng.randint(1, 300))) for _ in range(40))]
+    whole = [language.Hypervectors().trigrams(t) for t in texts]
+    monkeypatch.setattr(language, "BLOCK_CHARS", block)
+    for text, (keys, counts) in zip(texts, whole):
+        found = language.Hypervectors().trigrams(text)
+        assert dict(zip(*(x.tolist() for x in found))) == dict(zip(keys.tolist(), counts.tolist()))
+
+
+def test_three_million_characters_count_as_a_whole():
+    text = ("Die Katze läuft, und 3 Vögel singen. " * 85_000)[:3_000_000]
+    keys, counts = language.Hypervectors().trigrams(text)
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    from collections import Counter
+
+    times = Counter(words)
+    plain = Counter()
+    for word, n in times.items():
+        padded = f" {word} "
+        for a, b, c in zip(padded, padded[1:], padded[2:]):
+            plain[(ord(a) << 42) | (ord(b) << 21) | ord(c)] += n
+    assert dict(zip(keys.tolist(), counts.tolist())) == dict(plain)
+
+
+def test_language_query_equals_a_plain_version(spark, table):
+    """The whole query in plain Python: dictionaries of trigrams, sums and cosines."""
+    import zlib
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice(list(LETTERS)), None) for i in range(60)]
+    rows = [(i, lang, spoken(lang, rng)) for i, lang, _ in rows] + [(90, "aa", None), (91, "bb", "12 !")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    got = {r["doc_id"]: r for r in QUERIES["op9_language_id"](spark, table(documents=docs)).collect()}
+
+    def letter(code):
+        signs = np.random.default_rng([language.SEED, code]).integers(0, 2, language.DIMENSIONS, dtype=np.int8)
+        return [2 * int(s) - 1 for s in signs]
+
+    def vector(text):
+        total, n = np.zeros(language.DIMENSIONS), 0
+        for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+            padded = f" {word} "
+            for a, b, c in zip(padded, padded[1:], padded[2:]):
+                total += np.roll(letter(ord(a)), 2) * np.roll(letter(ord(b)), 1) * np.array(letter(ord(c)))
+                n += 1
+        return total, n
+
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows}
+    vectors = {i: vector(t) for i, _, t in rows}
+    sums = {}
+    for i, lang, _ in rows:
+        if not held[i] and vectors[i][1]:
+            sums[lang] = sums.get(lang, 0) + vectors[i][0] / vectors[i][1]
+    unit = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    middle = np.mean(list(unit.values()), axis=0)
+    learned = {k: (v - middle) / np.linalg.norm(v - middle) for k, v in sorted(unit.items())}
+    for i, *_ in rows:
+        v, n = vectors[i]
+        assert got[i]["held_out"] == held[i]
+        if not n:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        cosines = {k: p @ v / np.linalg.norm(v) for k, p in learned.items()}
+        best = max(cosines, key=cosines.get)
+        assert got[i]["lang_pred"] == best
+        assert got[i]["score"] == pytest.approx((1 + cosines[best]) / 2, abs=1e-5)
+
+
 # --- toxicity ---------------------------------------------------------------------------
 
 def test_folding():
     assert toxicity.fold("1D10T m0r0n tra5h! іdіоt $tupid 2024 moron$$$") == "idiot moron trash! idiot stupid 2024 moron$$$"
 
 
+def test_signs_of_any_number_are_folded():
+    assert toxicity.fold("l053r 2024 100 l00000ser id10t!! 5500") == "loser 2024 100 loooooser idiot!! 5500"
+
+
+def test_a_rare_toxic_word_is_learned(spark, table):
+    """It stands in one of two hundred toxic texts only."""
+    rng = random.Random(8)
+    usual = "river stone light house winter garden letter".split()
+    rows, labels = [], []
+    for i in range(14_000):
+        toxic = int(i % 5 == 0)
+        words = rng.choices(usual, k=12)
+        if toxic:
+            words[3] = "zquumbo" if i % 1000 == 0 else rng.choice(["trash", "vequmo"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    training = toxicity.training_rows(
+        spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"), 20_000
+    )
+    found = toxicity.lexicon(training)
+    assert {"zquumbo", "trash", "vequmo"} <= set(found) and not set(usual) & set(found)
+    with pytest.raises(ValueError, match="lexicon"):
+        toxicity.lexicon(training, max_bytes=10)
+
+
 def toxic_tables(spark, table):
     rng = random.Random(3)
     usual = "river stone light house winter garden letter".split()
