@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinigrid.llm.common import append, emit, pack, ship
-from clinigrid.llm.merges import Merges, merge_vocabulary
+from clinigrid.llm.merges import APART, Merges, merge_vocabulary
 from clinigrid.llm.pieces import CHUNK_CHARS, END, GIANT_CHARS, MODEL_PATH, SPACE, id_lists, model_bytes
 from clinigrid.session import materialise
 
-# Pairs of pieces whose compatibility a task remembers: some 30 MB.
-KEPT_PAIRS = 200_000
+# Pairs of pieces whose compatibility a task remembers: some 15 MB.
+KEPT_PAIRS = 100_000
 # Matrices whose products are held at once.
 BLOCK = 256
 # The state in front of a text.
@@ -37,6 +37,54 @@ class Lattice(Merges):
     def __init__(self, known: tuple):
         super().__init__(known)
         self.pairs: dict[tuple[str, str], bool] = {}
+        # Per piece what holds its last character, and its first, merge by merge.
+        self.edges: dict[str, tuple[list, list]] = {}
+        # Pieces whose merges do not come in the order of their ranks.
+        self.unordered: set[str] = set()
+
+    def edge(self, piece: str) -> tuple[list, list]:
+        """What lies at a piece's right and left end while it is merged: (text, rank of the merge that ends it)."""
+        found = self.edges.get(piece)
+        if found is None:
+            parts, rank, latest = list(piece), self.rank.get, -1
+            sides = ([], [])
+            while len(parts) > 1:
+                pairs = [rank(a + b, APART) for a, b in zip(parts, parts[1:])]
+                best = min(pairs)
+                if best < latest:
+                    self.unordered.add(piece)
+                latest = best
+                i = pairs.index(best)
+                if i == len(pairs) - 1:
+                    sides[0].append((parts[-1], best))
+                if i == 0:
+                    sides[1].append((parts[0], best))
+                parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            for side in sides:
+                side.append((piece, APART))
+            found = self.edges[piece] = sides
+        return found
+
+    def stay(self, left: str, right: str) -> bool:
+        """Follow both pieces' merges at the place where they meet; a merge across it would have to come first.
+
+        Parts of a piece are learned before it, so merges of one piece come in the order of their ranks; the
+        few pairs with another piece are merged whole. Of equal ranks the one further left comes first.
+        """
+        a, b, i, j, rank = self.edge(left)[0], self.edge(right)[1], 0, 0, self.rank.get
+        if left in self.unordered or right in self.unordered:
+            return self.merged(left + right) == [left, right]
+        while True:
+            (mine, until), (theirs, then) = a[i], b[j]
+            across = rank(mine + theirs, APART)
+            if across < until and across <= then and across != APART:
+                return False
+            if until == then == APART:
+                return True
+            if until <= then:
+                i += 1
+            else:
+                j += 1
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether two neighbours stay as they are when they are merged by themselves."""
@@ -46,7 +94,7 @@ class Lattice(Merges):
         if found is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[left, right] = self.merged(left + right) == [left, right]
+            found = self.pairs[left, right] = self.stay(left, right)
         return found
 
     def id_of(self, piece: str) -> list[int]:
@@ -84,7 +132,14 @@ class Lattice(Merges):
             else:
                 dead[at] = 1
                 at, _, ends = way.pop()
-        return None, [i for _, piece, _ in way for i in self.id_of(piece)]
+        ids, known = [], self.pieces.get
+        for _, piece, _ in way:
+            found = known(piece)
+            if found:
+                ids.append(found[1])
+            else:
+                ids += self.id_of(piece)
+        return None, ids
 
     def across(self, part: str, cut: int) -> list[tuple[int, int]]:
         """The states at a cut: (start, end) of what may lie across it or end at it, in order."""

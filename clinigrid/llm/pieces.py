@@ -35,8 +35,8 @@ CHUNK_CHARS = 32_768
 CUT_SEARCH = 2_048
 # Fixed value: what an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
-# Words that a task remembers, none longer than CACHED_CHARS: some 30 MB.
-CACHED_WORDS, CACHED_CHARS = 150_000, 64
+# Words that a task remembers in either of two generations, none longer than CACHED_CHARS: some 40 MB.
+CACHED_WORDS, CACHED_CHARS = 100_000, 64
 LOWEST = float("-inf")
 # No piece starts like this; an empty tuple, so that it counts as false.
 END = ()
@@ -57,8 +57,18 @@ class Words(dict):
     def __init__(self, pieces: Pieces, front: str):
         super().__init__()
         self.pieces, self.front = pieces, front
+        self.older: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        """Start a generation: words that are asked for again are taken over, others are dropped with the next."""
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is not None:
+            self[word] = found
+            return found
         found = array("i", self.pieces.path(self.front + word)[1]).tobytes()
         if len(word) <= CACHED_CHARS:
             self[word] = found
@@ -183,8 +193,8 @@ class Pieces:
         out = []
         for text in texts:
             if len(self.inner) + len(self.spaced) > CACHED_WORDS:
-                self.inner.clear()
-                self.spaced.clear()
+                self.inner.age()
+                self.spaced.age()
             if SPACE in text:
                 text = text.replace(SPACE, " ")
             if "  " in text or not self.cuts:
