@@ -189,6 +189,21 @@ def binscatter_by_institution(spark, sf):
     )
 
 
+def binscatter_clinics_areas(spark, sf):
+    """Clinics per area in bins of areas by their people."""
+    supply = b.facilities(spark, sf).groupBy("CVEGEO").agg(sum_or_zero("clinics").alias("clinics"))
+    areas = natural_join(population(spark, sf).select("CVEGEO", F.col("POBTOT").alias("poblacion")), supply, "inner")
+    return rounded(resources.bins_of_resources(materialise(areas, "areas"), "poblacion", "clinics", 4))
+
+
+def nonempty_batches(spark, sf):
+    """Orders by year batch; a batch without rows is not carried on."""
+    orders = materialise(b.table(spark, sf, "orders").select(F.year("o_orderdate").alias("year"), "o_orderkey"), "orders")
+    batches = {str(y): orders.where(F.col("year") == y) for y in range(1993, 2004)}
+    found = {name: batch for name, batch in batches.items() if not batch.isEmpty()}
+    return stack_named(found, "batch").groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last"))
+
+
 # --- neighbourhood ------------------------------------------------------------------
 
 def contiguity_queen(spark, sf):
@@ -648,6 +663,6 @@ QUERIES: dict[str, Query] = {
         tsv_round_trip, not_in_keep_null, sorted_distinct, area_keys, capitalised_labels,
         scenario_waves, hash_split_folds, feature_table_v1, feature_table_v2,
         scenario_forest_metrics, scenario_forest_importance, scenario_forest_metrics_v2, scenario_forest_importance_v2,
-        scenario_models, cube_slice_landed, json_splits_scan, contiguity_features, orders_by_period,
+        scenario_models, binscatter_clinics_areas, nonempty_batches, cube_slice_landed, json_splits_scan, contiguity_features, orders_by_period,
     )
 } | {"communities": community_search}

@@ -547,3 +547,8 @@ ORACLES["orders_by_period"] = """WITH period(period, first, last) AS (VALUES
 SELECT period, o_orderpriority, count(*) AS n, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS total
 FROM orders JOIN period ON coalesce(o_orderdate::DATE >= first, true) AND coalesce(o_orderdate::DATE <= last, true)
 GROUP BY 1, 2"""
+ORACLES["binscatter_clinics_areas"] = f"""WITH {AREA}, {POPULATION}, {FACILITY}, catchment AS (
+  SELECT POBTOT AS x, y FROM people JOIN (SELECT CVEGEO, sum(clinics) AS y FROM facility GROUP BY 1) USING (CVEGEO)),
+{_bins([0.25, 0.5, 0.75])}"""
+ORACLES["nonempty_batches"] = """SELECT year(o_orderdate)::VARCHAR AS batch, count(*) AS n, max(o_orderkey) AS last
+FROM orders WHERE year(o_orderdate) BETWEEN 1993 AND 2003 GROUP BY 1"""
