@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 import pyarrow as pa
@@ -61,7 +62,11 @@ def _local_folder(application: str) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path that nothing else uses; ``scratch`` blocks delete it at their end."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for held in _scratch.get():
+        held.append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -78,27 +83,25 @@ def write_stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The written table and its path, for loops that drop a stage once the next is written."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    for held in _scratch:
-        held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-# What open ``scratch`` blocks have written so far.
-_scratch: list[list[str]] = []
+# What open ``scratch`` blocks have written so far; every thread has blocks of its own.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end all tables that functions of this library stored inside the block.
+    """Deletes at its end all tables and files that functions of this library stored inside the block.
 
     Results are lazy and may read those tables: collect or write them inside.
     """
     held: list[str] = []
-    _scratch.append(held)
+    token = _scratch.set((*_scratch.get(), held))
     try:
         yield
     finally:
-        _scratch.remove(held)
+        _scratch.reset(token)
         for path in held:
             drop_stage(spark, path)
 

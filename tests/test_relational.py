@@ -259,3 +259,25 @@ def test_interval_join_has_no_product(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert interval_join(a.limit(0), b, "day", "first", "last").count() == 0
+
+
+def test_scratch_holds_paths_too_and_threads_apart(spark):
+    from pathlib import Path
+    from threading import Thread
+
+    from clinigrid.session import materialise, new_path, scratch
+
+    kept = []
+    with scratch(spark):
+        inside = Path(new_path(spark, "files").removeprefix("file:"))
+        spark.range(3).selectExpr("cast(id AS string) AS v").write.text(str(inside))
+
+        def other():
+            kept.append(materialise(spark.range(5), "others"))
+
+        thread = Thread(target=other)
+        thread.start()
+        thread.join()
+        assert inside.exists()
+    assert not inside.exists()
+    assert kept[0].count() == 5
