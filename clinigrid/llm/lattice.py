@@ -181,27 +181,68 @@ class Lattice(Merges):
         """States at a chunk's end; None at the text's end, where any last piece will do."""
         return None if stop == len(part) else self.across(part, stop)
 
+    def flush(self, part: str, begin: int, stop: int) -> tuple[int, int] | None:
+        """The first and the last place of a chunk that no piece crosses, or None without any.
+
+        The last lies before the chunk's end, so that the piece that ends there is told, or is the text's end.
+        """
+        def crossed(at):
+            return 0 < at < len(part) and part[at - 1:at + 1] in self.inside
+
+        high = stop if stop == len(part) else stop - 1
+        first = next((at for at in range(begin, high + 1) if not crossed(at)), None)
+        if first is None:
+            return None
+        return first, next(at for at in range(high, first - 1, -1) if not crossed(at))
+
     def steps(self, part: str, begin: int, own: int) -> np.ndarray:
-        """The matrix of a chunk, its 0 as True and its minus infinity as False."""
+        """The matrix of a chunk, its 0 as True and its minus infinity as False.
+
+        All ways meet at places that no piece crosses, so only what stands before the first
+        and after the last of them is looked at.
+        """
         entries = self.across(part, begin) if begin else [START]
         stop = begin + own
-        at, ends = self.ways(part, begin, stop, entries), self.exits(part, stop)
-        if ends is None:
-            columns = [0]
-            for bits, _ in at.get(stop, {}).values():
-                columns[0] |= bits
+        ends, flush = self.exits(part, stop), self.flush(part, begin, stop)
+        if flush is None:
+            columns = self.columns(self.ways(part, begin, stop, entries), ends, stop)
         else:
-            columns = [at.get(end, {}).get(start, (0,))[0] for start, end in ends]
+            first, last = flush
+            reached = self.columns(self.ways(part, begin, first, entries), None, first)[0]
+            columns = [reached if bits else 0 for bits in self.columns(self.ways(part, last, stop, [START]), ends, stop)]
         return np.array([[bits >> i & 1 for bits in columns] for i in range(len(entries))], dtype=bool)
 
+    @staticmethod
+    def columns(at: dict, ends: list[tuple[int, int]] | None, stop: int) -> list[int]:
+        """Per state at the end the entries from which there is a way to it; one column where any last piece will do."""
+        if ends is not None:
+            return [at.get(end, {}).get(start, (0,))[0] for start, end in ends]
+        every = 0
+        for bits, _ in at.get(stop, {}).values():
+            every |= bits
+        return [every]
+
     def trace(self, part: str, begin: int, own: int, enter: int, leave: int) -> list[int]:
         """The ids of the pieces behind the state at a chunk's start, up to the state at its end."""
-        entries = self.across(part, begin) if begin else [START]
+        entry = self.across(part, begin)[enter] if begin else START
         stop = begin + own
-        at, ends = self.ways(part, begin, stop, [entries[enter]]), self.exits(part, stop)
-        start, end = (next(iter(at[stop])), stop) if ends is None else ends[leave]
+        ends, flush = self.exits(part, stop), self.flush(part, begin, stop)
+        goal = None if ends is None else ends[leave]
+        if flush is None:
+            return self.back(part, begin, stop, entry, goal)
+        first, last = flush
+        middle = self.encode([part[first:last].replace(SPACE, " ")])[0]
+        head = self.back(part, begin, first, entry, None)
+        return head + np.frombuffer(middle, dtype="<i4").tolist() + self.back(part, last, stop, START, goal)
+
+    def back(self, part: str, begin: int, stop: int, entry: tuple[int, int], goal: tuple[int, int] | None) -> list[int]:
+        """The ids of the one way from an entry to a state, or to any last piece."""
+        if goal is None and stop == (begin if entry == START else entry[1]):
+            return []
+        at = self.ways(part, begin, stop, [entry])
+        start, end = (next(iter(at[stop])), stop) if goal is None else goal
         out = []
-        while (start, end) != entries[enter] and start >= 0:
+        while (start, end) != entry and start >= 0:
             out.append(part[start:end])
             start, end = at[end][start][1], start
         return [i for piece in reversed(out) for i in self.id_of(piece)]
