@@ -23,7 +23,7 @@ HEX = re.compile(rb"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "novel")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 ASSIGN_WORDS = (b"passw", b"secret", b"token", b"api")
-# Sensitive context: a candidate starts within CONTEXT_BYTES after one of these words.
+# Sensitive context: a candidate stands in a line with one of these words, or in a line beside it.
 CONTEXT = re.compile(
     rb"(?<![a-z])(?:api|key|secret|token|passphrase|passwd|password|pwd|auth|credential|private|bearer|signature|salt)"
 )
@@ -31,10 +31,9 @@ CONTEXT_WORDS = (
     b"api", b"key", b"secret", b"token", b"pass", b"pwd", b"auth", b"credential", b"private", b"bearer",
     b"signature", b"salt",
 )
-CONTEXT_BYTES = 48
 MIN_CANDIDATE = 16
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=.-]{%d,}" % MIN_CANDIDATE)
-RUN = re.compile(rb"[A-Za-z0-9+/_=.-]*")
+LETTER = re.compile(rb"[A-Za-z]")
 # Surroundings that prime the compressor, before and after the candidate.
 BEFORE_BYTES, AFTER_BYTES = 512, 256
 # Marginal compressed bytes per byte from which a candidate is incompressible.
@@ -78,24 +77,39 @@ HEX_MAP = bytes(49 if b in b"0123456789abcdef" else 48 for b in range(256))
 LONG_HEX = b"1" * MIN_HEX
 
 
+def contexts(low: bytes) -> list[tuple[int, int]]:
+    """Disjoint stretches of whole lines: every line with a sensitive word, and the lines beside it."""
+    found: list[tuple[int, int]] = []
+    seen = -1
+    for word in CONTEXT.finditer(low):
+        if word.start() < seen:
+            continue
+        first = low.rfind(b"\n", 0, word.start())
+        first = low.rfind(b"\n", 0, max(first, 0)) + 1
+        seen = low.find(b"\n", word.end()) % (len(low) + 1)
+        last = low.find(b"\n", seen + 1) % (len(low) + 1)
+        if found and first <= found[-1][1]:
+            first = found.pop()[0]
+        found.append((first, last))
+    return found
+
+
 def candidates(text: bytes, low: bytes, taken: list) -> list[tuple[int, int]]:
-    """Unpatterned strings with letters and digits that start near a sensitive word."""
+    """Unpatterned strings with a letter in the lines around sensitive words; hosts of addresses are none."""
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    found: dict[int, int] = {}
-    for word in CONTEXT.finditer(low):
-        at = word.end()
-        limit = word.end() + CONTEXT_BYTES + MIN_CANDIDATE
-        while m := CANDIDATE.search(text, at, limit):
+    covered = sorted((s, e) for s, _, e, _ in taken)
+    found, k, reach = [], 0, 0
+    for first, last in contexts(low):
+        for m in CANDIDATE.finditer(text, first, last):
             start, end = m.span()
-            if end == limit:
-                end = RUN.match(text, start).end()
-            value = text[start:end]
-            mixed = any(48 <= b <= 57 for b in value) and any(b >= 65 and b != 95 for b in value)
-            if mixed and not any(s < end and start < e for s, _, e, _ in taken):
-                found[start] = end
-            at = end
-    return sorted(found.items())
+            while k < len(covered) and covered[k][0] < end:
+                reach = max(reach, covered[k][1])
+                k += 1
+            address = text[start - 1:start] == b"@"
+            if start >= reach and not address and LETTER.search(text, start, end):
+                found.append((start, end))
+    return found
 
 
 class Novelty:

@@ -130,6 +130,22 @@ def test_novel_strings_are_found_and_words_are_not(spark):
     assert found[2]["secrets"] == found[3]["secrets"] == []
 
 
+def test_novel_strings_on_both_sides_of_their_word(spark):
+    mixed, letters = "qZ8vK2mN7pR4tX9wB3cD6fG1", "qZvKmNpRtXwBcDfGhJsLyTeU"
+    far = "a line of plain words that goes on and on and on for more than a hundred signs before its end"
+    texts = {
+        1: (f'"{mixed}" # api key', [mixed]), 2: (f"{letters} is the passphrase", [letters]),
+        3: (f"token {far} {mixed}", [mixed]), 4: (f"private\n{mixed}\nend", [mixed]),
+        5: (f"private\n\n{mixed}", []), 6: ("key user@a1b2c3.mailbox9.example.com", []),
+        7: ("key 4920573816204957381620", []), 8: (f"{mixed}\nkey\nx\nkey\n{letters}", [mixed, letters]),
+        9: ("the key of Donaudampfschifffahrtsgesellschaft and antidisestablishmentarianism", []),
+    }
+    docs = cases.documents(spark, [(i, t) for i, (t, _) in texts.items()])
+    for r in secret_scan.scan_secrets(docs).collect():
+        text, expected = texts[r["doc"]["doc_id"]]
+        assert [text[s["start"]:s["end"]] for s in r["secrets"] if s["kind"] == "novel"] == expected
+
+
 PERSONAL = [
     (1, "a.b+c@mail.example.com, x@y @z.w a@b@c.de f@g.h@i.j é@x.y.z -@-.-"), (2, "1.2.3.4 256.1.1.1 001.02.3.4.5 1.2.3"),
     (3, "4111 1111 1111 1111, 4111-1111-1111-1112 79927398713 12345678901234567890"),
