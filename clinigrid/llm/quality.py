@@ -21,6 +21,9 @@ CLASSES = {
     "digit": "[0-9]+", "sentence": "[.,;:?'\"()-]+",
 }
 SYMBOLS = r"[#*$%&|<>]+"
+# A run of so many letters and digits is an identifier and weighs as one digit in the classes: whole, a
+# single key or digest would outweigh the prose of a short text.
+IDENTIFIER = "[0-9A-Za-z]{24,}"
 # Frequent words by language.
 COMMON_WORDS = {
     "en": ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "with", "was"),
@@ -45,7 +48,8 @@ def features(
     """``doc`` (the carried columns) with counts and histograms of the whole text.
 
     A missing text counts as empty; a missing language, or table without ``lang``, as
-    ``und``, which like any language without a word list has one bin of words.
+    ``und``, which like any language without a word list has one bin of words. The
+    counts are of the text itself; in its classes an identifier is one digit.
     """
     lang = F.coalesce(docs["lang"].cast("string"), F.lit("und")) if "lang" in docs.columns else F.lit("und")
     kept = docs.columns if carry is None else list(carry)
@@ -59,11 +63,11 @@ def features(
         F.filter(F.split("text", BREAK + "+"), lambda w: w != "").alias("w"),
     )
     # Each class is what the text loses with it, so later classes search a short rest.
-    rest, left = words, F.col("text")
+    rest, left = words.withColumn("shown", F.regexp_replace("text", IDENTIFIER, "0")), F.col("shown")
     for name, pattern in CLASSES.items():
         rest = rest.withColumn(f"after_{name}", F.regexp_replace(left, pattern, ""))
         left = F.col(f"after_{name}")
-    lengths = [F.length("text"), *[F.length(f"after_{n}") for n in CLASSES]]
+    lengths = [F.length("shown"), *[F.length(f"after_{n}") for n in CLASSES]]
     classes = {n: lengths[i] - lengths[i + 1] for i, n in enumerate(CLASSES)}
     counted = rest.select(
         "doc", "lang", "w", F.size("w").cast("long").alias("n_words"),
@@ -255,7 +259,8 @@ def _distance_sql(kind: str, refs: str) -> str:
 
 
 OP8_SQL = rf"""
-WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(text, '') AS t,
+             regexp_replace(coalesce(text, ''), '{IDENTIFIER}', '0', 'g') AS u FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (
@@ -263,16 +268,16 @@ grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (
     FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3))),
 repeats AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words
             FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE n > 1) GROUP BY doc_id),
-c AS (SELECT doc_id, lang, w, len(w) AS n_words, length(t) AS n,
+c AS (SELECT doc_id, lang, w, len(w) AS n_words, length(u) AS n,
              len(lines) - len(list_distinct(lines)) AS n_dup_lines,
              length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
              length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-             length(t) - length(regexp_replace(t, '[a-z]', '', 'g')) AS c0,
-             length(t) - length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS c1,
-             length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS c2,
-             length(t) - length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) AS c3,
-             length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS c4,
-             length(t) - length(regexp_replace(t, '[.,;:?''"()-]', '', 'g')) AS c5 FROM w),
+             length(u) - length(regexp_replace(u, '[a-z]', '', 'g')) AS c0,
+             length(u) - length(regexp_replace(u, '[\x20\x09-\x0D]', '', 'g')) AS c1,
+             length(u) - length(regexp_replace(u, '[A-Z]', '', 'g')) AS c2,
+             length(u) - length(regexp_replace(u, '[^\x00-\x7F]', '', 'g')) AS c3,
+             length(u) - length(regexp_replace(u, '[0-9]', '', 'g')) AS c4,
+             length(u) - length(regexp_replace(u, '[.,;:?''"()-]', '', 'g')) AS c5 FROM w),
 counted AS (SELECT c.*, coalesce(n_repeat_words, 0) AS n_repeat_words,
                    n_words < {MIN_WORDS}
                    OR 100 * coalesce(n_repeat_words, 0) > {MAX_REPEATED_PERCENT} * n_words AS base_failed

@@ -146,6 +146,17 @@ def test_novel_strings_on_both_sides_of_their_word(spark):
         assert [text[s["start"]:s["end"]] for s in r["secrets"] if s["kind"] == "novel"] == expected
 
 
+def test_a_digest_does_not_reject_short_prose(spark):
+    rng = random.Random(3)
+    words = "the of and to in a is that river stone light house winter garden letter".split()
+    digest = "0123456789" * 4
+    prose = [(i, " ".join(rng.choices(words, k=150))) for i in range(30)]
+    short = [(50 + i, " ".join([*rng.choices(words, k=52), *[digest] * (i + 1)])) for i in range(2)]
+    docs = cases.documents(spark, [*prose, *short, (60, " ".join(f"{k}{digest}" for k in range(60)))])
+    kept = {r[0] for r in quality.quality_rules(docs).where("kept").select("doc.doc_id").collect()}
+    assert {50, 51} <= kept and 60 not in kept
+
+
 PERSONAL = [
     (1, "a.b+c@mail.example.com, x@y @z.w a@b@c.de f@g.h@i.j é@x.y.z -@-.-"), (2, "1.2.3.4 256.1.1.1 001.02.3.4.5 1.2.3"),
     (3, "4111 1111 1111 1111, 4111-1111-1111-1112 79927398713 12345678901234567890"),
