@@ -8,14 +8,14 @@ window of an item.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinigrid.llm.common import append, documents, emit, pack, raw, sha256_of_list, ship, with_text
+from clinigrid.session import drop_stage, materialise, write_stage
 
 WINDOW_WORDS = 13
 # A document is contaminated when this share of its words is hit.
@@ -201,33 +201,45 @@ def scan(automaton: Automaton, texts: list[bytes]) -> tuple[list, list, list]:
     return counts, [merged(s) for s in spans], items
 
 
-def blocks(benchmark: DataFrame, window: int) -> Iterator[list]:
-    """The items' words in blocks that each fit one automaton; streamed, not collected at once."""
+def blocks(benchmark: DataFrame, window: int) -> tuple[DataFrame, int]:
+    """The items' words as a stored table (item_id, short, words, n, block), and how many blocks it has.
+
+    Pieces are packed by running word counts, within a part of the table and then over
+    parts, so a block holds ``BLOCK_WORDS`` and at most one more piece.
+    """
     def start():
         def step(batch):
-            out = [], [], []
+            out = [], [], [], []
             for item, text in zip(batch.column("item_id").to_pylist(), raw(batch)):
                 words = text.translate(FOLD).split()
                 for at in range(0, max(1, len(words) - window + 1), PIECE_WORDS):
                     if words:
-                        out[0].append(item)
-                        out[1].append(len(words) < window)
-                        out[2].append(b" ".join(words[at:at + PIECE_WORDS + window - 1]))
+                        part = words[at:at + PIECE_WORDS + window - 1]
+                        for column, value in zip(out, (item, len(words) < window, b" ".join(part), len(part))):
+                            column.append(value)
             return out
 
         return step
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string"))
-    block, held = [], 0
-    for row in emit(items, start, "item_id string, short boolean, words binary").toLocalIterator():
-        words = bytes(row["words"]).split()
-        if block and held + len(words) > BLOCK_WORDS:
-            yield block
-            block, held = [], 0
-        block.append((row["item_id"], row["short"], words))
-        held += len(words)
-    if block:
-        yield block
+    pieces = materialise(
+        emit(items, start, "item_id string, short boolean, words binary, n bigint").withColumns(
+            {"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}
+        ), "pieces",
+    )
+    kept = "item_id", "short", "words", "n"
+    if (pieces.agg(F.sum("n")).first()[0] or 0) <= BLOCK_WORDS:
+        return pieces.select(*kept, F.lit(0).cast("bigint").alias("block")), 1
+    rows = Window.unboundedPreceding, -1
+    parts = pieces.groupBy("part").agg(F.sum("n").alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*rows)), F.lit(0)).alias("before"),
+    )
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("at").rowsBetween(*rows)), F.lit(0))
+    packed = pieces.withColumn("within", within).join(parts, "part").select(
+        *kept, F.floor((F.col("before") + F.col("within")) / BLOCK_WORDS).alias("block")
+    )
+    stored = materialise(packed, "blocks")
+    return stored, stored.agg(F.max("block")).first()[0] + 1
 
 
 def decontaminate(
@@ -241,15 +253,19 @@ def decontaminate(
     of its words. With ``clean``, ``clean_text`` is the text without its hit spans.
     Missing texts have no words; items without words or an id are never met, respectively
     counted under no name; repeated items count once. Documents pass every block of items
-    in turn, without a shuffle.
+    in turn, without a shuffle. The driver and a task hold one block at a time: documents
+    are written between passes, and a pass's table goes when the next is written.
     """
     spark = docs.sparkSession
     found = pack(docs, carry).withColumns({
         "n_words": F.lit(0).cast("bigint"), "spans": F.array().cast("array<int>"),
         "items": F.array().cast("array<string>"),
     })
-    for block in [*blocks(benchmark, window)] or [[]]:
-        held = spark.sparkContext.broadcast(block)
+    stored, n_blocks = blocks(benchmark, window)
+    path = None
+    for block in range(n_blocks):
+        pieces = stored.where(F.col("block") == block).select("item_id", "short", "words").collect()
+        held = spark.sparkContext.broadcast([(r["item_id"], r["short"], bytes(r["words"]).split()) for r in pieces])
 
         def start(held=held):
             automaton = Automaton(held.value, window)
@@ -271,6 +287,11 @@ def decontaminate(
             "doc", "text", F.col("new_words").alias("n_words"), F.col("new_spans").alias("spans"),
             F.col("new_items").alias("items"),
         )
+        if block < n_blocks - 1:
+            found, written = write_stage(found, "hits")
+            drop_stage(spark, path)
+            held.destroy()
+            path = written
     if clean:
         def start_clean():
             return lambda batch: [[

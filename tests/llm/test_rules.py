@@ -81,6 +81,23 @@ def test_decontamination_in_blocks_and_parts(spark, monkeypatch):
     assert got == {i: cases.contamination(t, items)[:3] for i, t in texts}
 
 
+def test_many_blocks_are_held_one_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(decontamination, "PIECE_WORDS", 20)
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choices("a b c d e f g".split(), k=rng.choice([3, 13, 15, 70])))) for i in range(60)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string").repartition(5)
+    stored, n_blocks = decontamination.blocks(benchmark, 13)
+    sizes = [r["n"] for r in stored.groupBy("block").agg(F.sum("n").alias("n")).collect()]
+    assert len(sizes) <= n_blocks and n_blocks > 20 and max(sizes) <= 50 + 20 + 12
+    docs = cases.documents(spark, [(i, f"x {t} y") for i, t in items[:20]] + [(99, None)])
+    found = decontamination.decontaminate(docs, benchmark.where("item_id < 9"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {r["doc"]["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"])) for r in found.collect()}
+    texts = [(i, f"x {t} y") for i, t in items[:20]] + [(99, None)]
+    assert got == {i: cases.contamination(t, items[:9])[:3] for i, t in texts}
+
+
 def test_clean_text_loses_the_spans(spark):
     item = " ".join(f"w{i}" for i in range(13))
     docs = cases.documents(spark, [(1, f"Before, {item}; after it w1"), (2, item), (3, "free"), (4, None)])
