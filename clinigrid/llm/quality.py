@@ -21,9 +21,9 @@ CLASSES = {
     "digit": "[0-9]+", "sentence": "[.,;:?'\"()-]+",
 }
 SYMBOLS = r"[#*$%&|<>]+"
-# A run of so many letters and digits is an identifier and weighs as one digit in the classes: whole, a
-# single key or digest would outweigh the prose of a short text.
-IDENTIFIER = "[0-9A-Za-z]{24,}"
+# A digit with so many letters and digits behind it is an identifier and weighs as one digit in the classes:
+# whole, a single key or digest would outweigh the prose of a short text.
+IDENTIFIER = "[0-9][0-9A-Za-z]{23,}"
 # Frequent words by language.
 COMMON_WORDS = {
     "en": ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "with", "was"),
