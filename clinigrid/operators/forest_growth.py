@@ -1,8 +1,8 @@
 """Random forests of many scenarios, folds and settings grown together, level by level.
 
-Every tree of every forest is a group of one table, so a level is one aggregate over all of
-them: rows are counted by tree, node, tried column and bin, the best split of each node is
-kept, and rows move on to its children. Which rows a tree has drawn and which columns a node
+Every tree of every forest is a group of one table, so a level is one pass over all of
+them: rows sorted by tree and node are counted by tried column and bin, the best split of each
+node is kept, and rows move on to its children. Which rows a tree has drawn and which columns a node
 tries are hashes, so nothing is drawn in the driver and any partitioning gives the same trees.
 
 Settings cost nothing of their own. A tree of a smaller depth, or one that asks for more gain
@@ -12,11 +12,15 @@ down, and every setting's prediction is read off that.
 
 from __future__ import annotations
 
+import sys
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from clinigrid.operators.forest import (
@@ -33,6 +37,13 @@ LABEL_STEPS = 1 << 30
 # Values of the Poisson distribution of mean 1, up to which it is drawn: beyond lies one draw in 10 million.
 POISSON_VALUES = 10
 NODE = ["model", "tree", "node"]
+# Trees dealt out together, and rows that a task of a level gets, about.
+TREE_BLOCK = 20
+ROWS_A_TASK = 100_000
+# Rows that are counted at once: few enough for a task's memory, and for exact sums of labels as doubles.
+ROWS_AT_ONCE = 4_000
+# Tasks get the function of a level by value: executors need not have the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @dataclass
@@ -65,14 +76,18 @@ def tried_columns(model, tree, node, columns: int, tried: int, seed: int) -> Col
     ranked = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: F.struct(
         F.xxhash64(F.lit(seed), F.lit("columns"), model, tree, node, c).alias("h"), c.alias("c")
     ))
-    return F.transform(F.slice(F.array_sort(ranked), 1, min(tried, columns)), lambda s: s["c"])
+    return F.transform(F.slice(F.sort_array(ranked), 1, min(tried, columns)), lambda s: s["c"])
+
+
+def _parts(rows: int) -> int:
+    return max(1, -(-rows // ROWS_A_TASK))
 
 
 def prepared(table: DataFrame, names: Sequence[str], settings: ForestSettings, by: str) -> DataFrame:
     """Stored rows (id, by, draw, y, label, train, fold, bins) of the complete rows of ``table``.
 
     ``y`` is the label as a whole number of steps of its scenario's range, ``bins`` how many
-    of a column's cuts lie below the value. Cuts are quantiles of the scenario's training rows.
+    of a column's cuts lie below the value, one byte a column. Cuts are quantiles of the scenario's training rows.
     """
     rows = materialise(table.dropna("any").select(
         F.monotonically_increasing_id().alias("id"), F.col(by),
@@ -89,10 +104,10 @@ def prepared(table: DataFrame, names: Sequence[str], settings: ForestSettings, b
     span = rows.groupBy(by).agg(F.min("label").alias("low"), F.max("label").alias("high"))
     known = cuts.join(span, by)
     y = F.round((F.col("label") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * LABEL_STEPS)
-    bins = F.transform("x", lambda v, c: F.size(F.filter(F.get("cuts", c), lambda k: k < v)).cast("tinyint"))
+    bins = F.transform("x", lambda v, c: F.lpad(F.hex(F.size(F.filter(F.get("cuts", c), lambda k: k < v))), 2, "0"))
     return materialise(rows.join(known, by).select(
         "id", by, "draw", "label", "train", "fold", "low", "high",
-        F.coalesce(y.cast("bigint"), F.lit(0).cast("bigint")).alias("y"), bins.alias("bins"),
+        F.coalesce(y.cast("bigint"), F.lit(0).cast("bigint")).alias("y"), F.unhex(F.array_join(bins, "")).alias("bins"),
     ), "forest-rows")
 
 
@@ -113,8 +128,15 @@ def model_table(rows: DataFrame, settings: ForestSettings, by: str) -> DataFrame
     return literal_table(rows.sparkSession, [(i, *p) for i, p in enumerate(pairs)], f"model int, {by} {kind}, of_fold int")
 
 
-def dealt(rows: DataFrame, models: DataFrame, settings: ForestSettings, by: str) -> DataFrame:
-    """(NODE, id, w, y, bins, held, floor): rows at the roots of all trees, as often as each has drawn them.
+def tried_at(node: Column, columns: int, settings: ForestSettings) -> Column:
+    """The columns that a node of a level tries, in ascending order."""
+    return F.sort_array(
+        tried_columns(F.col("model"), F.col("tree"), node, columns, settings.columns_per_split, settings.seed)
+    )
+
+
+def dealt(rows: DataFrame, models: DataFrame, columns: int, settings: ForestSettings, by: str) -> DataFrame:
+    """(NODE, id, w, y, bins, held, floor, tried): rows at the roots of all trees, as often as each has drawn them.
 
     A model's own held-out rows come along with weight 0: the rows of its fold, or the
     test rows for the model of all training rows.
@@ -123,63 +145,101 @@ def dealt(rows: DataFrame, models: DataFrame, settings: ForestSettings, by: str)
     held = F.when(of_fold == WHOLE, ~F.col("train")).otherwise(F.col("train") & (of_fold == F.col("fold")))
     learned = F.col("train") & (F.col("fold") != of_fold)
     placed = rows.join(F.broadcast(models), by).withColumn("held", held).where(held | learned)
-    trees = placed.select(
-        "model", F.explode(F.sequence(F.lit(0), F.lit(settings.trees - 1))).alias("tree"),
-        "id", "draw", "y", "bins", "held",
-    )
+    # Few rows become very many, so blocks of trees are dealt to tasks first.
+    blocks = F.sequence(F.lit(0), F.lit(settings.trees - 1), F.lit(TREE_BLOCK))
+    last = F.least(F.col("block") + TREE_BLOCK, F.lit(settings.trees)) - 1
+    parts = _parts(placed.count() * settings.trees)
+    root = F.lit(1).cast("bigint")
+    roots = models.select("model", F.explode(blocks).alias("block")).repartition(parts, "model", "block").select(
+        "model", F.explode(F.sequence(F.col("block"), last)).alias("tree")
+    ).select("model", "tree", tried_at(root, columns, settings).alias("tried"))
+    trees = placed.select("model", F.explode(blocks).alias("block"), "id", "draw", "y", "bins", "held").repartition(
+        parts, "model", "block"
+    ).select("model", F.explode(F.sequence(F.col("block"), last)).alias("tree"), "id", "draw", "y", "bins", "held")
     w = F.when(F.col("held"), 0).otherwise(bag_weight(F.col("draw"), F.col("model"), F.col("tree"), settings.seed))
-    return trees.withColumn("w", w).where("held or w > 0").select(
-        "model", "tree", F.lit(1).cast("bigint").alias("node"), "id", "w", "y", "bins", "held",
-        F.lit(float("inf")).alias("floor"),
+    return trees.withColumn("w", w).where("held or w > 0").join(roots, ["model", "tree"]).select(
+        "model", "tree", root.alias("node"), "id", "w", "y", "bins", "held", F.lit(float("inf")).alias("floor"), "tried",
     )
 
 
-def best_splits(at: DataFrame, columns: int, settings: ForestSettings, depth: int) -> DataFrame:
-    """The nodes of a level: NODE, depth, weight, total, floor, and the best split's column, bin and gain.
+def _split_sorted(batches: Iterator[pa.RecordBatch], columns: int, tried: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """One row per node from rows sorted by node: NODE, weight, total, floor, c, bin, gain, left.
+
+    Rows are counted by tried column and bin a batch at a time. The counts of a batch's
+    last node go on to the next batch, so a node may have any number of rows.
+    """
+    def told(key, floor, weight, total, cols, counts):
+        wl, sl = counts.cumsum(axis=3)
+        whole, full = weight[:, None, None], total[:, None, None]
+
+        def part(s, w):
+            s = s.astype("f8")
+            return s * s / w
+
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = (part(sl, wl) + part(full - sl, whole - wl) - part(full, whole)) / whole
+        gain = np.where((wl >= MIN_NODE) & (whole - wl >= MIN_NODE) & (gain > 0), gain, 0.0)
+        gain = gain.reshape(len(key), -1)
+        # Of equal gains the first column and bin win: bins that no row has come after the one they equal.
+        best = gain.argmax(axis=1)
+        at = np.arange(len(key))
+        none = (gain[at, best] <= 0) | last
+        return pa.RecordBatch.from_arrays([
+            pa.array(key[:, 0].astype("i4")), pa.array(key[:, 1].astype("i4")), pa.array(key[:, 2]),
+            pa.array(weight), pa.array(total), pa.array(floor), pa.array(cols[at, best // BINS].astype("i4"), mask=none),
+            pa.array((best % BINS).astype("i4"), mask=none), pa.array(gain[at, best], mask=none),
+            pa.array(wl.reshape(len(key), -1)[at, best], mask=none),
+        ], names=[*NODE, "weight", "total", "floor", "c", "bin", "gain", "left"])
+
+    held = None
+    pieces = (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE))
+    for b in pieces:
+        n = b.num_rows
+        key = np.stack([b.column(c).to_numpy().astype("i8") for c in NODE], axis=1)
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        node = np.repeat(np.arange(len(first)), np.diff(np.r_[first, n]))
+        w, s = b.column("w").to_numpy().astype("i8"), b.column("s").to_numpy()
+        floor = b.column("floor").to_numpy()[first]
+        bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), "u1").reshape(n, columns)
+        cols = np.array(b.column("tried").take(pa.array(first)).to_pylist(), "i8").reshape(len(first), tried)
+        cell = ((node * tried)[:, None] + np.arange(tried)) * BINS + bins[np.arange(n)[:, None], cols[node]]
+        counts = np.stack([
+            np.bincount(cell.ravel(), np.repeat(v, tried).astype("f8"), len(first) * tried * BINS).astype("i8")
+            for v in (w, s)
+        ]).reshape(2, len(first), tried, BINS)
+        weight, total = np.add.reduceat(w, first), np.add.reduceat(s, first)
+        now = [key[first], floor, weight, total, cols]
+        if held is not None:
+            if (held[0][0] == now[0][0]).all():
+                weight[0] += held[2][0]
+                total[0] += held[3][0]
+                counts[:, 0] += held[5][:, 0]
+            else:
+                yield told(*held)
+        if len(first) > 1:
+            yield told(*[x[:-1] for x in now], counts[:, :-1])
+        held = [*[x[-1:].copy() for x in now], counts[:, -1:].copy()]
+    if held is not None:
+        yield told(*held)
+
+
+def best_splits(at: DataFrame, columns: int, settings: ForestSettings, depth: int, parts: int) -> DataFrame:
+    """The nodes of a level: NODE, depth, weight, total, floor, the best split's column, bin and gain, and its left weight.
 
     A split leaves MIN_NODE draws on either side and lowers the variance; of equal gains
-    the first column and bin win. ``floor`` is the least gain on the way to the node. All
-    keys start with model and tree, by which the rows are dealt, so a level shuffles once.
+    the first column and bin win. ``floor`` is the least gain on the way to the node.
     """
-    key = [F.col(c) for c in NODE]
-    totals = at.groupBy(*NODE).agg(
-        F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("y")).alias("total"), F.min("floor").alias("floor")
-    )
-    if depth >= MAX_DEPTH:
-        return totals.select(
-            *NODE, F.lit(depth).alias("depth"), "weight", "total", "floor",
-            F.lit(None).cast("int").alias("c"), F.lit(None).cast("int").alias("bin"), F.lit(None).cast("double").alias("gain"),
-        )
-    open_nodes = totals.where(F.col("weight") >= 2 * MIN_NODE).select(
-        *NODE, "weight", "total",
-        tried_columns(*key, columns, settings.columns_per_split, settings.seed).alias("tried"),
-    )
-    seen = at.where("w > 0").join(open_nodes, NODE).select(
-        *NODE, "weight", "total", "w", "y", "bins", F.explode("tried").alias("c")
-    )
-    counted = seen.groupBy(*NODE, "weight", "total", "c", F.get("bins", F.col("c")).alias("bin")).agg(
-        F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("s")
-    )
-    along = Window.partitionBy(*NODE, "c").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    left = counted.select(
-        *NODE, "weight", "total", "c", "bin", F.sum("w").over(along).alias("wl"), F.sum("s").over(along).alias("sl")
-    ).where((F.col("wl") >= MIN_NODE) & (F.col("weight") - F.col("wl") >= MIN_NODE))
-
-    def part(s, w):
-        return s.cast("double") * s / w
-
-    gain = (
-        part(F.col("sl"), F.col("wl")) + part(F.col("total") - F.col("sl"), F.col("weight") - F.col("wl"))
-        - part(F.col("total"), F.col("weight"))
-    ) / F.col("weight")
-    best = left.withColumn("gain", gain).where("gain > 0").groupBy(*NODE).agg(
-        F.max(F.struct("gain", (-F.col("c")).alias("c"), (-F.col("bin")).alias("bin"))).alias("best")
-    )
-    return totals.join(best, NODE, "left").select(
-        *NODE, F.lit(depth).alias("depth"), "weight", "total", "floor",
-        (-F.col("best.c")).cast("int").alias("c"), (-F.col("best.bin")).cast("int").alias("bin"),
-        F.col("best.gain").alias("gain"),
-    )
+    tried, last = min(settings.columns_per_split, columns), depth >= MAX_DEPTH
+
+    def split(batches):
+        return _split_sorted(batches, columns, tried, last)
+
+    rows = at.select(*NODE, "w", (F.col("w") * F.col("y")).alias("s"), "floor", "bins", "tried")
+    return rows.repartition(parts, "model", "tree").sortWithinPartitions(*NODE).mapInArrow(
+        split,
+        "model int, tree int, node bigint, weight bigint, total bigint, floor double, c int, bin int, gain double, "
+        "`left` bigint",
+    ).withColumn("depth", F.lit(depth))
 
 
 def grid_table(spark, settings: ForestSettings) -> DataFrame:
@@ -208,16 +268,20 @@ def grow(table: DataFrame, settings: ForestSettings, by: str = "scenario") -> Gr
     # One row a model, so its size is bounded by the settings.
     scales = F.broadcast(materialise(scales, "forest-scales"))
 
-    at, held = write_stage(dealt(rows, models, settings, by), "forest-level")
+    columns = len(names)
+    seen_rows = Observation()
+    at, held = write_stage(
+        dealt(rows, models, columns, settings, by).observe(seen_rows, F.count(F.lit(1)).alias("n")), "forest-level"
+    )
     nodes, visits = None, None
     for depth in range(MAX_DEPTH + 1):
-        split = materialise(best_splits(at.repartition("model", "tree"), len(names), settings, depth), "forest-nodes")
-        here = split.join(scales, "model").select(
-            *NODE, "depth", "weight", "floor", "c", "bin", (F.col("gain") * F.col("unit") * F.col("unit")).alias("gain"),
-            (F.col("low") + F.try_divide("total", "weight") * F.col("unit")).alias("value"),
-        )
+        parts = _parts(seen_rows.get["n"])
         # Floors are carried in the label's unit.
-        here = materialise(here, "forest-nodes")
+        split = materialise(best_splits(at, columns, settings, depth, parts).join(scales, "model").select(
+            *NODE, "depth", "weight", "floor", "c", "bin", (F.col("gain") * F.col("unit") * F.col("unit")).alias("gain"),
+            (F.col("low") + F.try_divide("total", "weight") * F.col("unit")).alias("value"), "left",
+        ), "forest-nodes")
+        here = split.drop("left")
         nodes = here if nodes is None else nodes.unionByName(here)
         seen = at.where("held").select(*NODE, "id").join(
             here.select(*NODE, "depth", "floor", "gain", "value"), NODE
@@ -225,15 +289,26 @@ def grow(table: DataFrame, settings: ForestSettings, by: str = "scenario") -> Gr
         # What held-out rows pass on a level, folded over trees: no row a tree is kept.
         passed = materialise(_stops(seen, grid_table(spark, settings)), "forest-passed")
         visits = passed if visits is None else visits.unionByName(passed)
-        right = (F.get("bins", F.col("c")) > F.col("bin")).cast("int")
-        parted = at.drop("floor").join(here.where("gain is not null").select(*NODE, "c", "bin", "gain", "floor"), NODE)
-        at, fresh = write_stage(parted.select(
-            "model", "tree", (F.col("node") * 2 + right).alias("node"), "id", "w", "y", "bins", "held",
-            F.least("floor", "gain").alias("floor"),
-        ), "forest-level")
+        right = (F.ascii(F.expr("cast(substring(bins, c + 1, 1) as string)")) > F.col("bin")).cast("int")
+        # Children too light to be split try nothing: their first columns stand in.
+        nothing = F.sequence(F.lit(0), F.lit(min(settings.columns_per_split, columns) - 1))
+
+        def tried(side, weight):
+            return F.when(weight >= 2 * MIN_NODE, tried_at(F.col("node") * 2 + side, columns, settings)).otherwise(nothing)
+
+        parents = split.where("gain is not null").select(
+            *NODE, "c", "bin", "gain", F.col("floor").alias("above"),
+            tried(0, F.col("left")).alias("tried0"), tried(1, F.col("weight") - F.col("left")).alias("tried1"),
+        )
+        seen_rows = Observation()
+        at, fresh = write_stage(at.drop("tried").join(parents, NODE).withColumn("right", right).select(
+            "model", "tree", (F.col("node") * 2 + F.col("right")).alias("node"), "id", "w", "y", "bins", "held",
+            F.least("above", "gain").alias("floor"),
+            F.when(F.col("right") == 0, F.col("tried0")).otherwise(F.col("tried1")).alias("tried"),
+        ).observe(seen_rows, F.count(F.lit(1)).alias("n")), "forest-level")
         drop_stage(spark, held)
         held = fresh
-        if not at.take(1):
+        if not seen_rows.get["n"]:
             break
     predictions = materialise(visits.groupBy("model", "id", "config").agg(
         (F.sum("s") / F.sum("n")).alias("prediction")

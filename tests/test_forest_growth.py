@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,40 @@ def test_growth_does_not_depend_on_partitions(table, grown):
     assert a == pytest.approx(b)
 
 
+def test_a_node_may_lie_in_several_batches():
+    """Counts of a batch's last node go on to the next, so cuts between batches change nothing."""
+    draw, columns, tried = random.Random(9), 4, [0, 2, 3]
+    rows = [(0, t, n, draw.choice([0, 1, 1, 2]), draw.randrange(1 << 30)) for t in range(3) for n in (2, 3, 9)
+            for _ in range(draw.choice([1, 8, 60]))]
+    batch = pa.table({
+        "model": pa.array([r[0] for r in rows], "int32"), "tree": pa.array([r[1] for r in rows], "int32"),
+        "node": pa.array([r[2] for r in rows], "int64"), "w": pa.array([r[3] for r in rows], "int32"),
+        "s": pa.array([r[3] * r[4] for r in rows], "int64"), "floor": pa.array([1.0] * len(rows)),
+        "bins": pa.array([bytes(draw.randrange(growth.BINS) for _ in range(columns)) for _ in rows]),
+        "tried": pa.array([tried] * len(rows), pa.list_(pa.int32())),
+    }).to_batches()[0]
+
+    def found(size):
+        pieces = [batch.slice(i, size) for i in range(0, len(rows), size)]
+        return [r for b in growth._split_sorted(iter(pieces), columns, len(tried), False) for r in b.to_pylist()]
+
+    whole = found(len(rows))
+    assert len(whole) == 9 and any(r["c"] is not None for r in whole) and any(r["c"] is None for r in whole)
+    assert found(1) == found(7) == whole
+
+
+def test_a_level_is_dealt_to_tasks_by_its_rows(table, monkeypatch):
+    """Rows that pack well are few bytes, by which Spark alone would give all of them to one task."""
+    monkeypatch.setattr(growth, "ROWS_A_TASK", 100)
+    named = table.withColumn("scenario", F.lit("A"))
+    rows = growth.prepared(named, ["a", "b", "c", "d"], SETTINGS, "scenario")
+    at = growth.dealt(rows, growth.model_table(rows, SETTINGS, "scenario"), 4, SETTINGS, "scenario")
+    assert at.select("model", "tree", "id").distinct().count() == at.count() > 1000
+    best = growth.best_splits(at, 4, SETTINGS, 0, growth._parts(at.count()))
+    assert best.rdd.getNumPartitions() > 10
+    assert best.count() == at.select("model", "tree").distinct().count()
+
+
 def test_few_rows_are_refused(table):
     with pytest.raises(ValueError):
         growth.grow_scenarios(table.where("CVEGEO = '0001'"), {"A": ("03_ola_2",)}, SETTINGS)
