@@ -22,6 +22,9 @@ WEIGHT_UNIT = 1e-9
 WEIGHT_TYPE = "decimal(28,0)"
 # Fixed value: runs of which the best is kept.
 TRIALS = 100
+# Drawn edges that a task of the start gets, about, and weights of a vertex that plain whole numbers hold.
+EDGES_A_TASK = 1_000_000
+PLAIN_WEIGHT = 1 << 62
 # Every so many rounds the trials that are over are put aside; their numbers are bounded by TRIALS.
 ASIDE = 5
 # Every so many rounds a smaller share of the vertices moves at once.
@@ -188,6 +191,13 @@ def _weighted_ends(graph: DataFrame) -> DataFrame:
     return graph.where(F.col("weight").isNotNull()).select(F.inline(ends))
 
 
+def _plain_weights(ends: DataFrame) -> DataFrame:
+    """``ends`` with weights as plain whole numbers, unless a vertex has more weight than those hold."""
+    most = ends.groupBy("v").agg(F.sum("w").alias("w")).agg(F.max("w")).first()[0]
+    held = most is None or most < PLAIN_WEIGHT
+    return ends.withColumn("w", F.col("w").cast("bigint")) if held else ends
+
+
 def label_round(
     ends: DataFrame, labels: DataFrame, hot: DataFrame | None, keep_current: bool
 ) -> DataFrame:
@@ -327,7 +337,10 @@ def heaviest_start(ends: DataFrame, trials: int, seed: int = 725) -> DataFrame:
     edge = [F.least("v", "u").alias("lo"), F.greatest("v", "u").alias("hi")]
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("trial"), F.least("v", "u"), F.greatest("v", "u")), F.lit(1 << 20)) / float(1 << 20)
     score = F.col("w").cast("double") * F.when(F.col("trial") == 0, 1.0).otherwise(drawn + 0.5)
-    chosen = ends.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).groupBy("trial", "v").agg(
+    # A small table becomes many rows, so it is dealt to tasks first.
+    parts = max(1, -(-ends.count() * trials // EDGES_A_TASK))
+    dealt = ends.repartition(parts, "v", "u")
+    chosen = dealt.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).groupBy("trial", "v").agg(
         F.max(F.struct(score.alias("score"), drawn.alias("drawn"), *edge)).alias("e")
     ).select("trial", F.col("v").alias("id"), F.when(F.col("e.lo") == F.col("v"), F.col("e.hi")).otherwise(F.col("e.lo")).alias("next"))
     chosen, held = write_stage(chosen, "start")
@@ -364,7 +377,8 @@ def settled_labels(
     later rounds read the labels of the rest alone.
     """
     spark = graph.sparkSession
-    ends = materialise(_weighted_ends(graph), "ends")
+    ends = _plain_weights(materialise(_weighted_ends(graph), "ends"))
+    kind = ends.schema["w"].dataType.simpleString()
     # A vertex tells its neighbours that it wants to move, and itself.
     ids = ends.select("v").distinct()
     told = materialise(ends.select("v", "u").where("v <> u").unionByName(ids.withColumn("u", F.col("v"))), "told")
@@ -380,7 +394,7 @@ def settled_labels(
         votes = frontier.select("trial", "id").join(ends.select(F.col("v").alias("id"), "u", "w"), "id").join(
             labels, ["trial", "u"]
         ).selectExpr("trial", "id", "label", "w", "0 AS own")
-        current = frontier.selectExpr("trial", "id", "label", f"CAST(0 AS {WEIGHT_TYPE}) AS w", "1 AS own")
+        current = frontier.selectExpr("trial", "id", "label", f"CAST(0 AS {kind}) AS w", "1 AS own")
         turn = F.xxhash64("id", "trial", F.lit(number), F.lit(seed))
         restless = _wanted(votes.unionByName(current), keep_current=True).where("wanted <> label").select(
             "trial", F.col("id").alias("v"), "wanted", F.struct(turn.alias("turn"), "id").alias("turn")

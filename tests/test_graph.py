@@ -295,3 +295,28 @@ def test_a_limit_before_the_frontier_is_empty_is_an_error(spark):
     df = spark.createDataFrame(random_graph(4, 80, 0.2), "src int, dst int, weight double")
     with pytest.raises(graph.NotSettled):
         graph.settled_labels(df, max_iter=1)
+
+
+def test_plain_weights_where_they_hold(spark):
+    """Labels are the same with plain weights as with the wide ones that large weights keep."""
+    edges = [(a, b, draw) for a, b, draw in random_graph(5) if draw in (0.5, 1.0, 2.0)]
+    df = spark.createDataFrame(edges, "src int, dst int, weight double")
+    heavy = df.withColumn("weight", F.col("weight") * 1e12)
+    kinds = [graph._plain_weights(graph._weighted_ends(g)).schema["w"].dataType.simpleString() for g in (df, heavy)]
+    assert kinds == ["bigint", graph.WEIGHT_TYPE]
+    found = [{tuple(r) for r in graph.settled_labels(g, trials=2).collect()} for g in (df, heavy)]
+    assert found[0] == found[1]
+
+
+def test_the_start_is_dealt_to_tasks_by_its_drawn_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph, "EDGES_A_TASK", 100)
+    ends = graph._weighted_ends(spark.createDataFrame(random_graph(1), "src int, dst int, weight double").coalesce(1))
+    plans, write = [], graph.write_stage
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(graph, "write_stage", seen)
+    graph.heaviest_start(ends, 3)
+    assert f", {-(-ends.count() * 3 // 100)}" in next(x for x in plans[0].splitlines() if "RepartitionByExpression" in x)
