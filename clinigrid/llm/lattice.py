@@ -5,7 +5,8 @@ neighbours, merged by themselves, stay those two. So a step from one piece to th
 0 where they are compatible and minus infinity where they are not, and the best way through
 the lattice is the encoding; there is one only.
 
-Ordinary texts are cut in front of spaces, which no piece crosses, and words are remembered.
+Ordinary texts are cut where no piece crosses, in front of spaces and between signs that no
+piece holds side by side, and the runs in between are remembered.
 Giant texts are cut into chunks anywhere. The state at a cut is the piece that lies across it
 or ends at it. Every chunk yields the matrix of steps from the states at its start to those at
 its end, an associative scan of the matrices gives the state at every cut, and each chunk is
@@ -14,23 +15,45 @@ traced back on its own.
 
 from __future__ import annotations
 
+import re
+from array import array
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinigrid.llm.common import append, emit, pack, ship
 from clinigrid.llm.merges import APART, Merges, merge_vocabulary
-from clinigrid.llm.pieces import CHUNK_CHARS, END, GIANT_CHARS, MODEL_PATH, SPACE, id_lists, model_bytes
+from clinigrid.llm.pieces import (
+    CACHED_CHARS, CACHED_WORDS, CHUNK_CHARS, GIANT_CHARS, MODEL_PATH, SPACE, id_lists, model_bytes,
+)
 from clinigrid.session import materialise
 
-# Pairs of pieces whose compatibility a task remembers: some 15 MB.
-KEPT_PAIRS = 100_000
+# Pairs of pieces whose compatibility a task remembers: some 15 MB by their texts, some 40 MB by their numbers.
+KEPT_PAIRS, KEPT_NUMBERS = 100_000, 400_000
 # Matrices whose products are held at once.
 BLOCK = 256
 # The state in front of a text.
 START = (-1, -1)
 
 
+class Runs(dict):
+    """Packed ids by run, made when first asked for; in two generations, as words in ``Words``."""
+
+    def __init__(self, lattice: Lattice, older: dict[str, bytes]):
+        super().__init__()
+        self.lattice, self.older = lattice, older
+
+    def __missing__(self, run: str) -> bytes:
+        found = self.older.get(run)
+        if found is None:
+            found = array("i", self.lattice.path(run.replace(" ", SPACE))[1]).tobytes()
+            if len(run) > CACHED_CHARS:
+                return found
+        self[run] = found
+        return found
+
+
 class Lattice(Merges):
     """A vocabulary with the compatibility of its pieces; single characters without a piece count as pieces."""
 
@@ -41,6 +64,59 @@ class Lattice(Merges):
         self.edges: dict[str, tuple[list, list]] = {}
         # Pieces whose merges do not come in the order of their ranks.
         self.unordered: set[str] = set()
+        # Pieces by number: their ids, then numbers for characters that only longer pieces hold.
+        self.known_ids = 1 + max((i for _, i in self.pieces.values()), default=-1)
+        self.names = [""] * self.known_ids
+        for piece, (_, i) in self.pieces.items():
+            self.names[i] = piece
+        self.names += sorted({c for p in self.pieces for c in p}.difference(self.pieces))
+        self.shift = len(self.names).bit_length()
+        # Per pair of numbers, left << shift | right, whether they stay.
+        self.numbers: dict[int, bool] = {}
+        # What may follow a beginning: [number of the piece so far or None, what may follow that] by character.
+        self.tree: dict[str, list] = {}
+        for number, piece in enumerate(self.names):
+            after, node = self.tree, None
+            for c in piece:
+                node = after.setdefault(c, [None, {}])
+                after = node[1]
+            if node:
+                node[0] = number
+        self.runs_of = re.compile(self.run_pattern()).findall
+        self.runs = Runs(self, {})
+
+    def run_pattern(self) -> str:
+        """Runs of characters that pieces hold side by side, by one step or several, with the spaces in front.
+
+        No piece crosses from one run to the next.
+        """
+        lead: dict[str, str] = {}
+
+        def first(c):
+            while lead.setdefault(c, c) != c:
+                lead[c] = lead[lead[c]]
+                c = lead[c]
+            return c
+
+        for a, b in self.inside:
+            if a != SPACE:
+                lead[first(a)] = first(b)
+        groups: dict[str, list[str]] = {}
+        for c in sorted(lead):
+            groups.setdefault(first(c), []).append(re.escape(c))
+        signs = sorted(map("".join, groups.values()), key=len, reverse=True)
+        return "|".join([*(f" *[{s}]+" for s in signs), f" *[^ {''.join(signs)}]+", " +"])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed 32-bit ids of texts whose spaces are still spaces and that start at a cut."""
+        out = []
+        for text in texts:
+            if len(self.runs) > CACHED_WORDS:
+                self.runs = Runs(self, dict(self.runs))
+            if SPACE in text:
+                text = text.replace(SPACE, " ")
+            out.append(b"".join(map(self.runs.__getitem__, self.runs_of(text))))
+        return out
 
     def edge(self, piece: str) -> tuple[list, list]:
         """What lies at a piece's right and left end while it is merged: (text, rank of the merge that ends it)."""
@@ -101,44 +177,61 @@ class Lattice(Merges):
         found = self.pieces.get(piece)
         return [found[1]] if found else [self.byte_ids[b] for b in piece.encode()]
 
+    def stays(self, pair: int) -> bool:
+        """``compatible`` by the pair's numbers."""
+        if len(self.numbers) >= KEPT_NUMBERS:
+            self.numbers.clear()
+        left, right = self.names[pair >> self.shift], self.names[pair & (1 << self.shift) - 1]
+        found = self.numbers[pair] = left[-1] + right[0] not in self.inside or self.stay(left, right)
+        return found
+
     def path(self, text: str) -> tuple[None, list[int]]:
         """The ids of a text that has spaces as in the vocabulary and starts at a cut.
 
         Longest pieces are tried first. The beginning of a text up to any place has one
         way, so a place from which no piece goes on is never tried again.
         """
-        size, get, fits = len(text), self.table.get, self.compatible
+        size, tree, longest, shift, known = len(text), self.tree, self.longest, self.shift, self.numbers.get
         dead = bytearray(size + 1)
-        # Per piece set: where it starts, itself, and the ends of shorter ones that start there.
-        way: list[tuple[int, str, list[int]]] = []
-        at, ends = 0, None
+        # Per piece set: where it starts, its number, and the shorter ones that start there, by end and number.
+        way: list[tuple[int, int, list[tuple[int, int]]]] = []
+        # A character that no piece holds has a number below 0; no merge crosses its edges.
+        at, before, ends = 0, -1, None
         while at < size:
             if ends is None:
-                ends, end = [at + 1], at + 1
-                found = get(text[at], END)
-                while found is not END and end < size:
+                ends, end, after = [], at, tree
+                for c in text[at:at + longest]:
+                    node = after.get(c)
+                    if node is None:
+                        break
                     end += 1
-                    found = get(text[at:end], END)
-                    if found:
-                        ends.append(end)
-            before = way[-1][1] if way else None
+                    number, after = node
+                    if number is not None:
+                        ends.append((end, number))
+                if not ends:
+                    ends.append((at + 1, -1 - ord(text[at])))
             while ends:
-                end = ends.pop()
-                piece = text[at:end]
-                if not dead[end] and (before is None or fits(before, piece)):
-                    way.append((at, piece, ends))
-                    at, ends = end, None
-                    break
+                end, number = ends.pop()
+                if dead[end]:
+                    continue
+                if before >= 0 and number >= 0:
+                    pair = before << shift | number
+                    stays = known(pair)
+                    if not (self.stays(pair) if stays is None else stays):
+                        continue
+                way.append((at, number, ends))
+                at, before, ends = end, number, None
+                break
             else:
                 dead[at] = 1
                 at, _, ends = way.pop()
-        ids, known = [], self.pieces.get
-        for _, piece, _ in way:
-            found = known(piece)
-            if found:
-                ids.append(found[1])
+                before = way[-1][1] if way else -1
+        ids, known_ids = [], self.known_ids
+        for _, number, _ in way:
+            if 0 <= number < known_ids:
+                ids.append(number)
             else:
-                ids += self.id_of(piece)
+                ids += self.id_of(chr(-1 - number) if number < 0 else self.names[number])
         return None, ids
 
     def across(self, part: str, cut: int) -> list[tuple[int, int]]:

@@ -208,10 +208,6 @@ class Pieces:
             out.append(self.inner[self.cuts].join(ids))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        data = b"".join(map(self.surface.__getitem__, ids))
-        return data.removeprefix(b" ").decode(errors="replace")
-
     def transfer(self, text: str, own: int) -> np.ndarray:
         """Best scores from a piece that reaches i characters in to one that reaches j out."""
         m = self.longest
@@ -389,13 +385,18 @@ def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
     model = encoded.sparkSession.sparkContext.broadcast(vocabulary(model_bytes(model_path)))
 
     def start():
-        pieces = Pieces(model.value)
+        surface = pa.array(model.value[2], pa.binary())
 
         def step(batch):
             lists = batch.column("ids")
-            flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
-            ends = np.cumsum(np.array(lists.value_lengths().fill_null(0))).tolist()
-            return [[pieces.decode(flat[a:b]) for a, b in zip([0, *ends], ends)]]
+            found = surface.take(lists.flatten())
+            ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])
+            if not len(found):
+                return [[""] * len(lists)]
+            _, offsets, data = found.buffers()
+            places = np.frombuffer(offsets, "<i4", len(found) + 1, 4 * found.offset)[ends].tolist()
+            data = data.to_pybytes() if data else b""
+            return [[data[a:b].removeprefix(b" ").decode(errors="replace") for a, b in zip(places, places[1:])]]
 
         return step
 

@@ -112,3 +112,35 @@ def test_a_model_that_changes_texts_is_refused():
     model.normalizer_spec.remove_extra_whitespaces = True
     with pytest.raises(ValueError, match="changes texts"):
         merges.merge_vocabulary(model.SerializeToString())
+
+
+def test_a_run_beside_any_sign_is_encoded_once(known, library, monkeypatch):
+    model, asked, path = lattice.Lattice(known), [], lattice.Lattice.path
+
+    def told(self, text):
+        asked.append(text)
+        return path(self, text)
+
+    monkeypatch.setattr(lattice.Lattice, "path", told)
+    text = "a river river, river. river; river) river\n"
+    assert np.frombuffer(model.encode([" " + text])[0], "<i4").tolist() == library.encode(text)
+    assert sum("river" in t for t in asked) == 1
+
+
+def test_runs_of_many_scripts_end_where_no_piece_crosses(known):
+    model, plain = lattice.Lattice(known), merges.Merges(known)
+    rng = random.Random(7)
+    signs = ["the", "ing", "É", "²", ".", "..", "--", ",", "\n", "\t", "фи", "据数", "个", "ل", "😀", "[", "]", "^", "\\", "7", " ", "  ", "▁", "\0"]
+    for _ in range(400):
+        text = " " + "".join(rng.choices(signs, k=rng.randint(0, 40)))
+        assert model.encode([text])[0] == plain.encode([text])[0]
+
+
+def test_a_character_that_only_longer_pieces_hold(known):
+    found, *rest = known
+    fewer = ({p: v for p, v in found.items() if p not in ("e", "h", "▁")}, *rest)
+    model, plain = lattice.Lattice(fewer), merges.Merges(fewer)
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choices("▁▁theingandoun😀éß", k=rng.randint(1, 40)))
+        assert model.path(text) == plain.path(text)
