@@ -15,13 +15,17 @@ from __future__ import annotations
 import sys
 import time
 from collections.abc import Iterator, Mapping, Sequence
+from contextvars import copy_context
 from dataclasses import dataclass
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from clinigrid.operators.forest import (
     MAX_DEPTH, MIN_NODE, UNTUNED, ForestSettings, fold_number, split_flag, summarise_folds,
@@ -61,7 +65,16 @@ class Growth:
 
 def bag_weight(draw, model, tree, seed: int) -> Column:
     """How often a tree has drawn a row: Poisson with mean 1, by the hash of both."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.lit("bag"), draw, model, tree), F.lit(1 << 53)) / float(1 << 53)
+    return times_drawn(bag_hash(draw, model, tree, seed))
+
+
+def bag_hash(draw, model, tree, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.lit("bag"), draw, model, tree)
+
+
+def times_drawn(hashed: Column) -> Column:
+    """The weight that a hash stands for; it is compared often, so it should be a column already."""
+    u = F.pmod(hashed, F.lit(1 << 53)) / float(1 << 53)
     below, term = 0.0, 2.718281828459045 ** -1
     steps = []
     for k in range(POISSON_VALUES):
@@ -153,10 +166,14 @@ def dealt(rows: DataFrame, models: DataFrame, columns: int, settings: ForestSett
     roots = models.select("model", F.explode(blocks).alias("block")).repartition(parts, "model", "block").select(
         "model", F.explode(F.sequence(F.col("block"), last)).alias("tree")
     ).select("model", "tree", tried_at(root, columns, settings).alias("tried"))
+    # The hash comes out of the same generator as the tree: a plain expression would be worked out at every comparison.
+    drawn = F.transform(F.sequence(F.col("block"), last), lambda t: F.struct(
+        t.alias("tree"), bag_hash(F.col("draw"), F.col("model"), t, settings.seed).alias("hashed")
+    ))
     trees = placed.select("model", F.explode(blocks).alias("block"), "id", "draw", "y", "bins", "held").repartition(
         parts, "model", "block"
-    ).select("model", F.explode(F.sequence(F.col("block"), last)).alias("tree"), "id", "draw", "y", "bins", "held")
-    w = F.when(F.col("held"), 0).otherwise(bag_weight(F.col("draw"), F.col("model"), F.col("tree"), settings.seed))
+    ).select("model", F.inline(drawn), "id", "y", "bins", "held")
+    w = F.when(F.col("held"), 0).otherwise(times_drawn(F.col("hashed")))
     return trees.withColumn("w", w).where("held or w > 0").join(roots, ["model", "tree"]).select(
         "model", "tree", root.alias("node"), "id", "w", "y", "bins", "held", F.lit(float("inf")).alias("floor"), "tried",
     )
@@ -274,6 +291,7 @@ def grow(table: DataFrame, settings: ForestSettings, by: str = "scenario") -> Gr
         dealt(rows, models, columns, settings, by).observe(seen_rows, F.count(F.lit(1)).alias("n")), "forest-level"
     )
     nodes, visits = None, None
+    pool = ThreadPool(1)
     for depth in range(MAX_DEPTH + 1):
         parts = _parts(seen_rows.get["n"])
         # Floors are carried in the label's unit.
@@ -287,8 +305,10 @@ def grow(table: DataFrame, settings: ForestSettings, by: str = "scenario") -> Gr
             here.select(*NODE, "depth", "floor", "gain", "value"), NODE
         ).select("model", "id", "depth", "floor", "gain", "value")
         # What held-out rows pass on a level, folded over trees: no row a tree is kept.
-        passed = materialise(_stops(seen, grid_table(spark, settings)), "forest-passed")
-        visits = passed if visits is None else visits.unionByName(passed)
+        # Nothing on the way down needs it, so it runs beside the move to the next level.
+        passed = pool.apply_async(inheritable_thread_target(spark)(partial(
+            copy_context().run, materialise, _stops(seen, grid_table(spark, settings)), "forest-passed"
+        )))
         right = (F.ascii(F.expr("cast(substring(bins, c + 1, 1) as string)")) > F.col("bin")).cast("int")
         # Children too light to be split try nothing: their first columns stand in.
         nothing = F.sequence(F.lit(0), F.lit(min(settings.columns_per_split, columns) - 1))
@@ -306,10 +326,13 @@ def grow(table: DataFrame, settings: ForestSettings, by: str = "scenario") -> Gr
             F.least("above", "gain").alias("floor"),
             F.when(F.col("right") == 0, F.col("tried0")).otherwise(F.col("tried1")).alias("tried"),
         ).observe(seen_rows, F.count(F.lit(1)).alias("n")), "forest-level")
+        passed = passed.get()
+        visits = passed if visits is None else visits.unionByName(passed)
         drop_stage(spark, held)
         held = fresh
         if not seen_rows.get["n"]:
             break
+    pool.close()
     predictions = materialise(visits.groupBy("model", "id", "config").agg(
         (F.sum("s") / F.sum("n")).alias("prediction")
     ), "forest-predictions")

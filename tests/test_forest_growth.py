@@ -1,6 +1,7 @@
 """Forests grown together against a plain forest of the same draws, and runs that are kept."""
 
 import random
+import threading
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import bench
+from clinigrid import session
 from clinigrid.operators import forest
 from clinigrid.operators import forest_growth as growth
 from clinigrid.plans import catalogue
@@ -160,6 +162,34 @@ def test_a_level_is_dealt_to_tasks_by_its_rows(table, monkeypatch):
     assert best.count() == at.select("model", "tree").distinct().count()
 
 
+def test_a_draw_is_hashed_once(table):
+    named = table.withColumn("scenario", F.lit("A"))
+    rows = growth.prepared(named, ["a", "b", "c", "d"], SETTINGS, "scenario")
+    at = growth.dealt(rows, growth.model_table(rows, SETTINGS, "scenario"), 4, SETTINGS, "scenario")
+    assert at._jdf.queryExecution().optimizedPlan().toString().count("bag,") == 1
+    weight = growth.bag_weight(F.col("draw"), F.col("model"), F.col("tree"), SETTINGS.seed)
+    plain = at.join(rows.select("id", "draw"), "id").withColumn("again", F.when(F.col("held"), 0).otherwise(weight))
+    assert plain.where("w <> again").count() == 0 < plain.where("w > 1").count()
+
+
+def test_held_rows_are_noted_beside_the_way_down(table, monkeypatch):
+    """By a thread of its own, whose tables a scratch block still deletes."""
+    told, store = {}, growth.materialise
+
+    def noted(df, name):
+        told.setdefault(name, set()).add(threading.get_ident())
+        return store(df, name)
+
+    monkeypatch.setattr(growth, "materialise", noted)
+    spark = table.sparkSession
+    with session.scratch(spark):
+        found = growth.grow(table.withColumn("scenario", F.lit("A")), SETTINGS)
+        assert found.predictions.count() > 0
+        paths = list(session._scratch.get()[-1])
+    assert threading.get_ident() not in told["forest-passed"] and told["forest-nodes"] == {threading.get_ident()}
+    assert any("forest-passed" in p for p in paths) and not any(session.path_exists(spark, p) for p in paths)
+
+
 def test_few_rows_are_refused(table):
     with pytest.raises(ValueError):
         growth.grow_scenarios(table.where("CVEGEO = '0001'"), {"A": ("03_ola_2",)}, SETTINGS)
