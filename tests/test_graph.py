@@ -320,3 +320,30 @@ def test_the_start_is_dealt_to_tasks_by_its_drawn_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "write_stage", seen)
     graph.heaviest_start(ends, 3)
     assert f", {-(-ends.count() * 3 // 100)}" in next(x for x in plans[0].splitlines() if "RepartitionByExpression" in x)
+
+
+def test_blocks_of_any_size_find_the_same(spark, monkeypatch):
+    """A vertex whose ends lie in many blocks, and repeated ends, beside one block for all."""
+    edges = random_graph(6, 40, 0.1) + [(-1, v, 1.0) for v in range(40)]
+    df = spark.createDataFrame(edges + edges[:3], "src int, dst int, weight double")
+    found = []
+    for size in (1_000_000, 20):
+        monkeypatch.setattr(graph, "VOTES_A_BLOCK", size)
+        found.append({tuple(r) for r in graph.settled_labels(df, trials=2).collect()})
+    assert found[0] == found[1] and len(found[0]) == 2 * 41
+
+
+def test_only_votes_that_can_change_a_label_leave_the_tasks(spark, monkeypatch):
+    edges = random_graph(7, 60, 0.3)
+    df = spark.createDataFrame(edges, "src int, dst int, weight double")
+    asked, wanted = [], graph._wanted
+
+    def counted(votes, keep_current):
+        asked.append(votes.count())
+        return wanted(votes, keep_current)
+
+    monkeypatch.setattr(graph, "_wanted", counted)
+    with pytest.raises(graph.NotSettled):
+        graph.settled_labels(df, trials=2, max_iter=1)
+    # At most the label that wins and its own, of 60 vertices in 2 trials.
+    assert 0 < asked[0] <= 2 * 60 * 2 < len(edges)
